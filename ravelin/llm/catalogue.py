@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ravelin.llm import packing
+from ravelin.llm import packing, toxicity
 
 QUERIES = {
+    "op3_pu_toxicity": toxicity.op3_pu_toxicity,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
