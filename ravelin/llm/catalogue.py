@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from ravelin.llm import packing, toxicity
+from ravelin.llm import chat, decontamination, line_dedup, packing, topk, toxicity
 
 QUERIES = {
+    "op1_perspectives": chat.op1_perspectives,
+    "op2_winnowing": decontamination.op2_winnowing,
     "op3_pu_toxicity": toxicity.op3_pu_toxicity,
+    "op4_line_windows": line_dedup.op4_line_windows,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op10_histogram_topk": topk.op10_histogram_topk,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_perspectives": chat.ORACLE,
+    "op2_winnowing": decontamination.ORACLE,
+    "op4_line_windows": line_dedup.ORACLE,
+    "op10_histogram_topk": topk.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
