@@ -269,7 +269,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_part", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     order = Window.partitionBy("_part", "length").orderBy(*names)
-    ranked = dealt.withColumn("_in", F.row_number().over(order) - 1).join(F.broadcast(counts), ["_part", "length"]).withColumn("_rank", F.col("_in") + F.col("_before"))
+    ranked = dealt.withColumn("_in", F.row_number().over(order) - 1).join(counts, ["_part", "length"]).withColumn("_rank", F.col("_in") + F.col("_before"))
     slots = spark.createDataFrame(plan, "length bigint, _from bigint, _to bigint, _seq bigint, offset bigint")
     hit = (ranked["length"] == slots["length"]) & (ranked["_rank"] >= slots["_from"]) & (ranked["_rank"] < slots["_to"])
     found = ranked.join(F.broadcast(slots), hit)
