@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 #: Tables of so few rows (counted first) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
-# The letters that are lower-cased and the characters that words are made of.
+# The letters that are lower-cased, the characters that words are made of, and those between words once lower-cased.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -27,7 +28,7 @@ def ascii_lower(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for null."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
 def digest(*cols: Column) -> list[Column]:

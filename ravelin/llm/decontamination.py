@@ -34,24 +34,18 @@ SPAN = 10
 GRAM = 5
 
 
-def _hash(first: int, size: int) -> Column:
-    """Hash of ``size`` words from position i + first."""
-    return F.xxhash64(*(F.get("h", F.col("i") + (first + x)) for x in range(size)))
-
-
-def _positions(df: DataFrame, *names: str) -> DataFrame:
-    """A row for each word position (one with a null position for no words), with the hashes of all words."""
+def _grams(df: DataFrame, names: list[str], span: int, gram: int) -> DataFrame:
+    """A row for each word position (one with a null position for no words): n words, i, fingerprint m of the window there and of the one before, and g, the hashes of the grams."""
     hashed = df.select(*names, F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    return hashed.select(*names, "h", F.size("h").alias("n"), F.posexplode_outer("h").alias("i", "_"))
-
+    grams = hashed.select(*names, F.transform("h", lambda x, i: F.xxhash64(x, *(F.get("h", i + k) for k in range(1, gram)))).alias("g"))
+    least = grams.select(*names, "g", F.transform("g", lambda x, i: F.least(x, *(F.get("g", i + k) for k in range(1, span - gram + 1)))).alias("m"))
+    return least.select(*names, "g", F.size("g").alias("n"), "m", F.posexplode_outer("m").alias("i", "at")).select(*names, "g", "n", "i", F.col("at").alias("m"), F.get("m", F.col("i") - 1).alias("before"))
 
-def _least(first: int, number: int, gram: int) -> Column:
-    grams = [_hash(first + x, gram) for x in range(number)]
-    return F.least(*grams) if number > 1 else grams[0]
 
-
-def _window(first: int, span: int, gram: int) -> list[Column]:
-    return [_hash(first, gram).alias("w1"), _hash(first + span - gram, gram).alias("w2")]
+def _words_at(df: DataFrame, *names: str) -> DataFrame:
+    """A row for each word position, with the hashes of all words."""
+    hashed = df.select(*names, F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    return hashed.select(*names, "h", F.size("h").alias("n"), F.posexplode("h").alias("i", "_"))
 
 
 def _short(size: int) -> list[Column]:
@@ -62,9 +56,10 @@ def _short(size: int) -> list[Column]:
 
 def benchmark_windows(benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """item_id, size, fingerprint m, w1, w2 of every window of the benchmark."""
-    at = _positions(benchmark.select("item_id", "text"), "item_id").where("i is not null")
-    whole = at.where(F.col("i") + span <= F.col("n"))
-    parts = [whole.select("item_id", F.lit(span).alias("size"), _least(0, span - gram + 1, gram).alias("m"), *_window(0, span, gram))]
+    texts = benchmark.select("item_id", "text")
+    whole = _grams(texts, ["item_id"], span, gram).where(F.col("i") + span <= F.col("n"))
+    parts = [whole.select("item_id", F.lit(span).alias("size"), "m", F.get("g", "i").alias("w1"), F.get("g", F.col("i") + (span - gram)).alias("w2"))]
+    at = _words_at(texts, "item_id")
     parts += [at.where((F.col("n") == s) & (F.col("i") == 0)).select("item_id", F.lit(s).alias("size"), F.lit(0).cast("bigint").alias("m"), *_short(s)) for s in range(1, span)]
     out = parts[0]
     for part in parts[1:]:
@@ -82,22 +77,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     marks = small(scratch.table(bench.where(F.col("size") == span).select("m").distinct().withColumn("found", F.lit(True)), "marks"))
     texts = docs.select(*(F.col(c).alias(f"_{x}") for x, c in enumerate(keep)), "text")
     kept = [f"_{x}" for x in range(len(keep))]
-    at = _positions(texts.select(*kept, *digest(F.coalesce("text", F.lit(""))), "text"), *kept, "k1", "k2")
+    at = _grams(texts.select(*kept, *digest(F.coalesce("text", F.lit(""))), "text"), [*kept, "k1", "k2"], span, gram)
     windows = span - gram + 1
-    m, before = _least(0, windows, gram), _least(-1, windows, gram)
-    inside = F.col("i") + span <= F.col("n")
     first = F.coalesce(F.col("i") == 0, F.lit(True))
-    at = at.withColumn("m", F.when(inside & (first | (m != before)), m)).where(first | F.col("m").isNotNull())
-    near = [F.when(F.col("i") + (x + span) <= F.col("n"), F.struct((F.col("i") + x).alias("i"), *_window(x, span, gram))) for x in range(windows)]
-    lines = at.select(*kept, "k1", "k2", "n", "i", "m", F.when(F.col("m").isNotNull(), F.array(*near)).alias("near"))
-    hit = lines.join(marks, "m", "left").where(first | F.col("found")).withColumn("near", F.when(F.col("found"), F.col("near")))
-    hit = scratch.table(hit.select(*kept, "k1", "k2", "n", first.alias("first"), "near"), "hits")
+    thin = (F.col("i") + span <= F.col("n")) & (first | (F.col("m") != F.col("before")))
+    # the grams of all windows that this fingerprint can be the least hash of
+    at = at.select(*kept, "k1", "k2", "n", "i", F.when(thin, F.col("m")).alias("m"), F.when(thin, F.slice("g", F.col("i") + 1, windows + span - gram)).alias("g")).where(first | F.col("m").isNotNull())
+    hit = at.join(marks, "m", "left").where(first | F.col("found"))
+    hit = scratch.table(hit.select(*kept, "k1", "k2", "n", "i", first.alias("first"), F.when(F.col("found"), F.col("g")).alias("g")), "hits")
 
     known = bench.select("size", "w1", "w2").distinct()
-    found = hit.where("near is not null").select("k1", "k2", F.lit(span).alias("size"), F.inline("near")).where("i is not null")
+    near = F.array(*(F.struct((F.col("i") + x).alias("i"), F.get("g", F.lit(x)).alias("w1"), F.get("g", F.lit(x + span - gram)).alias("w2")) for x in range(windows)))
+    found = hit.where("g is not null").select("k1", "k2", "n", near.alias("near")).select("k1", "k2", "n", F.inline("near")).where(F.col("i") + span <= F.col("n"))
+    found = found.select("k1", "k2", F.lit(span).alias("size"), "i", "w1", "w2")
     sizes = [r[0] for r in bench.where(F.col("size") < span).select("size").distinct().collect()]  # fewer than span
     for s in sorted(sizes):
-        at = _positions(texts.select(*digest(F.coalesce("text", F.lit(""))), "text"), "k1", "k2").where(F.col("i") + s <= F.col("n"))
+        at = _words_at(texts.select(*digest(F.coalesce("text", F.lit(""))), "text"), "k1", "k2").where(F.col("i") + s <= F.col("n"))
         found = found.unionByName(at.select("k1", "k2", F.lit(s).alias("size"), "i", *_short(s)))
     known = small(scratch.table(known, "known"))
     found = scratch.table(found.join(known, ["size", "w1", "w2"], "left_semi").distinct(), "found")
