@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import chat, decontamination, line_dedup, minhash, packing, topk, toxicity
+from ravelin.llm import chat, decontamination, html_text, language_model, line_dedup, minhash, packing, topk, toxicity
 
 QUERIES = {
     "op1_perspectives": chat.op1_perspectives,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_pu_toxicity": toxicity.op3_pu_toxicity,
     "op4_line_windows": line_dedup.op4_line_windows,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_line_blocks": html_text.op7_line_blocks,
     "op8_dart_minhash": minhash.op8_dart_minhash,
+    "op9_log_bilinear": language_model.op9_log_bilinear,
     "op10_histogram_topk": topk.op10_histogram_topk,
 }
 ORACLE_SQL: dict[str, str] = {
