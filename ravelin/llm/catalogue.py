@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from ravelin.llm import chat, decontamination, html_text, language_model, line_dedup, minhash, packing, topk, toxicity
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_dart_minhash": minhash.op8_dart_minhash,
     "op9_log_bilinear": language_model.op9_log_bilinear,
     "op10_histogram_topk": topk.op10_histogram_topk,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_perspectives": chat.ORACLE,
