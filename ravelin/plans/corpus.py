@@ -81,16 +81,15 @@ class Corpus:
 
     @cached_property
     def vector_rows(self) -> DataFrame:
-        """Stored vectors stand for chunks and questions: ids map to the rows whose vec_id is their remainder."""
+        """Stored vectors stand for chunks and questions: by the remainders of a document's id and a question's length."""
         return self.table("embeddings").select("vec_id", F.col("embedding").alias("v"))
 
     @cached_property
     def vector_hits(self) -> DataFrame:
         """For the questions that are not answered from the graph alone."""
         n = self.vector_rows.agg(F.max("vec_id")).first()[0] + 1
-        place = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(n))
-        chunked = self.chunks.select(F.col("chunk_id").alias("id"), "chunk_id", "doc_id", "ord", place("chunk_id").alias("vec_id")).join(self.vector_rows, "vec_id").drop("vec_id")
-        asked = self.plans.where("mode <> 'GRAPH'").select("q_id", "top_k", place("q_id").alias("vec_id")).join(self.vector_rows.withColumnRenamed("v", "qv"), "vec_id").drop("vec_id")
+        chunked = self.chunks.select(F.col("chunk_id").alias("id"), "chunk_id", "doc_id", "ord", F.pmod("doc_id", F.lit(n)).alias("vec_id")).join(self.vector_rows, "vec_id").drop("vec_id")
+        asked = self.plans.where("mode <> 'GRAPH'").select("q_id", "top_k", F.pmod(F.char_length("question"), F.lit(n)).alias("vec_id")).join(self.vector_rows.withColumnRenamed("v", "qv"), "vec_id").drop("vec_id")
         asked = self.scratch.table(asked, "asked")
         return self.scratch.table(retrieval.nearest(asked, chunked).drop("id"), "vector-hits")
 
