@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ravelin.llm import chat, decontamination, html_text, language_model, line_dedup, minhash, packing, topk, toxicity
+from ravelin.llm import chat, decontamination, html_text, language_model, line_dedup, minhash, packing, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_perspectives": chat.op1_perspectives,
     "op2_winnowing": decontamination.op2_winnowing,
     "op3_pu_toxicity": toxicity.op3_pu_toxicity,
     "op4_line_windows": line_dedup.op4_line_windows,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_line_blocks": html_text.op7_line_blocks,
     "op8_dart_minhash": minhash.op8_dart_minhash,
