@@ -42,7 +42,7 @@ from ravelin.sources.tables import table
 SHINGLE = 5
 LIKE = 0.8
 BANDS, WIDTH = 25, 5
-#: Rounds of comparing with hubs before the members that are left are compared with all of their bucket.
+#: Rounds of comparing with hubs before the members that are left are compared with all of their bucket that they can be like.
 HUBS = 2
 #: Entries that a worker keeps of its map from words to hashes.
 CACHE = 500_000
@@ -163,36 +163,54 @@ def components(scratch: Scratch, name: str, labels: DataFrame, links: DataFrame)
         at, step = out.select("id", "label"), step + 1
 
 
+def _of_two(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
+    """The written rows of buckets that hold two ids at least."""
+    twice = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("bucket")
+    return scratch.table(rows.join(scratch.table(twice, f"{name}-buckets"), "bucket"), name)
+
+
 def classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """rid, doc_id, t1, t2, id (of the copies' first row), label (of the class) for each row of ``docs``."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(sketched(docs), "rows")
     copies = scratch.table(rows.where("bands is not null").groupBy("k1", "k2").agg(F.min("rid").alias("id")), "copies")
     firsts = rows.where("bands is not null").join(copies.select(F.col("id").alias("rid")), "rid", "left_semi")
-    spread = firsts.select(F.col("rid").alias("id"), F.explode("bands").alias("bucket"), F.size("cells").alias("n"))
-    spread = scratch.table(spread, "spread")
-    twice = spread.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").drop("last")
-    shared = scratch.table(spread.join(scratch.table(twice, "twice"), "bucket"), "shared")  # buckets of two texts at least
-    sets = scratch.table(firsts.select(F.col("rid").alias("id"), "cells").join(shared.select("id").distinct(), "id", "left_semi"), "sets")
+    spread = scratch.table(firsts.select(F.col("rid").alias("id"), F.explode("bands").alias("bucket"), F.size("cells").alias("n")), "spread")
+    shared = _of_two(scratch, spread, "shared")
+    sets = scratch.table(firsts.select(F.col("rid").alias("id"), "cells", "bands").join(shared.select("id").distinct(), "id", "left_semi"), "sets")
+    # cells that no other text has can't be in common with any
+    cells = sets.select("id", F.explode("cells").alias("cell")).groupBy("cell").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    alone = scratch.table(cells.where("id = last").groupBy("id").agg(F.count("*").alias("own")), "alone")
+    shared = shared.join(alone, "id", "left").select("bucket", "id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s"))
+    shared = _of_two(scratch, scratch.table(shared.where(F.col("s") >= like * F.col("n")), "able"), "hopeful")
     labels = scratch.table(shared.select("id").distinct().withColumn("label", F.col("id")), "labels")
     tested = None
     for step in range(HUBS + 1):
         now = scratch.table(shared.join(labels, "id"), f"{step}-now")
-        ends = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("id", F.xxhash64("id", F.lit(step))).alias("_hub")).where("low != high").drop("low", "high")
+        # the hub has most in common with others; later ones are of another class than the least label's
+        ends = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("id", F.struct(F.col("s") / F.col("n"), "id")).alias("hub"), F.max_by("label", F.struct(F.col("s") / F.col("n"), "id")).alias("main"))
+        ends = scratch.table(ends.where("low != high").drop("low", "high"), f"{step}-ends")
+        mingled = scratch.table(now.join(ends, "bucket"), f"{step}-mingled")
+        rest = mingled.where("label != main")
         if step == 0:
-            ends = ends.withColumn("_hub", F.lit(None).cast("bigint"))
-        hub = F.col("hub") if step == 0 else F.col("_hub")
-        mixed_up = now.join(scratch.table(ends, f"{step}-ends"), "bucket").select("bucket", "id", "n", "label", hub.alias("hub"))
-        mixed_up = scratch.table(mixed_up, f"{step}-mixed")
-        if step < HUBS:
-            hubs = mixed_up.where("id = hub").select("bucket", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("label").alias("hl"))
-            pairs = mixed_up.join(scratch.table(hubs, f"{step}-hubs"), "bucket").where("label != hl")
-        else:  # all that are not of the hub's class with all of the bucket
-            main = mixed_up.where("id = hub").select("bucket", F.col("label").alias("main"))
-            rest = mixed_up.join(main, "bucket").where("label != main").select("bucket", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("label").alias("hl"))
-            pairs = mixed_up.join(scratch.table(rest, f"{step}-rest"), "bucket").where("label != hl")
-        # sets whose sizes differ more can't be alike
-        pairs = pairs.where(F.least("n", "hn") >= like * F.greatest("n", "hn"))
+            picked = mingled.where("id = hub")
+        elif step < HUBS:
+            best = rest.groupBy("bucket").agg(F.max_by("id", F.struct(F.col("s") / F.col("n"), "id")).alias("id"))
+            picked = rest.join(scratch.table(best, f"{step}-best"), ["bucket", "id"], "left_semi")
+        else:  # all that are not of the main class with all of the bucket
+            picked = rest.join(sets.select("id", F.col("bands").alias("hbands")), "id")
+            mingled = mingled.join(sets.select("id", "bands"), "id")
+        picked = scratch.table(picked.select("bucket", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("label").alias("hl"), *(["hbands"] if step == HUBS else [])), f"{step}-picked")
+        if step == HUBS:
+            mingled = scratch.table(mingled, f"{step}-banded")
+        # the most that two sets can have in common, over the least that they can have together
+        own = F.col("n") - F.col("s") + F.col("hn") - F.col("hs")
+        near = (F.col("label") != F.col("hl")) & (F.least("s", "hs") >= like * (own + F.greatest("s", "hs")))
+        if step == HUBS:  # a pair counts in the first bucket that it shares, and once
+            first = F.array_position(F.zip_with("bands", "hbands", lambda x, y: x == y), True)
+            both_left = (F.col("label") != F.col("main")) & (F.col("id") > F.col("h"))
+            near = near & (F.get("bands", (first - 1).cast("int")) == mingled["bucket"]) & ~both_left
+        pairs = mingled.join(picked, (mingled["bucket"] == picked["bucket"]) & near)
         pairs = pairs.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -206,6 +224,8 @@ def classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
         # labels stand for the links so far
         links = links.unionByName(labels.where("id != label").select(F.col("label").alias("a"), F.col("id").alias("b")))
         labels = components(scratch, f"{step}-components", labels, links)
+        for name in ("now", "mingled", "picked", "ends"):
+            scratch.drop(f"{step}-{name}")
     known = scratch.table(copies.join(labels, "id", "left").select("k1", "k2", "id", F.coalesce("label", "id").alias("label")), "known")
     named = rows.select("rid", "doc_id", "t1", "t2", "k1", "k2").join(known, ["k1", "k2"], "left")
     alone = F.coalesce("id", "rid")
