@@ -136,12 +136,13 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, words: int = WORDS, head: i
     learned = docs.where(remainder("doc_id", folds) != 0).select("text")
     counts = scratch.table(token_counts(learned), "counts")
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-    frequent = [(bytes(r["token"]), r["c"]) for r in counts.where(F.octet_length("token") <= LONGEST).orderBy(F.desc("c"), "token").limit(head).collect()]
+    best = counts.where(F.octet_length("token") <= LONGEST).orderBy(F.desc("c"), "token").limit(head).toArrow()
+    frequent = list(zip(best.column("token").to_pylist(), best.column("c").to_pylist(), strict=True))
     known = [t for t, _ in frequent[: words - 1]]
     size = len(known) + 1
-    found = pair_counts(learned, known).collect()  # at most size * size rows
+    found = pair_counts(learned, known).toArrow()  # at most size * size rows
     pairs = np.zeros((size, size))
-    pairs.ravel()[[r["pair"] for r in found]] = [r["n"] for r in found]
+    pairs.ravel()[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     model = [p.astype(np.float32) for p in train(pairs)]
     rest, kinds = n - sum(c for _, c in frequent[: words - 1]), v - len(known)
     shared = spark.sparkContext.broadcast((frequent, model))
