@@ -43,9 +43,11 @@ HOLDS = {"article", "main"}
 MARKS = {
     *"ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus".split(),
     *"dialog feedback footer header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion".split(),
-    *"related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split(),
+    *"related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split(),
     *"alert complementary contentinfo discussion footnav leaderboard reactions recommendations recommended".split(),
 }
+# Words of a class or id that speak for the article.
+SPEAKS = {*"article body content entry main post story text".split()}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -56,10 +58,19 @@ _MARKED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marked(rest: str) -> bool:
+def _marked(rest: str, inside: bool) -> bool:
+    """Whether a name in class, id or role marks the element, and none of the same attribute speaks for the article alone.
+
+    Within an article the word header marks nothing: its own title stands there.
+    """
     if "=" not in rest:
         return False
-    return any(p.lower() in MARKS for m in _MARKED.finditer(rest) for p in _PARTS.findall(m[2] or m[3] or m[4] or ""))
+    for m in _MARKED.finditer(rest):
+        names = [{p.lower() for p in _PARTS.findall(n)} for n in (m[2] or m[3] or m[4] or "").split()]
+        against = [bool(n & MARKS - ({"header"} if inside else set())) for n in names]
+        if any(against) and not any(n & SPEAKS and not bad for n, bad in zip(names, against, strict=True)):
+            return True
+    return False
 
 
 def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
@@ -93,21 +104,19 @@ def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
         if not name:
             continue
         if dropped:
-            if m["end"]:
-                depth -= name == dropped
-                if depth:
-                    continue
-                dropped = ""
-                continue
-            if name not in HOLDS or dropped in HOLDS:
-                depth += name == dropped and not m["rest"].endswith("/")
+            ends = name in HOLDS and not m["end"] or dropped == "p" and not m["end"] and name not in INLINE and name not in VOID
+            if not ends:
+                depth += (name == dropped) * (-1 if m["end"] else not m["rest"].endswith("/"))
+                if not depth:
+                    dropped, link = "", False
                 continue
-            dropped = ""  # never closed
+            dropped, link = "", False  # never closed
         if name == "br":
             text.append(" ")
         elif name == "a":
             link = not m["end"]
-        if name in INLINE and (m["end"] or not _marked(m["rest"])) or name == "br":
+        inside = any(n in HOLDS for n, _ in open_)
+        if name in INLINE and (m["end"] or not _marked(m["rest"], inside)) or name == "br":
             continue
         if name not in INLINE:
             close()
@@ -117,8 +126,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
                     pass
             link = False
         elif name not in VOID:
-            inside = any(n in HOLDS for n, _ in open_)
-            never = name in NEVER or (name == "header" and not inside) or (name not in ("body", "html", *HOLDS) and _marked(m["rest"]))
+            never = name in NEVER or (name == "header" and not inside) or (name not in ("body", "html", *HOLDS) and _marked(m["rest"], inside))
             if never and not m["rest"].endswith("/"):
                 dropped, depth = name, 1
                 continue

@@ -208,6 +208,10 @@ def test_main_text(spark):
     assert html_text.main_text(PAGE.format(long=long)) == want
     assert html_text.main_text(f"<nav>menu<article><h2>H</h2><p>{long}<p>b</article><aside>{long * 9}</aside>") == f"H\n\n{long}\n\nb"
     assert [html_text.main_text(x) for x in (None, "", "<p>a &lt; b</p>", "<!-- x", "<div class=ad>never")] == ["", "", "a < b", "", ""]
+    div = f'<div class="content has-sidebar"><article><header class="entry-header"><h1>T</h1></header><p>{long}</p><p class="notice">no<p>yes <a class="share" href="x">s</a>more</p></article><section id="comments">{long}</section></div>'
+    assert html_text.main_text(div) == f"T\n\n{long}\n\nyes more"
+    plain = f'<div class="wrap"><ul class="menu"><li>m</li></ul><div class="post-body text"><p>{long}</p><table><tr><td>c</td></tr></table></div><div class="relatedPosts">{long * 3}</div><div role="navigation">n</div></div>'
+    assert html_text.main_text(plain) == f"{long}\n\nc"
     pages = spark.createDataFrame([(1, "u", PAGE.format(long=long)), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert order(html_text.extract(pages).collect()) == order([(1, "u", want, len(want)), (None, None, "", 0)])
     assert html_text.extract(pages.limit(0)).count() == 0
