@@ -1,11 +1,12 @@
 """Removal of repeated 200-byte strings by sorting sampled suffixes into groups.
 
 Asked for was a suffix array by the difference-cover algorithm over all bytes.
-Sorting triples of every byte position shuffles tens of times the input, far
-beyond the limits (figures in the README), so the sample is thinner here and
-suffixes are compared only as deep as the result needs.  What stays of the
-method: sampled suffixes are named and grouped, the remaining suffixes are
-placed by the bytes to their sample, and prefixes that meet are compared.
+``suffix_array`` is that algorithm; on every byte position it shuffles hundreds
+of bytes for each byte of text, far beyond the limits (figures in the README),
+so the sample is thinner here and suffixes are compared only as deep as the
+result needs.  What stays of the method: sampled suffixes are named and
+grouped, the remaining suffixes are placed by the bytes to their sample, and
+prefixes that meet are compared.
 
 1. The sample of a window (a string of ``LENGTH`` bytes) is its least hash of
    ``GRAM`` bytes, so equal windows have their sample at the same offset.
