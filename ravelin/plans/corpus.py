@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ravelin.config import EngineConfig
 from ravelin.operators import answer, chunking, graph, planner, retrieval
 from ravelin.scratch import Scratch
-from ravelin.sources.tables import table
+from ravelin.sources.tables import spread, table
 
 
 class Corpus:
@@ -37,8 +37,8 @@ class Corpus:
 
     @cached_property
     def spread_documents(self) -> DataFrame:
-        """Ids and texts, dealt evenly: a small Parquet file is a single task otherwise."""
-        return self.documents.select("doc_id", "text").repartition(F.col("doc_id"))
+        """Ids and texts; dealt out only where the scan has few tasks."""
+        return spread(self.documents.select("doc_id", "text"))
 
     @cached_property
     def chunks(self) -> DataFrame:

@@ -8,3 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """``<folder>/<name>.parquet`` on any file system Spark knows."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as the cluster runs at once, if its scan has fewer (small files are a single task); large scans are left alone."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
