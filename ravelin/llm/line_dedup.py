@@ -25,8 +25,8 @@ from ravelin.sources.tables import table
 SIZE = 3
 
 
-def dedup_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` with ``text`` without the removed lines, and n_lines and n_removed (which replace columns of these names)."""
+def dedup_lines(docs: DataFrame, size: int = SIZE, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with ``text`` without the removed lines, and the numbers of lines and removed lines under the names ``counts`` (which replace columns of these names)."""
     lines = F.split("text", "\n", -1)
     # the id's place in the order goes through hashes as they are compared: nulls last
     keys = digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text"))
@@ -48,10 +48,19 @@ def dedup_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
     judged = joined.withColumn("covered", F.array_distinct(covered)).withColumn("kept", F.array_except(F.sequence(F.lit(0), n - 1), F.col("covered")))
     removed = F.size("covered")
     out = F.when(removed > 0, F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")).otherwise(F.col(text))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = [c for c in docs.columns if c not in counts]
     cols = [out.alias(c) if c == "text" else F.col(f"_{docs.columns.index(c)}").alias(c) for c in names]
-    counts = [F.when(F.col("lines").isNull(), 0).otherwise(n).cast("bigint").alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(removed).cast("bigint").alias("n_removed")]
-    return judged.select(*cols, *counts)
+    numbers = [F.when(F.col("lines").isNull(), 0).otherwise(x).cast("bigint").alias(c) for x, c in zip((n, removed), counts, strict=True)]
+    return judged.select(*cols, *numbers)
+
+
+def drop_repeated_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """``docs`` with its own columns alone, without the removed lines and without documents of which no line is left."""
+    free = "n"
+    while any(c.startswith(free) for c in docs.columns):
+        free += "_"
+    made = dedup_lines(docs, size, (f"{free}lines", f"{free}removed"))
+    return made.where((F.col(f"{free}removed") < F.col(f"{free}lines")) | (F.col(f"{free}removed") == 0)).select(*docs.columns)
 
 
 def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from ravelin.llm import packing
 from ravelin.scratch import Scratch
-from test_operators import likeness, restated_lines, weighted, words_of
+from test_operators import documents, likeness, restated_lines, weighted, words_of
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +89,17 @@ def test_all_that_is_left_is_packed(steps):
 def test_run_gives_the_same(spark, steps, sf001):
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf001).select(*cols).collect())) == sorted(map(tuple, steps[5].select(*cols).collect()))
+
+
+def test_stages_take_nulls_repeats_and_clashing_names(spark, sf001):
+    rows = [(None, None), (None, ""), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (3, "x\ny\nz\nw"), (4, "x\ny\nz"), (5, "é" * 5000), (None, "x\ny\nz")]
+    docs = documents(spark, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, docs.limit(0)):
+            made = stage(spark, some, sf001)
+            count = made.count()
+            assert count == 0 if some is not docs else count > 0
+            if name != "packing":
+                assert made.columns == docs.columns and [f.dataType for f in made.schema] == [f.dataType for f in docs.schema]
+    assert sorted(map(repr, (r.text for r in corpus_pipeline.line_dedup(spark, docs, sf001).collect()))) == sorted(map(repr, [None, "", "a b c d e f g", "a b c d e f g", "A b c d e f g", "x\ny\nz\nw", "é" * 5000]))
+    assert sorted(repr(r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf001).collect()) == sorted(map(repr, [None, "", "a b c d e f g", "x\ny\nz\nw", "x\ny\nz", "é" * 5000]))
