@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm.common import digest
@@ -116,10 +116,15 @@ def signature(elements: np.ndarray, weights: np.ndarray, size: int = BANDS * WID
     return best
 
 
+def _text_key(text: str) -> list[Column]:
+    """128 bits that tell a text, and null from an empty one."""
+    return [c.alias(n) for c, n in zip(digest(F.col(text).isNull(), F.coalesce(text, F.lit(""))), ("t1", "t2"), strict=True)]
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """rid, doc_id, t1, t2 (text), k1, k2 (words), bands and cells (one int for each occurrence of a shingle) of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *(c.alias(n) for c, n in zip(digest(F.coalesce("text", F.lit(""))), ("t1", "t2"), strict=True)), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *_text_key("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +256,7 @@ def drop_near_copies(docs: DataFrame, like: float = LIKE) -> DataFrame:
     first = _firsts(classes(docs, like)).select(F.col("first.doc_id").alias("_doc"), F.col("first.t1").alias("_t1"), F.col("first.t2").alias("_t2"))
     first = Scratch(docs.sparkSession).table(first.distinct(), "firsts")
     names = docs.columns
-    rows = docs.select(*(F.col(c).alias(f"_{x}") for x, c in enumerate(names)), *(c.alias(n) for c, n in zip(digest(F.coalesce("text", F.lit(""))), ("t1", "t2"), strict=True)))
+    rows = docs.select(*(F.col(c).alias(f"_{x}") for x, c in enumerate(names)), *_text_key("text"))
     ids = f"_{names.index('doc_id')}"
     same = F.col("t1").eqNullSafe(F.col("_t1")) & F.col("t2").eqNullSafe(F.col("_t2")) & F.col(ids).eqNullSafe(F.col("_doc"))
     kept = rows.join(first, same, "left_semi")
