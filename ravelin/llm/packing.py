@@ -6,10 +6,10 @@ reaches the driver.  There the linear program over packing patterns is solved
 approximately by multiplicative weights: each round prices a piece length by
 its weight over its demand, finds the most valuable pattern with a knapsack
 dynamic program, uses it for a number of sequences and lowers the weights of
-what it covers.  The rounded patterns leave a remainder, which is placed by
-best fit, group by group, into the free room of the patterns and then into new
-sequences.  The result is a small table of slots (length, rank range, sequence,
-offset) that Spark joins with the ranked pieces.
+what it covers.  The rounded patterns (those that leave little room) leave a
+remainder, which is placed by best fit, group by group, into the free room of
+the patterns and then into new sequences.  The result is a small table of slots
+(length, rank range, sequence, offset) that Spark joins with the ranked pieces.
 
 Edge cases: a null text counts as empty and gives one piece with the end id;
 an empty table gives an empty result; repeated rows are packed one by one;
@@ -35,6 +35,8 @@ END_ID = 2
 #: Rounds of multiplicative weights and the fraction of the scarcest demand that a round covers.
 ROUNDS = 300
 SHARE = 0.5
+#: Bounds on the room that a used pattern leaves, tried besides none and any.
+SLACKS = (1, 4, 16)
 #: Entries that a worker keeps of its map from words to ids.
 CACHE = 500_000
 #: Ranks within a length are counted in so many parts at least.
@@ -197,13 +199,8 @@ def solve_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int, round
     return [(np.frombuffer(k, np.int64), v) for k, v in used.items()]
 
 
-def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, int, int, int, int]]:
-    """Slots (length, first rank, end rank, first sequence, offset) that hold every piece once.
-
-    Ranks of one length are interchangeable; rank r of a slot lies in sequence
-    ``first sequence + r - first rank`` at the offset.  The number of slots
-    depends on the lengths and rounds, not on the number of pieces.
-    """
+def _rounded(histogram: dict[int, int], patterns: list[tuple[np.ndarray, float]], lengths: np.ndarray, capacity: int, slack: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Slots and number of sequences: patterns that leave at most ``slack`` room are used as often as whole numbers allow, the rest is placed by best fit."""
     slots: list[tuple[int, int, int, int, int]] = []
     taken = dict.fromkeys(histogram, 0)
     sequences = 0
@@ -217,23 +214,21 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int
     if full := left.get(capacity, 0):
         put(capacity, full, 0, 0)
         sequences = full
-    lengths = np.array(sorted(k for k, v in left.items() if v > 0), np.int64)
     free: dict[int, list[tuple[int, int]]] = {}  # room -> groups (first sequence, how many)
-    if len(lengths):
-        demand = np.array([left[int(k)] for k in lengths], float)
-        for uses, times in sorted(solve_patterns(lengths, demand, capacity, rounds), key=lambda p: -p[1]):
-            number = int(times)
-            for k in np.flatnonzero(uses):
-                number = min(number, left[int(lengths[k])] // int(uses[k]))
-            if number <= 0:
-                continue
-            offset = 0
-            for k in np.flatnonzero(uses)[::-1]:
-                for _ in range(uses[k]):
-                    put(int(lengths[k]), number, sequences, offset)
-                    offset += int(lengths[k])
-            free.setdefault(capacity - offset, []).append((sequences, number))
-            sequences += number
+    for uses, times in patterns:
+        room = capacity - int((uses * lengths).sum())
+        number = int(times) if room <= slack else 0
+        for k in np.flatnonzero(uses):
+            number = min(number, left[int(lengths[k])] // int(uses[k]))
+        if number <= 0:
+            continue
+        offset = 0
+        for k in np.flatnonzero(uses)[::-1]:
+            for _ in range(uses[k]):
+                put(int(lengths[k]), number, sequences, offset)
+                offset += int(lengths[k])
+        free.setdefault(room, []).append((sequences, number))
+        sequences += number
     for length in sorted((k for k, v in left.items() if v > 0), reverse=True):
         while left[length] > 0:
             room = min((r for r, groups in free.items() if r >= length and groups), default=None)
@@ -249,7 +244,25 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int
                 free.setdefault(room, []).append((first + used, number - used))
             put(length, used, first, capacity - room)
             free.setdefault(room - length, []).append((first, used))
-    return slots
+    return slots, sequences
+
+
+def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, int, int, int, int]]:
+    """Slots (length, first rank, end rank, first sequence, offset) that hold every piece once.
+
+    Ranks of one length are interchangeable; rank r of a slot lies in sequence
+    ``first sequence + r - first rank`` at the offset.  The number of slots
+    depends on the lengths and rounds, not on the number of pieces.  Rounding
+    is tried with several bounds on the room that a pattern may leave; the
+    fewest sequences win.
+    """
+    lengths = np.array(sorted(k for k, v in histogram.items() if v > 0 and k < capacity), np.int64)
+    patterns: list[tuple[np.ndarray, float]] = []
+    if len(lengths):
+        demand = np.array([histogram[int(k)] for k in lengths], float)
+        patterns = sorted(solve_patterns(lengths, demand, capacity, rounds), key=lambda p: -p[1])
+    tried = (_rounded(histogram, patterns, lengths, capacity, slack) for slack in (0, *SLACKS, capacity))
+    return min(tried, key=lambda t: t[1])[0]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
