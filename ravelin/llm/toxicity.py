@@ -39,6 +39,8 @@ STEPS = 160
 RATE = 0.5
 #: Weight of the absolute values, which leaves most weights at zero.
 SPARSE = 2e-4
+#: Examples that a training step handles at once.
+PART = 1000
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -70,25 +72,30 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     place = np.full(1 << bits, -1, np.int32)
     place[kept] = np.arange(len(kept))
 
-    def rows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [c[c >= 0] for c in (place[d] for d in docs)]
-        return np.concatenate(cols), np.repeat(np.arange(len(docs)), [len(c) for c in cols])
+    def parts(docs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, slice]]:
+        """Features and rows of parts of the documents, so that no step copies them all."""
+        out = []
+        for at in range(0, len(docs), PART):
+            cols = [c[c >= 0] for c in (place[d] for d in docs[at : at + PART])]
+            out.append((np.concatenate(cols), np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols]), slice(at, at + len(cols))))
+        return out
 
-    (pc, pr), (uc, ur) = rows(positive), rows(unlabelled)
+    marked, other = parts(positive), parts(unlabelled)
     np_, nu = len(positive), len(unlabelled)
     w, b = np.zeros(len(kept)), float(np.log(prior / (1 - prior)))
     squares, bias_square = np.full(len(kept), 1e-8), 1e-8
     sigma = lambda g: 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+    logits = lambda rows: np.concatenate([b + np.bincount(r, w[c], at.stop - at.start) for c, r, at in rows])
+    slopes = lambda rows, of: sum(np.bincount(c, of[at][r], len(kept)) for c, r, at in rows)
     for _ in range(steps):
-        gp = b + np.bincount(pr, w[pc], np_)
-        gu = b + np.bincount(ur, w[uc], nu)
+        gp, gu = logits(marked), logits(other)
         rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         at_p, at_u = -prior * sigma(-gp) / np_, np.zeros(nu)
         if rest >= 0:
             at_p, at_u = at_p - prior * sigma(gp) / np_, sigma(gu) / nu
         else:  # only the part that must not be negative, the other way
             at_p, at_u = prior * sigma(gp) / np_, -sigma(gu) / nu
-        slope = np.bincount(pc, at_p[pr], len(kept)) + np.bincount(uc, at_u[ur], len(kept))
+        slope = slopes(marked, at_p) + slopes(other, at_u)
         bias = at_p.sum() + at_u.sum()
         squares += slope * slope
         bias_square += bias * bias
@@ -118,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, bits: int = BITS,
     positive = known.where("toxic = 1").select("doc_id").distinct().orderBy(by, "doc_id").limit(most_positive)
     other = docs.where(mine).select("doc_id").orderBy(by, "doc_id").limit(most_unlabelled).distinct()
     picked = [docs.join(F.broadcast(x), "doc_id", "left_semi") for x in (positive, other)]
-    found = [[np.frombuffer(r[0], np.int32) for r in _featured(x, bits).collect()] for x in picked]
+    found = [[np.frombuffer(r.as_buffer(), np.int32) for r in _featured(x, bits).toArrow().column(0)] for x in picked]
     return fit(*found, prior, bits)
 
 
