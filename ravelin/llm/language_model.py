@@ -73,6 +73,25 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def frequent_tokens(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """Tokens and counts from the largest count down to a bound that at most ``most`` tokens reach (long tokens left out).
+
+    The bound comes from a histogram of the counts' logarithms, so that no task sorts or reads more than its share.
+    """
+    short = counts.where(F.octet_length("token") <= LONGEST).withColumn("level", F.floor(F.log2("c") * 8))
+    levels = sorted(((r["level"], r["n"]) for r in short.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for level, n in levels:
+        total += n
+        if total > most:
+            break
+        least = level
+    if least is None:
+        return []
+    found = short.where(F.col("level") >= least).select("token", "c").toArrow()
+    return sorted(zip(found.column("token").to_pylist(), found.column("c").to_pylist(), strict=True), key=lambda t: (-t[1], t[0]))
+
+
 def pair_counts(texts: DataFrame, words: list[bytes]) -> DataFrame:
     """pair (before * size + token) and n; 0 is the class of tokens that aren't in ``words``."""
     shared = texts.sparkSession.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})
@@ -136,8 +155,7 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, words: int = WORDS, head: i
     learned = docs.where(remainder("doc_id", folds) != 0).select("text")
     counts = scratch.table(token_counts(learned), "counts")
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-    best = counts.where(F.octet_length("token") <= LONGEST).orderBy(F.desc("c"), "token").limit(head).toArrow()
-    frequent = list(zip(best.column("token").to_pylist(), best.column("c").to_pylist(), strict=True))
+    frequent = frequent_tokens(counts, head)
     known = [t for t, _ in frequent[: words - 1]]
     size = len(known) + 1
     found = pair_counts(learned, known).toArrow()  # at most size * size rows
