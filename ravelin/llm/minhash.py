@@ -45,7 +45,7 @@ BANDS, WIDTH = 25, 5
 #: Rounds of comparing with hubs before the members that are left are compared with all of their bucket that they can be like.
 HUBS = 2
 #: Entries that a worker keeps of its map from words to hashes.
-CACHE = 500_000
+CACHE = 200_000
 
 #: Bytes to lower case, those outside words to spaces.
 _TO_WORDS = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))

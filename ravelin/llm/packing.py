@@ -38,7 +38,7 @@ SHARE = 0.5
 #: Bounds on the room that a used pattern leaves, tried besides none and any.
 SLACKS = (1, 4, 16)
 #: Entries that a worker keeps of its map from words to ids.
-CACHE = 500_000
+CACHE = 200_000
 #: Ranks within a length are counted in so many parts at least.
 PARTS = 64
 
