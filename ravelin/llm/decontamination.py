@@ -3,10 +3,11 @@
 Every window of ``span`` words has a fingerprint: the least hash of its word
 ``gram``-grams.  Two equal windows have equal fingerprints, so a join of the
 fingerprints of documents and benchmark finds every shared window.  A document
-keeps a fingerprint once where it comes up (winnowing); a hit is extended over
-the windows for which it is the least hash, and a window counts if the hashes
-of its first and last gram (which cover all its words) are those of a
-benchmark window.
+keeps a fingerprint once where it comes up, and again wherever the window
+leaves a gram that has it (winnowing by position), so that it is never kept for
+more windows than a gram lies in, however often the text repeats itself; a hit
+is extended over these windows, and a window counts if the hashes of its first
+and last gram (which cover all its words) are those of a benchmark window.
 
 Everything is a DataFrame operation.  The benchmark's fingerprints are counted
 and broadcast if they are few; otherwise the join shuffles the documents'
@@ -35,11 +36,11 @@ GRAM = 5
 
 
 def _grams(df: DataFrame, names: list[str], span: int, gram: int) -> DataFrame:
-    """A row for each word position (one with a null position for no words): n words, i, fingerprint m of the window there and of the one before, and g, the hashes of the grams."""
+    """A row for each word position (one with a null position for no words): n words, i, fingerprint m of the window there and of the one before, whether that is the hash of the gram left behind (left), and g, the hashes of the grams."""
     hashed = df.select(*names, F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     grams = hashed.select(*names, F.transform("h", lambda x, i: F.xxhash64(x, *(F.get("h", i + k) for k in range(1, gram)))).alias("g"))
     least = grams.select(*names, "g", F.transform("g", lambda x, i: F.least(x, *(F.get("g", i + k) for k in range(1, span - gram + 1)))).alias("m"))
-    return least.select(*names, "g", F.size("g").alias("n"), "m", F.posexplode_outer("m").alias("i", "at")).select(*names, "g", "n", "i", F.col("at").alias("m"), F.get("m", F.col("i") - 1).alias("before"))
+    return least.select(*names, "g", F.size("g").alias("n"), "m", F.posexplode_outer("m").alias("i", "at")).select(*names, "g", "n", "i", F.col("at").alias("m"), F.get("m", F.col("i") - 1).alias("before"), (F.get("m", F.col("i") - 1) == F.get("g", F.col("i") - 1)).alias("left"))
 
 
 def _words_at(df: DataFrame, *names: str) -> DataFrame:
@@ -80,7 +81,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     at = _grams(texts.select(*kept, *digest(F.coalesce("text", F.lit(""))), "text"), [*kept, "k1", "k2"], span, gram)
     windows = span - gram + 1
     first = F.coalesce(F.col("i") == 0, F.lit(True))
-    thin = (F.col("i") + span <= F.col("n")) & (first | (F.col("m") != F.col("before")))
+    thin = (F.col("i") + span <= F.col("n")) & (first | (F.col("m") != F.col("before")) | F.col("left"))
     # the grams of all windows that this fingerprint can be the least hash of
     at = at.select(*kept, "k1", "k2", "n", "i", F.when(thin, F.col("m")).alias("m"), F.when(thin, F.slice("g", F.col("i") + 1, windows + span - gram)).alias("g")).where(first | F.col("m").isNotNull())
     hit = at.join(marks, "m", "left").where(first | F.col("found"))

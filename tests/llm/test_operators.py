@@ -99,6 +99,16 @@ def test_decontamination_equals_brute_force(spark):
     assert decontamination.decontaminate(documents(spark, []), none).count() == 0
 
 
+def test_decontamination_of_repetitive_text(spark):
+    runs = [" ".join((phrase.split() * 60)[:n]) for phrase in ("no", "0", "a b", "a b c", "p q r s", "t u v w x", "1 2 3 4 5 6", "f g h i j k l") for n in (17, 40)]
+    items = [*enumerate(runs[::3]), *((100 + k, f"0 0 0 0 0 {a} b c d e") for k, a in enumerate("abcdefgh"))]
+    docs = [*enumerate(runs), *((100 + k, "0 " * 30 + f"{a} b c d e end") for k, a in enumerate("abcdefgh")), (200, "no " * 25 + "0 " * 25 + "a b " * 20)]
+    got = decontamination.decontaminate(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert order(got.collect()) == order(restated_hits(docs, items))
+    whole = decontamination.decontaminate(documents(spark, [(1, "no " * 40)]), spark.createDataFrame([(1, "no " * 40)], "item_id long, text string"))
+    assert whole.first().n_hit == 40
+
+
 # --- 3 ---
 
 
