@@ -12,8 +12,10 @@ where that is only the page itself, the lines from the first surge to the last
 dive are kept, and those that stand in the same place of the page.
 
 Edge cases: null or empty html and pages without text give an empty text; an
-element that is never closed ends with the page, or where an article or main
-element begins; a page whose lines never surge keeps its article, or else all
+element whose end tag is missing ends as in a browser (a head at the first
+element or text of the page's body; li, dt, dd, tr, td and th at the next one; p
+at a block; any at the end of an element around it) or where an article or main
+element begins, else with the page; a page whose lines never surge keeps its article, or else all
 its blocks; character references are decoded once; repeated rows and null ids
 or urls are passed on; an empty table gives an empty result; other columns are
 ignored.
@@ -39,6 +41,16 @@ NEVER = {*RAW, *"head nav footer aside form button dialog menu input label field
 INLINE = {*"a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()}
 VOID = {*"area base br col embed hr img input link meta param source track wbr".split()}
 HOLDS = {"article", "main"}
+BOXES = {*"table td th caption".split()}
+# Elements that are a block of their own, not a container.
+LINES = {*"p h1 h2 h3 h4 h5 h6 li dt dd tr td th".split()}
+# Elements whose end tag may be left out: what starts end them, and what stops the search for them.
+GROUPS = {*"thead tbody tfoot".split()}
+LISTS = {*"ul ol menu dir".split()}
+ENDED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, **dict.fromkeys(GROUPS, {*GROUPS, "caption", "tr", "td", "th"})}
+STOPS = {"li": LISTS | BOXES, "dt": {"dl"} | BOXES, "dd": {"dl"} | BOXES, "p": BOXES, **dict.fromkeys(("td", "th"), {"table", "tr"}), **dict.fromkeys(("tr", *GROUPS), {"table"})}
+# What a head may hold (further elements are raw or void).
+HEADED = {*"html head base link meta".split()}
 # Words of a class, id or role that mark what isn't the article.
 MARKS = {
     *"ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus".split(),
@@ -76,17 +88,17 @@ def _marked(rest: str, inside: bool) -> bool:
 def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
     """Text, enclosing elements and whether all of it is link text, of every block outside elements that never hold the article."""
     out: list[tuple[str, tuple[int, ...], bool]] = []
-    open_: list[tuple[str, int]] = []  # block elements around
+    open_: list[tuple[str, int]] = []  # elements around, with a number if they are containers
     holding: dict[int, str] = {}
     text: list[str] = []
     linked = plain = 0
     link = False
-    dropped, depth, number, last = "", 0, 0, 0
+    dropped, last, number = -1, 0, 0  # dropped: the place among those around of the element that contributes nothing
 
     def close() -> None:
         nonlocal linked, plain
         if text and (words := html.unescape("".join(text)).split()):
-            out.append((" ".join(words), tuple(n for _, n in open_), linked > 4 * plain))
+            out.append((" ".join(words), tuple(n for _, n in open_ if n), linked > 4 * plain))
         text.clear()
         linked = plain = 0
 
@@ -96,21 +108,72 @@ def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
         size = len(part.strip())
         linked, plain = linked + size * link, plain + size * (not link)
 
+    def leave(place: int) -> None:
+        nonlocal dropped, link
+        del open_[place:]
+        if 0 <= place <= dropped:
+            dropped, link = -1, False
+
+    def within(names: set[str], stops: set[str]) -> int:
+        """Place of the innermost element of such a name that no stop is within, or -1."""
+        for k in range(len(open_) - 1, -1, -1):
+            if open_[k][0] in names:
+                return k
+            if open_[k][0] in stops:
+                break
+        return -1
+
+    def ended_by(name: str) -> int:
+        """Place of the outermost element that the start of this one ends for want of an end tag, or -1."""
+        place = -1
+        if name in HOLDS and dropped >= 0:
+            place = dropped
+        elif name not in HEADED and dropped >= 0 and open_[dropped][0] == "head":
+            place = dropped
+        elif name in ENDED:
+            stops = STOPS[name]
+            for k in range(len(open_) - 1, -1, -1):
+                if open_[k][0] in ENDED[name]:
+                    place = k
+                elif open_[k][0] in stops:
+                    break
+                if place >= 0 and name in ("li", "dt", "dd", "td", "th"):
+                    break
+        if place < 0 and name not in INLINE and name not in VOID or name == "hr":
+            place = within({"p"}, BOXES)
+        return place
+
     for m in _TOKEN.finditer(page):
-        if not dropped and m.start() > last:
-            add(page[last : m.start()])
+        if m.start() > last:
+            part = page[last : m.start()]
+            if 0 <= dropped == len(open_) - 1 and open_[dropped][0] == "head" and not part.isspace():
+                leave(dropped)  # text of the body
+            if dropped < 0:
+                add(part)
         last = m.end()
         name = (m["name"] or "").lower()
         if not name:
             continue
-        if dropped:
-            ends = name in HOLDS and not m["end"] or dropped == "p" and not m["end"] and name not in INLINE and name not in VOID
-            if not ends:
-                depth += (name == dropped) * (-1 if m["end"] else not m["rest"].endswith("/"))
-                if not depth:
-                    dropped, link = "", False
+        if m["end"]:
+            place = within({name}, STOPS.get(name, set()))
+        else:
+            place = ended_by(name)
+        if dropped >= 0:
+            if m["end"]:
+                if place >= 0:
+                    if place < dropped:
+                        close()  # an element around it ends
+                    leave(place)
+                continue
+            if place >= 0:
+                if place <= dropped:
+                    close()
+                leave(place)
+            if dropped >= 0:
+                if name not in VOID and not m["rest"].endswith("/"):
+                    open_.append((name, 0))
                 continue
-            dropped, link = "", False  # never closed
+            place = -1
         if name == "br":
             text.append(" ")
         elif name == "a":
@@ -120,24 +183,30 @@ def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
             continue
         if name not in INLINE:
             close()
+        if place >= 0:
+            leave(place)
         if m["end"]:
-            if any(n == name for n, _ in open_):
-                while open_.pop()[0] != name:
-                    pass
             link = False
         elif name not in VOID:
             never = name in NEVER or (name == "header" and not inside) or (name not in ("body", "html", *HOLDS) and _marked(m["rest"], inside))
             if never and not m["rest"].endswith("/"):
-                dropped, depth = name, 1
+                dropped = len(open_)
+                open_.append((name, 0))
+                continue
+            if name in ("html", "body"):
+                continue  # the page
+            if name in LINES:
+                open_.append((name, 0))
                 continue
-            if name in ("html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th"):
-                continue  # the page, or a block of its own: not a container
             number += 1
             open_.append((name, number))
             if name in HOLDS:
                 holding[number] = name
-    if not dropped and last < len(page):
-        add(page[last:])
+    if last < len(page):
+        if 0 <= dropped == len(open_) - 1 and open_[dropped][0] == "head" and not page[last:].isspace():
+            leave(dropped)
+        if dropped < 0:
+            add(page[last:])
     close()
     return [(t, tuple(-n if n in holding else n for n in path), l) for t, path, l in out]
 

@@ -227,6 +227,21 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_missing_end_tags_lose_no_text():
+    long = " ".join(["word"] * 40)
+    text = html_text.main_text
+    for head in ("<html><head><title>t</title><body>", "<html><head><meta charset=x><title>t</title><link href=s>\n", "<head><style>s</style><header>Site</header>"):
+        assert text(f"{head}<p>{long}<p>{long}b") == f"{long}\n\n{long}b"
+    assert text(f"<head><title>t</title> {long}<p>b") == f"{long}\n\nb"
+    for own, other in (("li", "li"), ("dt", "dd"), ("dd", "dt")):
+        around = "ul" if own == "li" else "dl"
+        assert text(f"<div><{around}><{other}>a<{own} class=share>s<b>x<ul><li>y</ul><{other}>{long}</{around}><p>{long}c</p></div>") == f"a\n\n{long}\n\n{long}c"
+        assert text(f"<div><{around}><{other}>a<{own} class=share>s</{around}><p>{long}</p></div>") == f"a\n\n{long}"
+    table = f"<div><table><tr><td>a<td class=ad>x<table><tr><td>y<td>z</table><td>b<tr class=ad><td>n<th>n<tr><th>c<th class=ad>x<tbody class=ad><tr><td>n<tbody><tr><td>d<td class=ad>x</table><p>{long}</p></div>"
+    assert text(table) == f"a\n\nb\n\nc\n\nd\n\n{long}"
+    assert text(f"<article><div>a <span class=share>s</div><p>{long}</p><div><aside>n</div><p>b</article>") == f"a\n\n{long}\n\nb"
+
+
 # --- 8 ---
 
 
