@@ -6,10 +6,13 @@ styles, reader comments; by their name, role, class or id) contribute nothing.
 Text lengths are summed over a sliding window of ``WINDOW`` lines; the text
 surges where the sum first reaches ``SURGE`` characters and dives where it
 falls below again.  The stretch between that holds most text is the core.  The
-article is the core's container: the enclosing article or main element, else
-the least element around the core.  All its blocks are kept, short ones too;
-where that is only the page itself, the lines from the first surge to the last
-dive are kept, and those that stand in the same place of the page.
+article is the container of the stretches: of every outermost article or main
+element with text that surges, the least element of the kind that holds all
+such text of it; if the core is in none, the least element around the core, or
+one farther out as long as that adds text that surges and no more other text
+before and after it.  All its blocks are kept, short ones too; where that is
+only the page itself, the lines from the first surge to the last dive are kept,
+and those that stand in the same places of the page.
 
 Edge cases: null or empty html and pages without text give an empty text; an
 element whose end tag is missing ends as in a browser (a head at the first
@@ -238,23 +241,33 @@ def main_text(page: str | None) -> str:
         return "\n\n".join(t for t, *_ in held or blocks)
     core = max(found, key=lambda s: sum(lengths[s[0] : s[1]]))
     paths = [blocks[i][1] for i in range(*core) if lengths[i]]
-    inside = [p for p in paths if any(n < 0 for n in p)]
-    if inside:
+    surging = [i for s in found for i in range(*s) if lengths[i]]
+    if any(n < 0 for p in paths for n in p):
         totals: dict[int, int] = {}
-        for i in range(*core):
-            for n in blocks[i][1]:
-                if n < 0:
-                    totals[n] = totals.get(n, 0) + lengths[i]
-        # the element with most of the core; of such that are within each other, the inner one
-        around = max(totals, key=lambda n: (totals[n], -n))
-    else:
-        shared = set(paths[0]).intersection(*paths[1:])
-        around = max(shared, default=0)
+        families: dict[int, set[int]] = {}  # by the outermost article or main
+        for i in surging:
+            own = [n for n in blocks[i][1] if n < 0]
+            for n in own:
+                totals[n] = totals.get(n, 0) + lengths[i]
+                families.setdefault(own[0], set()).add(n)
+        # of each the element with most of the text that surges; of such that are within each other, the inner one
+        kept = {max(names, key=lambda n: (totals[n], -n)) for names in families.values()}
+        return "\n\n".join(t for t, path, _ in blocks if not kept.isdisjoint(path))
+    shared = set(paths[0]).intersection(*paths[1:])
+    chain = [0, *(n for n in paths[0] if n in shared)]  # from the page itself to the least element around the core
+    around = chain[-1]
+    for outer in reversed(chain[:-1]):
+        there = [i for i in surging if not outer or outer in blocks[i][1]]
+        more = sum(lengths[i] for i in there if around not in blocks[i][1])
+        # what is outside of the stretches there: menus and the like outweigh no text
+        beyond = [i for i, (_, path, _) in enumerate(blocks) if (not outer or outer in path) and around not in path and not there[0] <= i <= there[-1]]
+        if more and more >= sum(len(blocks[i][0]) for i in beyond):
+            around = outer
     if around:
         return "\n\n".join(t for t, path, _ in blocks if around in path)
-    # the page itself: what is between, and blocks that stand where those of the core do
-    beside = set(paths)
-    return "\n\n".join(t for i, (t, path, linked) in enumerate(blocks) if found[0][0] <= i < found[-1][1] or (path in beside and not linked))
+    # the page itself: what is between, and blocks that stand where those of the stretches do
+    beside = {blocks[i][1] for i in surging}
+    return "\n\n".join(t for i, (t, path, linked) in enumerate(blocks) if found[0][0] <= i < found[-1][1] or chain[-1] in path or (path in beside and not linked))
 
 
 def extract(pages: DataFrame) -> DataFrame:

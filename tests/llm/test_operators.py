@@ -242,6 +242,22 @@ def test_missing_end_tags_lose_no_text():
     assert text(f"<article><div>a <span class=share>s</div><p>{long}</p><div><aside>n</div><p>b</article>") == f"a\n\n{long}\n\nb"
 
 
+def test_all_stretches_of_an_article_are_kept():
+    a, b, c = (" ".join([x * 5] * n) for x, n in (("a", 150), ("b", 80), ("c", 30)))
+    items = [f"item {k}" for k in range(5)]
+    listed = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    want = "\n\n".join(["A", a, *items, "B", b])
+    sections = f"<div class=section><h2>A</h2><p>{a}</p></div>{listed}<div class=section><h2>B</h2><p>{b}</p></div>"
+    menu = "<div><ul>" + "".join(f"<li>entry {k}" for k in range(9)) + "</ul></div>"
+    assert html_text.main_text(f"<div id=content>{sections}</div>") == want
+    assert html_text.main_text(f"<body>{sections}</body>") == want
+    assert html_text.main_text(f"<div><div id=content><div>{sections}</div></div>{menu}</div>") == want
+    assert html_text.main_text(f"<article><h2>A</h2><p>{a}</p></article>{listed}<article><h2>B</h2><p>{b}</p></article>") == f"A\n\n{a}\n\nB\n\n{b}"
+    assert html_text.main_text(f"<main><article><p>{a}</p></article>{listed}<article><p>{b}</p></article><p>{c}</p></main>") == "\n\n".join([a, *items, b, c])
+    links = "".join(f"<p><a href=x>link {b}</a></p>" for _ in range(3))
+    assert html_text.main_text(f"<div><div id=content><h2>A</h2><p>{a}</p></div><div>{links}</div></div>") == f"A\n\n{a}"
+
+
 # --- 8 ---
 
 
