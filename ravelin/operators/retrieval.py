@@ -10,8 +10,6 @@ from ravelin.operators.graph import neighbourhood
 
 #: A query set of so many rows is broadcast (counted first); a larger one is joined by a shuffle of the vectors.
 BROADCAST_QUERIES = 50_000
-#: The largest top_k that the graph's neighbourhoods are cut to.
-MOST = 100
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int | None = None, by: str = "id") -> DataFrame:
@@ -38,10 +36,10 @@ def graph_hits(plans: DataFrame, entities: DataFrame, about: DataFrame) -> DataF
     """q_id, chunk_id, doc_id, ord, entity and rank by (entity, doc_id, ord); a chunk counts once for each entity.
 
     No question needs more of an entity's chunks than its top_k, so each
-    neighbourhood is cut before it is joined.
+    neighbourhood is cut to the largest top_k before it is joined.
     """
     asked = entities.where("degree > 0").select("q_id", "entity").join(plans.select("q_id", "top_k"), "q_id")
-    near = neighbourhood(about, MOST)
+    near = neighbourhood(about, plans.agg(F.max("top_k")).first()[0] or 0)
     order = Window.partitionBy("q_id").orderBy("entity", "doc_id", "ord")
     met = asked.join(near, "entity").where(F.col("place") <= F.col("top_k"))
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_k")).select("q_id", "chunk_id", "doc_id", "ord", "entity", "rank")

@@ -47,6 +47,17 @@ def test_vector_graph_hybrid_and_dispatch(spark, small):
     assert retrieval.insertion_order(queries, vectors, 2).count() == 4
 
 
+def test_graph_hits_reach_the_largest_top_k(spark):
+    about = spark.range(250).selectExpr("concat('d', id) AS chunk_id", "id AS doc_id", "0 AS ord", "'alpha' AS entity")
+    plans = spark.createDataFrame([("a", "GRAPH", 180), ("b", "HYBRID", 2), ("c", "GRAPH", 300)], "q_id string, mode string, top_k int")
+    entities = spark.createDataFrame([(q, "alpha", 250) for q in "abc"], "q_id string, entity string, degree long")
+    hits = retrieval.graph_hits(plans, entities, about)
+    assert {r.q_id: (r.n, r.last) for r in hits.groupBy("q_id").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).collect()} == {"a": (180, 179), "b": (2, 1), "c": (250, 249)}
+    late = spark.createDataFrame([("a", "d150", 0.5, 1), ("a", "d240", 0.6, 2)], "q_id string, chunk_id string, score double, rank int")
+    assert [r.chunk_id for r in retrieval.hybrid_hits(late, hits).collect()] == ["d150"]
+    assert retrieval.graph_hits(plans.limit(0), entities, about).count() == 0
+
+
 def test_hash_vectors(spark):
     import random, hashlib
 
