@@ -13,6 +13,19 @@ from ravelin.scratch import Scratch
 from ravelin.sources.tables import spread, table
 
 
+def placed(rows: DataFrame, by: str, scratch: Scratch) -> DataFrame:
+    """The values of ``by`` and place: how many smaller ones there are. Counted in sorted parts, so that no task sorts all."""
+    parts = rows.select(by).where(F.col(by).isNotNull()).distinct().repartitionByRange(by).sortWithinPartitions(by)
+    parts = scratch.table(parts.select(by, F.monotonically_increasing_id().alias("at")), "places")
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    starts, total = [], 0
+    for r in sorted(parts.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        starts.append((r["part"], total))
+        total += r["n"]
+    before = rows.sparkSession.createDataFrame(starts, "part long, start long")
+    return parts.withColumn("part", part).join(F.broadcast(before), "part").select(by, (F.col("start") + row).alias("place"))
+
+
 class Corpus:
     """Documents, chunks, mentions, edges, degrees, questions and plans of a folder, written to the shared scratch folder on first use."""
 
@@ -81,15 +94,17 @@ class Corpus:
 
     @cached_property
     def vector_rows(self) -> DataFrame:
-        """Stored vectors stand for chunks and questions: by the remainders of a document's id and a question's length."""
+        """Stored vectors stand for chunks and questions: by the remainders of a document's id and a question's length, as places among the vectors' ids."""
         return self.table("embeddings").select("vec_id", F.col("embedding").alias("v"))
 
     @cached_property
     def vector_hits(self) -> DataFrame:
         """For the questions that are not answered from the graph alone."""
-        n = self.vector_rows.agg(F.max("vec_id")).first()[0] + 1
-        chunked = self.chunks.select(F.col("chunk_id").alias("id"), "chunk_id", "doc_id", "ord", F.pmod("doc_id", F.lit(n)).alias("vec_id")).join(self.vector_rows, "vec_id").drop("vec_id")
-        asked = self.plans.where("mode <> 'GRAPH'").select("q_id", "top_k", F.pmod(F.char_length("question"), F.lit(n)).alias("vec_id")).join(self.vector_rows.withColumnRenamed("v", "qv"), "vec_id").drop("vec_id")
+        places = self.scratch.table(placed(self.vector_rows, "vec_id", self.scratch), "vector-places")
+        n = max(places.count(), 1)
+        stored = self.vector_rows.join(places, "vec_id").select("place", "v")
+        chunked = self.chunks.select(F.col("chunk_id").alias("id"), "chunk_id", "doc_id", "ord", F.pmod("doc_id", F.lit(n)).alias("place")).join(stored, "place").drop("place")
+        asked = self.plans.where("mode <> 'GRAPH'").select("q_id", "top_k", F.pmod(F.char_length("question"), F.lit(n)).alias("place")).join(stored.withColumnRenamed("v", "qv"), "place").drop("place")
         asked = self.scratch.table(asked, "asked")
         return self.scratch.table(retrieval.nearest(asked, chunked).drop("id"), "vector-hits")
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from ravelin.config import EngineConfig
 from ravelin.functions import vectors as V
 from ravelin.operators import answer, graph, planner, retrieval, store
+from ravelin.plans.corpus import Corpus, placed
+from ravelin.scratch import Scratch
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +60,26 @@ def test_graph_hits_reach_the_largest_top_k(spark):
     assert retrieval.graph_hits(plans.limit(0), entities, about).count() == 0
 
 
+def test_gaps_in_vector_ids_lose_no_chunk(spark, small):
+    ids = [7, 3, 900, 12, 45, 3, None]
+    vectors = spark.createDataFrame([(x, [float(x or 0)]) for x in ids], "vec_id long, v array<double>")
+    for parts in (1, 3):
+        got = placed(vectors.repartition(parts), "vec_id", Scratch(spark)).collect()
+        assert sorted((r.vec_id, r.place) for r in got) == [(3, 0), (7, 1), (12, 2), (45, 3), (900, 4)]
+    corpus = Corpus(spark, "", EngineConfig())
+    corpus.vector_rows, corpus.chunks = vectors.where("vec_id <> 3"), small[0]
+    corpus.plans = spark.createDataFrame([("a", "VECTOR", 9, "x"), ("b", "HYBRID", 9, "xyz")], "q_id string, mode string, top_k int, question string")
+    assert corpus.vector_hits.groupBy("q_id").count().orderBy("q_id").collect() == [("a", 3), ("b", 3)]
+
+
+def test_retrieval_by_the_embedders_vectors(spark, small):
+    embed = V.embedder("auto", 16)(F.col("text"))
+    vectors = small[0].select(F.col("chunk_id").alias("id"), "chunk_id", "doc_id", "ord", embed.alias("v"))
+    asked = spark.createDataFrame([("a", "beta text", 2), ("b", "Beta and Alpha", 1)], "q_id string, text string, top_k int").select("q_id", embed.alias("qv"), "top_k")
+    best = {r.q_id: (r.chunk_id, r.score) for r in retrieval.nearest(asked, vectors).where("rank = 1").collect()}
+    assert best == {"a": ("d1-1", 0.0), "b": ("d2-0", 0.0)}
+
+
 def test_hash_vectors(spark):
     import random, hashlib
 
