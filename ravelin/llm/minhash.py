@@ -9,12 +9,18 @@ the weights is its signature, and two signatures agree there with the weighted
 Jaccard similarity as probability.  Enough time is drawn that every coordinate
 has a dart, which takes about t ln t darts whatever the weights.
 
-Bands of the signature are bucketed.  Within a bucket no pairs are listed at
-large: members are compared with a hub, linked ones share a class, and only
-members that are not yet of the bucket's main class are compared with the
-others.  So every pair of a bucket is either compared or known to be of one
-class.  Comparisons are exact (weighted Jaccard of the shingles).  Classes are
-the connected components of the links, found by passing on the least label.
+Bands of the signature are bucketed.  A bucket's members are compared first
+with its hub, the one that has most in common with others.  Where that leaves
+more than one class in a bucket, its members are sorted by further coordinates
+of a fresh signature, in ``ORDERS`` orders, and each is compared with the next
+``REACH`` that aren't of its class; this is done in ``ROUNDS`` rounds.  A member
+so has a bounded number of comparisons in each of its ``BANDS`` buckets however
+large they are, and none is left out of them.  Links of the weakest pairs can be
+missed; ``every_pair`` also compares all members of a bucket that aren't known
+to be of one class, which finds every link of a bucket and takes time with the
+square of its size.  Comparisons are weighted Jaccard over the whole texts'
+shingles, held as 32-bit hashes.  Classes are the connected components of the
+links, found by passing on the least label.
 
 Edge cases: equal words in a row (whatever their case A-Z and punctuation) are
 exact copies and of one class; texts without a word, null texts too, stand
@@ -29,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +49,8 @@ from ravelin.sources.tables import table
 SHINGLE = 5
 LIKE = 0.8
 BANDS, WIDTH = 25, 5
-#: Rounds of comparing with hubs before the members that are left are compared with all of their bucket that they can be like.
-HUBS = 2
+#: Rounds of comparing with neighbours, orders of each, neighbours in an order, and 16-bit coordinates that an order sorts by.
+ROUNDS, ORDERS, REACH, DEPTH = 2, 4, 8, 24
 #: Entries that a worker keeps of its map from words to hashes.
 CACHE = 200_000
 
@@ -163,6 +170,8 @@ def components(scratch: Scratch, name: str, labels: DataFrame, links: DataFrame)
         jump = near.where("id != label").select("label").distinct().join(near.select(F.col("id").alias("label"), F.col("label").alias("least")), "label")
         out = near.join(scratch.table(jump, f"{name}-{step}-jump"), "label", "left").select("id", "was", F.coalesce("least", "label").alias("label"))
         out = scratch.table(out, f"{name}-{step}")
+        for old in (f"{step}-near", f"{step}-jump", f"{step - 1}"):
+            scratch.drop(f"{name}-{old}")
         if not out.where("label != was").limit(1).count():
             return out.select("id", "label")
         at, step = out.select("id", "label"), step + 1
@@ -174,67 +183,132 @@ def _of_two(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
     return scratch.table(rows.join(scratch.table(twice, f"{name}-buckets"), "bucket"), name)
 
 
-def classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
+def _further(sets: DataFrame, seed: int) -> DataFrame:
+    """id and far: ``ORDERS * DEPTH`` fresh coordinates, two bytes each, from the cells of each id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for cells in batch.column(1):
+                units = mixed(cells.values.to_numpy().view(np.uint32).astype(np.uint64) + np.array([seed], np.uint64) * _GOLD)
+                made.append((signature(units, np.ones(len(units)), ORDERS * DEPTH) >> np.uint64(48)).astype(">u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "far"])
+
+    return sets.select("id", "cells").mapInArrow(run, "id bigint, far binary")
+
+
+def _can_be_alike(n, s, hn, hs, like: float):
+    """Whether the most that two sets can have in common is enough of the least that they can have together."""
+    low, high = (F.least, F.greatest) if isinstance(n, Column) else (np.minimum, np.maximum)
+    return low(s, hs) >= like * (n - s + hn - hs + high(s, hs))
+
+
+def _neighbours(banded: DataFrame, order: int, like: float) -> DataFrame:
+    """Pairs a < b of neighbours in an order of every bucket that have other labels and can be alike.
+
+    The order is that of all rows by bucket and coordinates, in parts of even
+    size, so that a large bucket is no single task's; neighbours at the edge of
+    two parts are met in the other orders.
+    """
+    rows = banded.select("bucket", "id", "n", "s", "label", F.substring("far", 2 * order * DEPTH + 1, 2 * DEPTH).alias("far"))
+    rows = rows.repartitionByRange("bucket", "far", "id").sortWithinPartitions("bucket", "far", "id").drop("far")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 5
+        for batch in batches:
+            now = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            bucket, id_, n, s, label = now
+            first, second = [], []
+            for k in range(1, min(REACH, len(id_) - 1) + 1):
+                good = (bucket[:-k] == bucket[k:]) & (label[:-k] != label[k:]) & _can_be_alike(n[:-k], s[:-k], n[k:], s[k:], like)
+                good[: max(0, len(held[0]) - k)] = False  # met in the batch before
+                first.append(np.minimum(id_[:-k], id_[k:])[good])
+                second.append(np.maximum(id_[:-k], id_[k:])[good])
+            held = [c[-REACH:] for c in now]
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (first, second)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are alike."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b")
+    sized = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("inside"))
+    return sized.where(F.col("inside") >= like * (F.col("nx") + F.col("ny") - F.col("inside"))).select("a", "b")
+
+
+def _every_pair(scratch: Scratch, mingled: DataFrame, sets: DataFrame, like: float) -> DataFrame:
+    """Pairs a < b of a bucket's members outside its main class with all of its members, where they can be alike."""
+    bands = sets.select("id", "bands")
+    picked = mingled.where("label != main").join(bands, "id").select("bucket", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("label").alias("hl"), F.col("bands").alias("hbands"))
+    picked, banded = scratch.table(picked, "picked"), scratch.table(mingled.join(bands, "id"), "all-banded")
+    # a pair counts in the first bucket that it shares, and once
+    first = F.get("bands", (F.array_position(F.zip_with("bands", "hbands", lambda x, y: x == y), True) - 1).cast("int")) == banded["bucket"]
+    once = first & ~((F.col("label") != F.col("main")) & (F.col("id") > F.col("h")))
+    near = (F.col("label") != F.col("hl")) & _can_be_alike(F.col("n"), F.col("s"), F.col("hn"), F.col("hs"), like) & once
+    return banded.join(picked, (banded["bucket"] == picked["bucket"]) & near).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, like: float = LIKE, every_pair: bool = False) -> DataFrame:
     """rid, doc_id, t1, t2, id (of the copies' first row), label (of the class) for each row of ``docs``."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(sketched(docs), "rows")
-    copies = scratch.table(rows.where("bands is not null").groupBy("k1", "k2").agg(F.min("rid").alias("id")), "copies")
-    firsts = rows.where("bands is not null").join(copies.select(F.col("id").alias("rid")), "rid", "left_semi")
+    worded = rows.where("bands is not null")
+    copies = scratch.table(worded.groupBy("k1", "k2").agg(F.min("rid").alias("id")), "copies")
+    firsts = worded.join(copies.select(F.col("id").alias("rid")), "rid", "left_semi")
     spread = scratch.table(firsts.select(F.col("rid").alias("id"), F.explode("bands").alias("bucket"), F.size("cells").alias("n")), "spread")
     shared = _of_two(scratch, spread, "shared")
     sets = scratch.table(firsts.select(F.col("rid").alias("id"), "cells", "bands").join(shared.select("id").distinct(), "id", "left_semi"), "sets")
+    scratch.drop("spread")
     # cells that no other text has can't be in common with any
     cells = sets.select("id", F.explode("cells").alias("cell")).groupBy("cell").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     alone = scratch.table(cells.where("id = last").groupBy("id").agg(F.count("*").alias("own")), "alone")
     shared = shared.join(alone, "id", "left").select("bucket", "id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s"))
     shared = _of_two(scratch, scratch.table(shared.where(F.col("s") >= like * F.col("n")), "able"), "hopeful")
+    for name in ("shared", "alone", "able"):
+        scratch.drop(name)
     labels = scratch.table(shared.select("id").distinct().withColumn("label", F.col("id")), "labels")
     tested = None
-    for step in range(HUBS + 1):
+    for step in range(1 + ROUNDS + every_pair):
         now = scratch.table(shared.join(labels, "id"), f"{step}-now")
-        # the hub has most in common with others; later ones are of another class than the least label's
-        ends = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("id", F.struct(F.col("s") / F.col("n"), "id")).alias("hub"), F.max_by("label", F.struct(F.col("s") / F.col("n"), "id")).alias("main"))
+        # the hub has most in common with others
+        most = F.struct(F.col("s") / F.col("n"), "id")
+        ends = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("id", most).alias("hub"), F.max_by("label", most).alias("main"))
         ends = scratch.table(ends.where("low != high").drop("low", "high"), f"{step}-ends")
         mingled = scratch.table(now.join(ends, "bucket"), f"{step}-mingled")
-        rest = mingled.where("label != main")
         if step == 0:
-            picked = mingled.where("id = hub")
-        elif step < HUBS:
-            best = rest.groupBy("bucket").agg(F.max_by("id", F.struct(F.col("s") / F.col("n"), "id")).alias("id"))
-            picked = rest.join(scratch.table(best, f"{step}-best"), ["bucket", "id"], "left_semi")
-        else:  # all that are not of the main class with all of the bucket
-            picked = rest.join(sets.select("id", F.col("bands").alias("hbands")), "id")
-            mingled = mingled.join(sets.select("id", "bands"), "id")
-        picked = scratch.table(picked.select("bucket", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("label").alias("hl"), *(["hbands"] if step == HUBS else [])), f"{step}-picked")
-        if step == HUBS:
-            mingled = scratch.table(mingled, f"{step}-banded")
-        # the most that two sets can have in common, over the least that they can have together
-        own = F.col("n") - F.col("s") + F.col("hn") - F.col("hs")
-        near = (F.col("label") != F.col("hl")) & (F.least("s", "hs") >= like * (own + F.greatest("s", "hs")))
-        if step == HUBS:  # a pair counts in the first bucket that it shares, and once
-            first = F.array_position(F.zip_with("bands", "hbands", lambda x, y: x == y), True)
-            both_left = (F.col("label") != F.col("main")) & (F.col("id") > F.col("h"))
-            near = near & (F.get("bands", (first - 1).cast("int")) == mingled["bucket"]) & ~both_left
-        pairs = mingled.join(picked, (mingled["bucket"] == picked["bucket"]) & near)
-        pairs = pairs.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
+            picked = mingled.where("id = hub").select("bucket", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("label").alias("hl"))
+            picked = scratch.table(picked, "hubs")
+            near = (F.col("label") != F.col("hl")) & _can_be_alike(F.col("n"), F.col("s"), F.col("hn"), F.col("hs"), like)
+            pairs = mingled.join(picked, (mingled["bucket"] == picked["bucket"]) & near).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
+        elif step <= ROUNDS:
+            far = _further(sets.join(mingled.select("id").distinct(), "id", "left_semi"), step)
+            banded = scratch.table(mingled.select("bucket", "id", F.col("n").cast("bigint").alias("n"), "s", "label").join(scratch.table(far, f"{step}-far"), "id"), f"{step}-banded")
+            found = [scratch.table(_neighbours(banded, order, like), f"{step}-order-{order}") for order in range(ORDERS)]
+            pairs = reduce(DataFrame.unionByName, found).distinct()
+        else:
+            pairs = _every_pair(scratch, mingled, sets, like)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, f"{step}-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a")
-        both = left.join(sets.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b")
-        inside = F.size(F.array_intersect("x", "y"))
-        links = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), inside.alias("inside")).where(F.col("inside") >= like * (F.col("nx") + F.col("ny") - F.col("inside")))
-        links = scratch.table(links.select("a", "b"), f"{step}-links")
+        links = scratch.table(_linked(pairs, sets, like), f"{step}-links")
         # labels stand for the links so far
         links = links.unionByName(labels.where("id != label").select(F.col("label").alias("a"), F.col("id").alias("b")))
         labels = components(scratch, f"{step}-components", labels, links)
-        for name in ("now", "mingled", "picked", "ends"):
+        for name in ("now", "ends", "mingled", "far", "banded", *(f"order-{order}" for order in range(ORDERS))):
             scratch.drop(f"{step}-{name}")
     known = scratch.table(copies.join(labels, "id", "left").select("k1", "k2", "id", F.coalesce("label", "id").alias("label")), "known")
-    named = rows.select("rid", "doc_id", "t1", "t2", "k1", "k2").join(known, ["k1", "k2"], "left")
-    alone = F.coalesce("id", "rid")
-    return scratch.table(named.select("rid", "doc_id", "t1", "t2", alone.alias("id"), F.coalesce("label", "rid").alias("label")), "classes")
+    ids = ["rid", "doc_id", "t1", "t2"]
+    named = worded.select(*ids, "k1", "k2").join(known, ["k1", "k2"]).select(*ids, "id", "label")
+    # texts without a word share no key: they are left out of the join
+    named = named.unionByName(rows.where("bands is null").select(*ids, F.col("rid").alias("id"), F.col("rid").alias("label")))
+    made = scratch.table(named, "classes")
+    for name in ("rows", "copies", "hopeful", "sets", "known"):
+        scratch.drop(name)
+    return made
 
 
 def _firsts(made: DataFrame) -> DataFrame:
@@ -243,9 +317,9 @@ def _firsts(made: DataFrame) -> DataFrame:
     return made.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))
 
 
-def near_copies(docs: DataFrame, like: float = LIKE) -> DataFrame:
+def near_copies(docs: DataFrame, like: float = LIKE, every_pair: bool = False) -> DataFrame:
     """doc_id, class_id (the first doc_id of the class), class_size and kept (whether the row is the first) for each row."""
-    made = classes(docs, like)
+    made = classes(docs, like, every_pair)
     first = Scratch(docs.sparkSession).table(_firsts(made), "firsts")
     out = made.join(first, "label")
     return out.select("doc_id", F.col("first.doc_id").alias("class_id"), F.col("class_size"), (F.col("rid") == F.col("first.rid")).alias("kept"))
