@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urljoin
+from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,91 +18,125 @@ from ravelin.config import EngineConfig
 from ravelin.functions import urls as U
 from ravelin.scratch import Scratch
 
+#: Name that robots files see.
+AGENT = "RavelinBot"
+
 # Elements that are removed before anything is read, and those whose text makes up a page.
 REMOVED = ("script", "style", "noscript", "template", "nav", "footer", "form", "aside", "iframe")
 LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+HOLDERS = ("article", "main", "body")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 
 class _Reader(HTMLParser):
-    """Lines of the headings and paragraphs, by the container they stand in, and the canonical reference."""
+    """Lines of the headings and paragraphs by the container they stand in, the title, the canonical reference and the references of links."""
 
-    def __init__(self) -> None:
+    def __init__(self, removed: tuple[str, ...]) -> None:
         super().__init__(convert_charrefs=True)
+        self.removed, self.gone = removed, 0
         self.open: list[tuple[str, list[str] | None]] = []
-        self.lines: list[tuple[tuple[str, ...], list[str]]] = []
+        self.counts: Counter[str] = Counter()
+        self.lines: list[tuple[str, list[str]]] = []
+        self.live: list[list[str]] = []
         self.seen: set[str] = set()
+        self.title: list[str] | None = None
         self.canonical: str | None = None
+        self.hrefs: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         given = {k: v or "" for k, v in attrs}
-        if tag == "link" and self.canonical is None and "canonical" in given.get("rel", "").lower() and given.get("href"):
-            self.canonical = given["href"]
+        if tag == "link" and self.canonical is None and "canonical" in given.get("rel", "").lower():
+            self.canonical = given.get("href", "")
+        if tag == "a" and given.get("href", "").strip() and not self.gone:
+            self.hrefs.append(given["href"].strip())
         if tag in VOID:
             return
-        line = None
-        if not any(t in REMOVED for t, _ in self.open) and tag not in REMOVED:
-            if tag in ("article", "main", "body") and tag not in self.seen:
+        line, name = None, tag
+        if tag not in self.removed and not self.gone:
+            if tag in HOLDERS and tag not in self.seen:
                 self.seen.add(tag)
-                tag = f"first-{tag}"
+                name = f"first-{tag}"
             if tag in LINES:
                 line = []
-                self.lines.append((tuple(t for t, _ in self.open), line))
-        self.open.append((tag, line))
+                # the best container around it
+                self.lines.append((tuple(h for h in HOLDERS if self.counts[f"first-{h}"]), line))
+            elif tag == "title" and self.title is None:
+                line = self.title = []
+        self._enter(name, line)
+
+    def _enter(self, name: str, line: list[str] | None) -> None:
+        self.open.append((name, line))
+        self.counts[name] += 1
+        self.gone += name in self.removed
+        if line is not None:
+            self.live.append(line)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0].removeprefix("first-") == tag:
-                del self.open[k:]
+        names = {tag, f"first-{tag}"}
+        if not any(self.counts[n] for n in names):
+            return
+        while self.open:
+            name, line = self.open.pop()
+            self.counts[name] -= 1
+            self.gone -= name in self.removed
+            if line is not None:
+                self.live.pop()
+            if name in names:
                 return
 
     def handle_data(self, data):
         text = data.strip()
-        if text and not any(t in REMOVED for t, _ in self.open):
-            for _, line in self.open:
-                if line is not None:
-                    line.append(text)
+        if text and not self.gone:
+            for line in self.live:
+                line.append(text)
 
 
-def read_page(html: str | None) -> tuple[str, str | None]:
-    """Text of a page (of its first article, else main, else body, else all of it) and its canonical reference."""
-    reader = _Reader()
+def read_page(html: str | None, removed: tuple[str, ...] = REMOVED) -> tuple[str, str, str | None, list[str]]:
+    """Text of a page (of its first article, else main, else body, else all of it), its title, canonical reference and the references of its links."""
+    reader = _Reader(removed)
     reader.feed(html or "")
     reader.close()
-    holder = next((f"first-{t}" for t in ("article", "main", "body") if t in reader.seen), None)
-    lines = [" ".join(parts) for path, parts in reader.lines if parts and (holder is None or holder in path)]
-    return "\n\n".join(lines), reader.canonical
+    holder = next((h for h in HOLDERS if h in reader.seen), None)
+    lines = [" ".join(parts) for around, parts in reader.lines if parts and (holder is None or holder in around)]
+    return "\n\n".join(lines).strip(), " ".join(reader.title or []).strip(), reader.canonical or None, reader.hrefs
+
+
+def _joined(base: str | None, reference: str) -> str | None:
+    """The reference on its base; null where it is no address."""
+    try:
+        return urljoin(base or "", reference)
+    except ValueError:
+        return None
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, canonical_url, title, content of every page."""
-    titled = pages.select("page_id", "url", U.page_title(F.coalesce("html", F.lit(""))).alias("title"), "html")
+def page_texts(pages: DataFrame, removed: tuple[str, ...] = REMOVED) -> DataFrame:
+    """page_id, url, canonical_url, title, content and links (distinct normalised links to the page's own origin, sorted) of every page.
+
+    Elements of the names ``removed`` count for nothing, their links included.
+    A page without a title has its canonical address as title.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [read_page(h) for h in batch.column(3).to_pylist()]
-            joined = [urljoin(u or "", c) if c else u for u, (_, c) in zip(batch.column(1).to_pylist(), made, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(joined, pa.string()), pa.array([t for t, _ in made], pa.string())], names=["page_id", "url", "title", "canonical", "content"])
+            out = []
+            for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text, title, canonical, hrefs = read_page(html, removed)
+                base = (_joined(url, canonical) if canonical else None) or url
+                out.append((base, title, text, [x for x in dict.fromkeys(_joined(base, h) for h in hrefs) if x]))
+            kinds = {"canonical": pa.string(), "title": pa.string(), "content": pa.string(), "links": pa.list_(pa.string())}
+            made = [pa.array(column, kind) for column, kind in zip(zip(*out, strict=True) if out else [[]] * 4, kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["page_id", "url", *kinds])
 
-    read = titled.mapInArrow(run, "page_id bigint, url string, title string, canonical string, content string")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    read = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, canonical string, title string, content string, links array<string>")
     canonical = U.normalised(F.col("canonical"))
-    return read.select("page_id", "url", canonical.alias("canonical_url"), F.coalesce(F.nullif("title", F.lit("")), canonical).alias("title"), "content")
-
-
-def page_lines(html):
-    """The same text as an expression, for pages whose paragraphs aren't nested: lines of the article (else the body)."""
-    bare = U.without_elements(F.coalesce(html, F.lit("")), REMOVED)
-    inner = F.regexp_extract(bare, r"(?is)<article\b[^>]*>(.*)</article>", 1)
-    parts = F.split(F.when(inner != "", inner).otherwise(bare), r"(?i)</?(?:p|h[1-6])\b[^>]*>")
-    pieces = lambda part: F.filter(F.transform(F.split(part, r"<[^>]*>"), lambda t: F.trim(U.unescaped(t))), lambda t: t != "")
-    return F.filter(F.transform(parts, lambda p: F.array_join(pieces(p), " ")), lambda t: t != "")
+    own = F.array_sort(F.array_distinct(F.filter(F.transform("links", U.normalised), lambda x: U.same_origin(F.col("url"), x))))
+    return read.select("page_id", "url", canonical.alias("canonical_url"), F.coalesce(F.nullif("title", F.lit("")), canonical).alias("title"), "content", own.alias("links"))
 
 
 def page_links(pages: DataFrame, removed: tuple[str, ...] = REMOVED) -> DataFrame:
     """page_id and link: distinct normalised links to the page's own origin outside the removed elements."""
-    found = pages.select("page_id", "url", F.explode(U.hrefs(U.without_elements(F.coalesce("html", F.lit("")), removed) if removed else F.coalesce("html", F.lit("")))).alias("href"))
-    link = U.normalised(U.absolute(F.col("href"), F.col("url")))
-    return found.select("page_id", "url", link.alias("link")).where(U.same_origin(F.col("url"), F.col("link"))).select("page_id", "link").distinct()
+    return page_texts(pages, removed).select("page_id", F.explode("links").alias("link")).distinct()
 
 
 def first_by_content(pages: DataFrame, seq: str = "page_id") -> DataFrame:
@@ -116,12 +154,108 @@ def within_budget(pages: DataFrame, config: EngineConfig = EngineConfig(), by: s
     return total.where(F.col("total_chars") <= config.crawl_chars)
 
 
-def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pages that no rule (host, prefix of the path) of their host disallows."""
-    path = F.coalesce(F.nullif(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), F.lit("")), F.lit("/"))
-    at = pages.withColumn("_path", path)
-    hit = (U.authority(at["url"]) == rules["host"]) & (rules["prefix"] != "") & F.expr("startswith(_path, prefix)")
-    return at.join(rules, hit, "left_anti").drop("_path")
+def can_fetch(urls: pd.Series, robots: pd.Series) -> pd.Series:
+    """Whether the robots file of the host (null: none) lets a crawler of any name fetch the address."""
+    parsers: dict[str, RobotFileParser] = {}
+
+    def judged(url: str | None, text: str | None) -> bool:
+        if url is None or text is None:
+            return True
+        if text not in parsers:
+            parsers[text] = made = RobotFileParser()
+            made.parse(text.splitlines())
+            made.modified()
+        return parsers[text].can_fetch(AGENT, url)
+
+    return pd.Series([judged(u, t) for u, t in zip(urls, robots, strict=True)], dtype=bool)
+
+
+def allowed(pages: DataFrame, robots: DataFrame) -> DataFrame:
+    """Pages that the robots file (host, robots) of their host allows; groups by agent, Allow and Disallow, first match."""
+    rules = robots.select(F.col("host").alias("_host"), F.col("robots").alias("_robots"))
+    both = pages.join(rules, U.authority(F.col("url")) == F.col("_host"), "left")
+    return both.where(F.pandas_udf(can_fetch, "boolean")("url", "_robots")).drop("_host", "_robots")
+
+
+def _visited(level: DataFrame, frontier: DataFrame, before: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pages of a level (root, place, url, canonical, sha1) that are taken: root and place.
+
+    A page goes if its address is the canonical one of a page taken before it,
+    if its own canonical one is another and was met before, or if its text was.
+    Which pages are taken before depends on the same rule, so it is applied
+    until nothing changes; every pass settles one more page of each root at least.
+    """
+    taken, step, was = scratch.table(level.select("root", "place"), f"{name}-0"), 0, None
+    rows = level.select("root", "place", "url", "canonical", "sha1")
+    met = before.select("root", F.col("url").alias("met"), F.lit(-1).alias("at")).unionByName(frontier.select("root", F.col("url").alias("met"), F.col("place").alias("at")))
+    while True:
+        now = rows.join(taken, ["root", "place"])
+        by_name = now.groupBy("root", F.col("canonical").alias("url")).agg(F.min("place").alias("named"))
+        live = rows.join(by_name, ["root", "url"], "left").where(F.coalesce(F.col("named") >= F.col("place"), F.lit(True))).drop("named")
+        popped = met.unionByName(now.select("root", F.col("canonical").alias("met"), F.col("place").alias("at")))
+        popped = popped.groupBy("root", F.col("met").alias("canonical")).agg(F.min("at").alias("at"))
+        live = live.join(popped, ["root", "canonical"], "left").where((F.col("canonical") == F.col("url")) | F.coalesce(F.col("at") >= F.col("place"), F.lit(True))).drop("at")
+        first = live.groupBy("root", "sha1").agg(F.min("place").alias("first"))
+        live = live.join(first, ["root", "sha1"]).where("place = first").select("root", "place")
+        out = scratch.table(live, f"{name}-{step + 1}")
+        marks = out.agg(F.count("*"), F.bit_xor(F.xxhash64("root", "place")), F.bit_xor(F.xxhash64("place", "root"))).first()
+        if marks == was:
+            return out
+        taken, step, was = out, step + 1, marks
+
+
+def crawl_pages(roots: DataFrame, pages: DataFrame, robots: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """root, visit, depth, page_id, url (canonical), title, content, n_chars of the captured pages that a crawl from each root takes.
+
+    ``roots`` has root, ``pages`` page_id, url, html and maybe content_type,
+    ``robots`` host and robots.  Pages are visited level by level, by their
+    parent's place and their link; links outside the root's origin, addresses
+    that robots forbid, that weren't captured or aren't HTML, pages without
+    text, and repeats of an address, canonical address or text are passed over.
+    A crawl ends at the first page that would exceed the characters, or with the
+    largest number of pages.  A job for each level; no root is one task's.
+    """
+    scratch = Scratch(roots.sparkSession)
+    asked = roots.where(U.valid_url(F.col("root"))).select("root", U.normalised(F.col("root")).alias("url")).distinct()
+    origins = asked.select(U.scheme(F.col("root")).alias("s"), U.authority(F.col("root")).alias("h")).distinct()
+    if "content_type" in pages.columns:
+        pages = pages.where(F.contains(F.lower("content_type"), F.lit("text/html")))
+    near = pages.join(origins, (U.scheme(pages["url"]) == F.col("s")) & (U.authority(pages["url"]) == F.col("h")), "left_semi")
+    read = scratch.table(allowed(page_texts(near), robots).where("content <> ''"), "read")
+    # of captures of one address the first stays
+    first = read.groupBy(U.normalised(F.col("url")).alias("at")).agg(F.min_by(F.struct("page_id", "canonical_url", "title", "content", "links"), "page_id").alias("p"))
+    stored = scratch.table(first.select("at", "p.*", F.sha1("p.content").alias("sha1"), F.char_length("p.content").cast("bigint").alias("n_chars")), "stored")
+    frontier = scratch.table(asked.withColumn("place", F.lit(1)), "frontier-0")
+    seen = frontier.select("root", "url").limit(0)
+    hashes = None
+    done: list[DataFrame] = []
+    for depth in range(config.crawl_depth + 1):
+        level = frontier.join(stored, frontier["url"] == stored["at"]).withColumnRenamed("canonical_url", "canonical").drop("at")
+        level = level.where(U.same_origin(F.col("root"), F.col("url")))
+        if hashes is not None:
+            level = level.join(hashes, ["root", "sha1"], "left_anti")
+        level = scratch.table(level, f"level-{depth}")
+        taken = level.join(_visited(level, frontier, seen, scratch, f"taken-{depth}"), ["root", "place"])
+        # what a root has so far, and the running totals of this level
+        past = reduce(DataFrame.unionByName, done).groupBy("root").agg(F.count("*").alias("had"), F.sum("n_chars").alias("chars"), F.max("over").alias("stopped")) if done else None
+        run = taken.join(past, "root", "left") if done else taken.select("*", F.lit(None).cast("bigint").alias("had"), F.lit(None).cast("bigint").alias("chars"), F.lit(False).alias("stopped"))
+        order = Window.partitionBy("root").orderBy("place")
+        run = run.where(~F.coalesce("stopped", F.lit(False))).withColumn("visit", F.coalesce("had", F.lit(0)) + F.row_number().over(order)).where(F.col("visit") <= max(1, config.crawl_pages))
+        run = run.withColumn("over", F.coalesce("chars", F.lit(0)) + F.sum("n_chars").over(order) > config.crawl_chars)
+        kept = scratch.table(run.select("root", "visit", F.lit(depth).alias("depth"), "page_id", "url", "canonical", "title", "content", "n_chars", "sha1", "links", "over"), f"kept-{depth}")
+        done.append(kept)
+        if depth == config.crawl_depth:
+            break
+        good = kept.where("NOT over")
+        hashes = good.select("root", "sha1") if hashes is None else hashes.unionByName(good.select("root", "sha1"))
+        seen = seen.unionByName(frontier.select("root", "url")).unionByName(good.select("root", F.col("canonical").alias("url"))).distinct()
+        open_ = good.join(kept.groupBy("root").agg(F.max("over").alias("ended")).where("NOT ended").select("root"), "root", "left_semi")
+        ahead = open_.select("root", "visit", F.posexplode("links").alias("k", "url")).groupBy("root", "url").agg(F.min(F.struct("visit", "k")).alias("place"))
+        ahead = ahead.join(seen, ["root", "url"], "left_anti")
+        numbered = ahead.select("root", "url", F.row_number().over(Window.partitionBy("root").orderBy("place", "url")).alias("place"))
+        frontier = scratch.table(numbered, f"frontier-{depth + 1}")
+        seen = scratch.table(seen, f"seen-{depth}")
+    return reduce(DataFrame.unionByName, done).where("NOT over").select("root", F.col("visit").cast("int").alias("visit"), "depth", "page_id", F.col("canonical").alias("url"), "title", "content", "n_chars")
 
 
 def crawl(roots: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:

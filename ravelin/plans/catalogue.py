@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -288,7 +289,7 @@ def same_origin_pages(c: Corpus) -> DataFrame:
 
 @query
 def page_title(c: Corpus) -> DataFrame:
-    return c.table("pages").select("page_id", U.page_title(F.coalesce("html", F.lit(""))).alias("title"))
+    return c.read_pages.select("page_id", "title")
 
 
 @query
@@ -299,43 +300,53 @@ def page_links(c: Corpus) -> DataFrame:
 
 @query
 def page_content_links(c: Corpus) -> DataFrame:
-    return web.page_links(c.table("pages"))
+    """Links outside the menus, of pages whose articles are given some."""
+    return web.page_links(c.site)
 
 
 @query
 def page_main_text(c: Corpus) -> DataFrame:
-    return c.table("pages").select("page_id", F.array_join(web.page_lines(F.col("html")), "\n\n").alias("content"))
+    return c.read_pages.select("page_id", "content")
 
 
 @query
 def page_read(c: Corpus) -> DataFrame:
-    """The same by a parser of nested elements, with the canonical address."""
-    return web.page_texts(c.table("pages"))
+    return c.read_pages.select("page_id", "url", "canonical_url", F.size("links").alias("n_links"))
 
 
 @query
 def page_dedupe_sha1(c: Corpus) -> DataFrame:
-    content = c.table("pages").select("page_id", F.array_join(web.page_lines(F.col("html")), "\n\n").alias("content"))
-    return web.first_by_content(content).select("page_id", "sha1")
+    return web.first_by_content(c.read_pages.select("page_id", "content")).select("page_id", "sha1")
 
 
 @query
 def page_dedupe_canonical(c: Corpus) -> DataFrame:
-    return c.table("pages").groupBy(U.normalised(F.col("url")).alias("canonical_url")).agg(F.min("page_id").alias("page_id"))
+    """One page in three names a canonical address that it shares with others."""
+    return web.page_texts(c.site).groupBy("canonical_url").agg(F.min("page_id").alias("page_id"))
 
 
 @query
 def crawl_char_budget(c: Corpus) -> DataFrame:
-    pages = c.table("pages").select("page_id", U.authority(F.col("url")).alias("host"), F.array_join(web.page_lines(F.col("html")), "\n\n").alias("content")).where("content <> ''")
+    pages = c.read_pages.select("page_id", U.authority(F.col("url")).alias("host"), "content").where("content <> ''")
     return web.within_budget(pages, c.config).select("page_id", "host", "visit", "n_chars", "total_chars")
 
 
 @query
 def crawl_robots(c: Corpus) -> DataFrame:
-    """Every host with pages in English disallows its French pages."""
+    """Every host with pages in English disallows its French pages but those that begin with 1."""
     pages = c.table("pages").select("page_id", "url")
-    rules = pages.where(F.contains("url", F.lit("/en/"))).select(U.authority(F.col("url")).alias("host"), F.lit("/fr/").alias("prefix")).distinct()
-    return web.allowed(pages, rules).select("page_id")
+    robots = pages.where(F.contains("url", F.lit("/en/"))).select(U.authority(F.col("url")).alias("host"), F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /fr/1\nDisallow: /fr/\n").alias("robots")).distinct()
+    return web.allowed(pages, robots).select("page_id")
+
+
+@query
+def crawl_pages(c: Corpus) -> DataFrame:
+    """From the first page of each host over two links; addresses with a 7 are forbidden."""
+    pages = c.site.where("page_id % 3 <> 1")
+    roots = pages.groupBy("host").agg(F.min_by("url", "page_id").alias("root")).select("root")
+    robots = pages.select("host", F.lit("User-agent: *\nDisallow: /en/7\n").alias("robots")).distinct()
+    got = web.crawl_pages(roots, pages, robots, replace(c.config, crawl_depth=2))
+    return got.select("root", "visit", "depth", "page_id", "n_chars", F.md5("content").alias("content_md5"))
 
 
 @query

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.config import EngineConfig
-from ravelin.operators import answer, chunking, graph, planner, retrieval
+from ravelin.functions import urls as U
+from ravelin.operators import answer, chunking, graph, planner, retrieval, web
 from ravelin.scratch import Scratch
 from ravelin.sources.tables import spread, table
 
@@ -69,6 +70,22 @@ class Corpus:
     def degrees(self) -> DataFrame:
         return self.scratch.table(graph.degrees(self.about), "degrees")
 
+    @cached_property
+    def read_pages(self) -> DataFrame:
+        return self.scratch.table(web.page_texts(spread(self.table("pages").select("page_id", "url", "html"))), "pages")
+
+    @cached_property
+    def site(self) -> DataFrame:
+        """Captured pages with links in their articles: to the next two pages of the host, to an address with dots in its path, and to another host."""
+        pages = self.table("pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), U.authority(F.col("url")).alias("host"))
+        order = Window.partitionBy("host").orderBy("page_id")
+        link = lambda href: F.concat(F.lit("<a href='"), href, F.lit("'>on</a>"))
+        after = [link(F.concat(F.lead("url", k).over(order), F.lit("#top"))) for k in (1, 2)]
+        links = F.concat_ws(" ", *after, link(F.concat(F.lit("/a/../up/"), "page_id", F.lit("?q=1"))), link(F.lit("https://elsewhere.invalid/x")))
+        made = F.replace("html", F.lit("</article>"), F.concat(F.lit("<p>"), links, F.lit("</p></article>")))
+        named = F.replace(made, F.lit("<head>"), F.concat(F.lit("<head><link rel='Canonical' href='/c/"), F.floor(F.col("page_id") / 9), F.lit("'>")))
+        return pages.select("page_id", "url", "host", F.when(F.col("page_id") % 3 == 1, named).otherwise(made).alias("html"))
+
     @cached_property
     def questions(self) -> DataFrame:
         """User turns, benchmark texts, and for every source one question with a rare entity and one of short words."""

@@ -7,6 +7,7 @@ from ravelin.operators.answer import FAILED, HEADER, NOTHING, STUB_ANSWER
 SIZE, OVERLAP, TOP_K = 512, 64, 6
 STEP = SIZE - OVERLAP
 
+# What a named phrase and a tag of the corpus look like.
 PHRASE = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
 TEXT = "coalesce(text, '')"
 LONG_WORDS = r"list_filter(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z]{{4,}}'))"
@@ -79,14 +80,30 @@ STRIPPED = [(r"^\s+|\s+$", "")]
 SCHEME = r"lower(nullif(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1), ''))"
 AUTHORITY = r"nullif(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '')"
 NORMAL = r"coalesce(nullif(regexp_replace(regexp_replace({u}, '(?s)[?#].*$', ''), '/+$', ''), ''), regexp_replace({u}, '(?s)[?#].*$', ''))"
+ORIGIN = f"({SCHEME} || '://' || {AUTHORITY})"
+# Elements that are removed before anything is read.
 _REMOVED = "script style noscript template nav footer form aside iframe".split()
 _BARE = _replaced("coalesce(html, '')", [(rf"(?is)<{n}\b[^>]*>.*?</{n}\s*>", "") for n in _REMOVED])
+_TEXTS = rf"list_filter(list_transform(regexp_split_to_array({{x}}, '<[^>]*>'), lambda t: {_replaced(_unescaped('t'), STRIPPED)}), lambda t: t <> '')"
+TITLE = rf"coalesce(nullif(array_to_string({_TEXTS.format(x="regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)")}, ' '), ''), {NORMAL.format(u='url')})"
+#: An open paragraph or heading holds all that comes before its end tag, so one without an end tag holds the rest of the article.
 PAGES = rf"""
 bare AS (SELECT page_id, url, {_BARE} AS h FROM pages),
 inner_ AS (SELECT page_id, url, CASE WHEN regexp_extract(h, '(?is)<article\b[^>]*>(.*)</article>', 1) <> '' THEN regexp_extract(h, '(?is)<article\b[^>]*>(.*)</article>', 1) ELSE h END AS h FROM bare),
-part AS (SELECT page_id, url, regexp_split_to_array(h, '(?i)</?(?:p|h[1-6])\b[^>]*>') AS ps FROM inner_),
-line AS (SELECT page_id, url, list_filter(list_transform(ps, lambda x: array_to_string(list_filter(list_transform(regexp_split_to_array(x, '<[^>]*>'), lambda t: trim({_unescaped("t")})), lambda t: t <> ''), ' ')), lambda t: t <> '') AS ls FROM part),
+part AS (SELECT page_id, url, regexp_split_to_array(h, '(?i)<(?:p|h[1-6])\b[^>]*>')[2:] AS ps FROM inner_),
+texts AS (SELECT page_id, url, list_transform(ps, lambda x: array_to_string({_TEXTS.format(x="x")}, ' ')) AS ts, list_transform(ps, lambda x: regexp_matches(x, '(?i)</(?:p|h[1-6])\s*>')) AS ended FROM part),
+line AS (SELECT page_id, url, list_filter(list_transform(range(1, len(ts) + 1), lambda k: CASE WHEN ended[k] THEN ts[k] ELSE array_to_string(list_filter(ts[k:], lambda t: t <> ''), ' ') END), lambda t: t <> '') AS ls FROM texts),
 page AS (SELECT page_id, url, array_to_string(ls, chr(10) || chr(10)) AS content FROM line)"""
+#: The links that the pages of the crafted site are given.
+SITE = f"""
+host AS (SELECT *, {AUTHORITY.format(u='url')} AS host FROM pages),
+nexts AS (SELECT page_id, url, host, html, lead(url, 1) OVER w AS u1, lead(url, 2) OVER w AS u2 FROM host WINDOW w AS (PARTITION BY host ORDER BY page_id)),
+given AS (SELECT page_id, url, host, unnest([u1, u2, {ORIGIN.format(u='url')} || '/up/' || page_id]) AS u FROM nexts WHERE contains(html, '</article>')),
+content_link AS (SELECT DISTINCT page_id, {NORMAL.format(u='u')} AS link FROM given WHERE u IS NOT NULL AND {SCHEME.format(u='url')} = {SCHEME.format(u='u')})"""
+#: The site's texts: the links make a paragraph of their own at the end, which all open ones hold as well.
+SITE_TEXTS = f"""{SITE},
+pages_ AS (SELECT page_id, url, host, replace(coalesce(html, ''), '</article>', '<p>' || CASE WHEN u1 IS NULL THEN '' ELSE '<a>on</a>' END || ' ' || CASE WHEN u2 IS NULL THEN '' ELSE '<a>on</a>' END || ' <a>on</a> <a>on</a></p></article>') AS html FROM nexts),
+{PAGES.replace("FROM pages)", "FROM pages_)").strip()}"""
 LINKS = rf"""
 href AS (SELECT page_id, url, trim(unnest(regexp_extract_all({{h}}, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1))) AS h FROM {{t}}),
 whole AS (SELECT page_id, url, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN h LIKE '//%' THEN {SCHEME.format(u="url")} || ':' || h
@@ -97,6 +114,7 @@ SUMMARY = f"""{MENTIONS},
 nc AS (SELECT doc_id, count(*) AS chunks FROM chunk GROUP BY doc_id), ne AS (SELECT doc_id, count(*) AS entities FROM mention GROUP BY doc_id),
 summary AS (SELECT doc_id, coalesce(chunks, 0) AS chunks, coalesce(entities, 0) AS entities FROM documents LEFT JOIN nc USING (doc_id) LEFT JOIN ne USING (doc_id))"""
 
+# Tags, hashes and marks that are cut out of answers.
 _TAGS = [(r"(?i)\[doc_id:[^\]]*\]", ""), (r"(?i)\[chunk_id:[^\]]*\]", ""), (r"\[[^:\]]+:[^\]]*\]", "")]
 _HEX = [(r"(?i)(?:\b[0-9a-f]{16,}\b:?)+", " "), (r"\s{2,}", " ")]
 _POLISH = [(r"\(\s*\)", ""), (r":\s*-\s+", ": "), (r"([.!?])\s*-\s+", r"\1 "), (r"\s+-\s+", " "), (r"\s{2,}", " "), (r"\s+([,.;:])", r"\1"), (r"([,.;:])(\S)", r"\1 \2")]
@@ -151,14 +169,30 @@ ORACLE_SQL: dict[str, str] = {
     "url_normalise": f"SELECT page_id, {NORMAL.format(u='url')} AS url FROM pages",
     "url_validate": f"WITH g AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'ftp:' || url WHEN page_id % 10 = 1 THEN 'https:///path' ELSE url END AS url FROM pages) SELECT page_id, coalesce({SCHEME.format(u='url')} IN ('http', 'https') AND {AUTHORITY.format(u='url')} IS NOT NULL, FALSE) AS valid FROM g",
     "same_origin_pages": f"SELECT {SCHEME.format(u='url')} AS scheme, {AUTHORITY.format(u='url')} AS authority, count(*) AS n FROM pages GROUP BY ALL",
-    "page_title": rf"SELECT page_id, trim(regexp_replace({_unescaped('''regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)''')}, '\s+', ' ', 'g')) AS title FROM pages",
+    "page_title": f"SELECT page_id, {TITLE} AS title FROM pages",
     "page_links": f"WITH {LINKS.format(h='''coalesce(html, '')''', t='pages')} SELECT page_id, link FROM link",
-    "page_content_links": f"WITH {PAGES}, {LINKS.format(h='h', t='bare')} SELECT page_id, link FROM link",
+    "page_content_links": f"WITH {SITE} SELECT page_id, link FROM content_link",
     "page_main_text": f"WITH {PAGES} SELECT page_id, content FROM page",
     "page_dedupe_sha1": f"WITH {PAGES} SELECT min(page_id) AS page_id, sha1(content) AS sha1 FROM page WHERE content <> '' GROUP BY content",
-    "page_dedupe_canonical": f"SELECT {NORMAL.format(u='url')} AS canonical_url, min(page_id) AS page_id FROM pages GROUP BY 1",
+    "page_read": f"SELECT page_id, url, {NORMAL.format(u='url')} AS canonical_url, CAST(0 AS INTEGER) AS n_links FROM pages",
+    "page_dedupe_canonical": f"SELECT CASE WHEN page_id % 3 = 1 AND contains(html, '<head>') THEN {ORIGIN.format(u='url')} || '/c/' || page_id // 9 ELSE {NORMAL.format(u='url')} END AS canonical_url, min(page_id) AS page_id FROM pages GROUP BY 1",
+    "crawl_pages": f"""WITH {SITE_TEXTS},
+        base AS (SELECT * FROM pages_ WHERE page_id % 3 <> 1),
+        stored AS (SELECT {NORMAL.format(u='url')} AS addr, page_id, content, length(content) AS n FROM page WHERE page_id % 3 <> 1 AND content <> '' AND NOT regexp_matches(url, '^[a-z]+://[^/]+/en/7') QUALIFY row_number() OVER (PARTITION BY addr ORDER BY page_id) = 1),
+        root AS (SELECT arg_min(url, page_id) AS root FROM base GROUP BY host),
+        d0 AS (SELECT root, 1 AS visit, s.* FROM root JOIN stored s ON s.addr = {NORMAL.format(u='root')} WHERE n <= 20000),
+        l1 AS (SELECT DISTINCT root, link FROM d0 JOIN content_link USING (page_id) WHERE link <> addr),
+        c1 AS (SELECT root, s.* FROM l1 JOIN stored s ON s.addr = link WHERE NOT EXISTS (SELECT 1 FROM d0 WHERE d0.root = l1.root AND d0.content = s.content) QUALIFY row_number() OVER (PARTITION BY root, content ORDER BY addr) = 1),
+        d1 AS (SELECT root, 1 + row_number() OVER w AS visit, addr, page_id, content, n, (SELECT sum(n) FROM d0 WHERE d0.root = c1.root) + sum(n) OVER w AS total FROM c1 WINDOW w AS (PARTITION BY root ORDER BY addr)),
+        k1 AS (SELECT * FROM d1 WHERE visit <= 5 AND total <= 20000),
+        l2 AS (SELECT root, link, min(visit) AS v FROM k1 JOIN content_link USING (page_id) WHERE root NOT IN (SELECT root FROM d1 WHERE visit <= 5 AND total > 20000) AND (root, link) NOT IN (SELECT (root, link) FROM l1) AND (root, link) NOT IN (SELECT (root, addr) FROM d0) GROUP BY ALL),
+        c2 AS (SELECT root, v, s.* FROM l2 JOIN stored s ON s.addr = link WHERE NOT EXISTS (SELECT 1 FROM (SELECT root, content FROM d0 UNION ALL SELECT root, content FROM k1) p WHERE p.root = l2.root AND p.content = s.content) QUALIFY row_number() OVER (PARTITION BY root, content ORDER BY v, addr) = 1),
+        had AS (SELECT root, count(*) AS had, sum(n) AS chars FROM (SELECT root, n FROM d0 UNION ALL SELECT root, n FROM k1) GROUP BY root),
+        d2 AS (SELECT root, had + row_number() OVER w AS visit, addr, page_id, content, n, chars + sum(n) OVER w AS total FROM c2 JOIN had USING (root) WINDOW w AS (PARTITION BY root ORDER BY v, addr)),
+        got AS (SELECT root, visit, 0 AS depth, page_id, n, content FROM d0 UNION ALL SELECT root, visit, 1, page_id, n, content FROM k1 UNION ALL SELECT root, visit, 2, page_id, n, content FROM d2 WHERE visit <= 5 AND total <= 20000)
+        SELECT root, CAST(visit AS INTEGER) AS visit, depth, page_id, CAST(n AS BIGINT) AS n_chars, md5(content) AS content_md5 FROM got""",
     "crawl_char_budget": f"WITH {PAGES}, v AS (SELECT page_id, {AUTHORITY.format(u='url')} AS host, CAST(length(content) AS BIGINT) AS n_chars, CAST(row_number() OVER w AS INTEGER) AS visit, CAST(sum(length(content)) OVER w AS BIGINT) AS total_chars FROM page WHERE content <> '' WINDOW w AS (PARTITION BY {AUTHORITY.format(u='url')} ORDER BY page_id)) SELECT page_id, host, visit, n_chars, total_chars FROM v WHERE visit <= 5 AND total_chars <= 20000",
-    "crawl_robots": f"WITH r AS (SELECT DISTINCT {AUTHORITY.format(u='url')} AS host FROM pages WHERE contains(url, '/en/')) SELECT page_id FROM pages p WHERE NOT (regexp_matches(url, '^[A-Za-z]+://[^/?#]*/fr/') AND EXISTS (SELECT 1 FROM r WHERE r.host = {AUTHORITY.format(u='p.url')}))",
+    "crawl_robots": f"WITH r AS (SELECT DISTINCT {AUTHORITY.format(u='url')} AS host FROM pages WHERE contains(url, '/en/')) SELECT page_id FROM pages p WHERE NOT (regexp_matches(url, '^[A-Za-z]+://[^/?#]*/fr/') AND NOT regexp_matches(url, '^[A-Za-z]+://[^/?#]*/fr/1') AND EXISTS (SELECT 1 FROM r WHERE r.host = {AUTHORITY.format(u='p.url')}))",
     "crawl_bfs": f"""WITH o AS (SELECT page_id, row_number() OVER w AS k, lead(page_id, 1) OVER w AS n1, lead(page_id, 2) OVER w AS n2 FROM pages WINDOW w AS (PARTITION BY {AUTHORITY.format(u='url')} ORDER BY page_id)),
         l AS (SELECT page_id AS s, n1 AS t FROM o WHERE n1 IS NOT NULL UNION SELECT page_id, n2 FROM o WHERE n2 IS NOT NULL),
         d0 AS (SELECT page_id AS root, page_id AS url, 0 AS depth FROM o WHERE k = 1), d1 AS (SELECT root, t AS url, 1 AS depth FROM d0 JOIN l ON url = s), d2 AS (SELECT root, t AS url, 2 AS depth FROM d1 JOIN l ON url = s)

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from ravelin.config import EngineConfig
@@ -18,12 +20,71 @@ def test_urls(spark):
 
 
 def test_page_reading(spark):
-    html = "<title>T &amp; x</title><link rel='Canonical' href='/c'><body><nav><p>menu</p></nav><article><h1>Head</h1><div><p>One <b>two</b></p></div><form><p>f</p></form></article><p>out</p></body>"
-    assert web.read_page(html) == ("Head\n\nOne two", "/c")
-    assert web.read_page("<main><p>a</p></main><p>b</p>")[0] == "a" and web.read_page("<p>b</p>")[0] == "b" and web.read_page(None) == ("", None)
-    pages = spark.createDataFrame([(1, "https://a.b/x?y", html), (2, "https://a.b/z", None)], "page_id long, url string, html string")
+    html = "<title>T &amp; x</title><link rel='Canonical' href='/c'><body><nav><p>menu</p><a href='/n'>n</a></nav><article><h1>Head</h1><div><p>One <b>two</b></p></div><form><p>f</p></form></article><p>out</p></body>"
+    assert web.read_page(html) == ("Head\n\nOne two", "T & x", "/c", [])
+    assert web.read_page("<main><p>a</p></main><p>b</p>")[0] == "a" and web.read_page("<p>b</p>")[0] == "b" and web.read_page(None) == ("", "", None, [])
+    lines = "<body>\n<main>\n<p>\n one\n<b>two</b> \n</p>\n<p>don&#8217;t &eacute;<p>inner</p></main><article><nav><title>no</title></nav><h2>\t</h2></article>"
+    assert web.read_page(lines) == ("", "", None, []) and web.read_page(lines.replace("article", "section"))[0] == "one two\n\ndon\u2019t \u00e9 inner\n\ninner"
+    assert web.read_page("<a href='../x'>u</a><a href=' '>b</a><a>c</a><link rel=canonical><link rel=canonical href=/later>")[2:] == (None, ["../x"])
+    pages = spark.createDataFrame([(1, "https://a.b/d/x?y", html.replace("Head", "<a href='../up?q'>u</a><a href='s#f'>s</a><a href='http://[x'>bad</a>")), (2, "https://a.b/z", None), (3, None, "<p>p<a href='r'>r</a>")], "page_id long, url string, html string")
     got = {r.page_id: r for r in web.page_texts(pages).collect()}
-    assert (got[1].canonical_url, got[1].title, got[2].title, got[2].content) == ("https://a.b/c", "T & x", "https://a.b/z", "")
+    assert (got[1].canonical_url, got[1].title, got[2].title, got[2].content, got[3].content, got[3].links) == ("https://a.b/c", "T & x", "https://a.b/z", "", "p r", [])
+    assert got[1].links == ["https://a.b/s", "https://a.b/up"]
+    assert web.page_texts(pages.limit(0)).count() == 0
+    deep = web.read_page("<p>" * 3000 + "end")[0]
+    assert deep.count("end") == 3000
+
+
+def queue_crawl(root, site, forbidden, config):
+    """A crawl by a plain queue over pages of url: (canonical, title, content, links)."""
+    queue, seen, texts, out, total = [(root, 0)], set(), set(), [], 0
+    while queue and len(out) < config.crawl_pages:
+        url, depth = queue.pop(0)
+        if url in seen:
+            continue
+        seen.add(url)
+        if url not in site or any(url.startswith(f) for f in forbidden):
+            continue
+        canonical, title, content, links = site[url]
+        if (canonical != url and canonical in seen) or not content or content in texts:
+            continue
+        texts.add(content)
+        if total + len(content) > config.crawl_chars:
+            break
+        out.append((root, len(out) + 1, depth, canonical, title, content))
+        total += len(content)
+        seen.add(canonical)
+        if depth < config.crawl_depth and len(out) < config.crawl_pages:
+            queue += [(link, depth + 1) for link in links if link not in seen]
+    return out
+
+
+def test_crawl_equals_a_queue(spark):
+    rng = random.Random(5)
+    rows, robots = [], []
+    for host in range(12):
+        origin = f"https://h{host}.x"
+        for n in range(14):
+            links = "".join(f"<a href='/p{rng.randrange(16)}?q={k}#f'>l</a>" for k in range(rng.randrange(5))) + "<a href='https://h0.y/p1'>off</a>"
+            named = f"<link rel=canonical href='/p{rng.randrange(16)}'>" if rng.random() < 0.3 else ""
+            text = rng.choice([f"page {n} " * rng.randrange(1, 30), "same text", f"own {n}", ""])
+            rows.append((host * 100 + n, f"{origin}/p{n}" + ("?x=1" if n % 5 == 0 else ""), f"{named}<article><p>{text}</p>{links}</article>"))
+        robots.append((f"h{host}.x", "User-agent: *\nAllow: /p11\nDisallow: /p1\n" if host % 3 == 0 else "User-agent: else\nDisallow: /"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read = {r.url.split("?")[0]: (r.canonical_url, r.title, r.content, r.links) for r in web.page_texts(pages).collect()}
+    roots = [f"https://h{h}.x/p{p}" for h in range(12) for p in (0, 2)]
+    for depth, most, chars in ((3, 8, 20000), (2, 100, 1000)):
+        config = EngineConfig(crawl_depth=depth, crawl_pages=most, crawl_chars=chars)
+        want = []
+        for r in roots:
+            host = int(r.split("//h")[1].split(".")[0])
+            forbidden = [f"https://h{host}.x/p1"] if host % 3 == 0 else []
+            site = {u: v for u, v in read.items() if u.startswith(f"https://h{host}.x/") and not (any(u.startswith(f) for f in forbidden) and not u.endswith("/p11"))}
+            want += queue_crawl(r, site, [], config)
+        got = web.crawl_pages(spark.createDataFrame([(r,) for r in [*roots, "ftp://h1.x/", "https://none.x/"]], "root string"), pages, spark.createDataFrame(robots, "host string, robots string"), config)
+        assert sorted(tuple(r) for r in got.select("root", "visit", "depth", "url", "title", "content").collect()) == sorted(want)
+    typed = pages.withColumn("content_type", F.lit("application/pdf"))
+    assert web.crawl_pages(spark.createDataFrame([(roots[0],)], "root string"), typed, spark.createDataFrame([], "host string, robots string")).count() == 0
 
 
 def test_links_duplicates_budget_robots_and_crawl(spark):
@@ -34,7 +95,7 @@ def test_links_duplicates_budget_robots_and_crawl(spark):
     kept = web.first_by_content(texts)
     assert sorted(r.page_id for r in kept.collect()) == [1, 3, 4]
     assert [r.page_id for r in web.within_budget(kept, EngineConfig(crawl_chars=1000)).collect()] == [1]
-    rules = spark.createDataFrame([("a.b", "/x"), ("a.b", "")], "host string, prefix string")
+    rules = spark.createDataFrame([("a.b", "User-agent: *\nDisallow: /x")], "host string, robots string")
     assert [r.page_id for r in web.allowed(pages, rules).collect()] == [2]
     links = spark.createDataFrame([("r", "a"), ("a", "b"), ("a", "r"), ("b", "c")], "source string, target string")
     roots = spark.createDataFrame([("r",)], "root string")
