@@ -48,7 +48,7 @@ class EngineConfig:
     def from_env(cls, env: Mapping[str, str] = os.environ) -> EngineConfig:
         """RAVELIN_TOP_K and the like; blank or invalid values keep the default."""
         base = cls()
-        ints = {n: positive_int(env.get(f"RAVELIN_{n.upper()}"), getattr(base, n)) for n in ("top_k", "chunk_tokens", "chunk_overlap", "embedding_dim")}
+        ints = {n: positive_int(env.get(f"RAVELIN_{n.upper()}"), getattr(base, n)) for n in ("top_k", "chunk_tokens", "chunk_overlap", "embedding_dim", "crawl_depth", "crawl_pages", "crawl_chars")}
         return replace(base, **ints, provider=(env.get("RAVELIN_PROVIDER") or base.provider).strip().lower())
 
 

@@ -31,37 +31,9 @@ def same_origin(a: Column, b: Column) -> Column:
     return F.coalesce((scheme(a) == scheme(b)) & (authority(a) == authority(b)), F.lit(False))
 
 
-def unescaped(text: Column) -> Column:
-    """The common named character references, the ampersand last."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
-
-def page_title(html: Column) -> Column:
-    """Text of the title element, in one line; empty where there is none."""
-    found = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.trim(F.regexp_replace(unescaped(found), r"\s+", " "))
-
-
-def without_elements(html: Column, names: tuple[str, ...]) -> Column:
-    """Without the elements of these names, contents included (not nested in themselves)."""
-    return F.regexp_replace(html, rf"(?is)<({'|'.join(names)})\b[^>]*>.*?</\1\s*>", "")
-
-
-def absolute(href: Column, base: Column) -> Column:
-    """A root-relative, scheme-relative or absolute reference on the page's address."""
-    root = F.concat(scheme(base), F.lit("://"), authority(base))
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#][\s\S]*$", ""), r"(?<=[^/:]/)[^/]*$", "")
-    return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .otherwise(F.concat(folder, href))
-    )
-
-
-def hrefs(html: Column) -> Column:
-    """Values of href of anchors, not blank."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda h: h != "")
+def models_url(api_url: Column) -> Column:
+    """Where a hosted API lists its models, from the address of its base or of its chat endpoint; empty for none."""
+    bare = F.regexp_replace(F.coalesce(api_url, F.lit("")), r"/+$", "")
+    short = F.regexp_replace(bare, r"/chat/completions$", "")
+    base = F.regexp_replace(F.regexp_replace(short, r"/openai/v1[\s\S]*$", ""), r"/+$", "")
+    return F.when(F.coalesce(api_url, F.lit("")) == "", "").when(short.endswith("/openai/v1"), F.concat(short, F.lit("/models"))).otherwise(F.concat(base, F.lit("/openai/v1/models")))

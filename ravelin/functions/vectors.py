@@ -56,3 +56,11 @@ def embedder(name: str, dim: int = 384):
     if key not in EMBEDDERS:
         raise ValueError(f"no embedding provider named {name!r}")
     return EMBEDDERS[key](dim)
+
+
+def safe_embedder(name: str, dim: int = 384):
+    """The named provider, or the built-in one where it can't be made; and the name of the one taken."""
+    try:
+        return embedder(name, dim), name
+    except Exception:  # a provider may fail in any way
+        return embedder("stub", dim), "stub"

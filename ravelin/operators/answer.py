@@ -14,11 +14,23 @@ HEADER = "Answer from the passages below and nothing else, and name the [documen
 NOTHING = "(nothing was found)"
 
 
+UNKNOWN = "unknown"
+
+
 def cited(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Hits with title and snippet (the whole chunk); hits without a document keep a null title."""
+    """Hits with title and snippet (the whole chunk); hits without a stored chunk or document keep nulls there, those without a score have 0."""
     texts = chunks.select("chunk_id", F.col("text").alias("snippet"))
     titles = documents.select("doc_id", "title")
-    return hits.join(texts, "chunk_id").join(titles, "doc_id", "left")
+    both = hits.join(texts, "chunk_id", "left").join(titles, "doc_id", "left")
+    return both.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(0.0)))
+
+
+def _doc_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(UNKNOWN))
+
+
+def _chunk_id() -> Column:
+    return F.coalesce("chunk_id", F.lit(""))
 
 
 def confidence(mean_score: Column) -> Column:
@@ -27,14 +39,14 @@ def confidence(mean_score: Column) -> Column:
 
 
 def context_line(shorten: bool = True) -> Column:
-    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("doc_id").cast("string"))
-    flat = F.replace(stripped(F.col("snippet")), F.lit("\n"), F.lit(" "))
-    return F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(":"), F.col("chunk_id"), F.lit("] "), title, F.lit(": "), shortened(flat) if shorten else flat)
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), _doc_id())
+    flat = F.replace(stripped(F.coalesce("snippet", F.lit(""))), F.lit("\n"), F.lit(" "))
+    return F.concat(F.lit("["), _doc_id(), F.lit(":"), _chunk_id(), F.lit("] "), title, F.lit(": "), shortened(flat) if shorten else flat)
 
 
 def answers(plans: DataFrame, citations: DataFrame) -> DataFrame:
     """q_id, mode, n_citations, confidence and citations (in rank order) of every question."""
-    item = F.struct("rank", "chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "title", F.round("score", 6).alias("score"))
+    item = F.struct("rank", _chunk_id().alias("chunk_id"), _doc_id().alias("doc_id"), "title", F.round("score", 6).alias("score"))
     by = citations.groupBy("q_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.array_sort(F.collect_list(item)).alias("citations"))
     both = plans.select("q_id", "mode").join(by, "q_id", "left")
     return both.select("q_id", "mode", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_citations"), F.round(confidence(F.col("mean")), 6).alias("confidence"), "citations")
@@ -51,8 +63,8 @@ def prompts(plans: DataFrame, lines: DataFrame) -> DataFrame:
 def shown(citations: DataFrame) -> DataFrame:
     """Citations as a reader sees them: id, title, quotes of 120 and 240 characters, and the score with two digits."""
     title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Untitled"))
-    quote = lambda n: F.concat(F.lit("“"), excerpt(F.col("snippet"), n), F.lit("”"))
-    return citations.select("q_id", "rank", F.concat_ws(":", "doc_id", "chunk_id").alias("citation_id"), title.alias("title"), quote(120).alias("short_quote"), quote(240).alias("long_quote"), F.format_string("%.2f", "score").alias("relevance"))
+    quote = lambda n: F.concat(F.lit("“"), excerpt(F.coalesce("snippet", F.lit("")), n), F.lit("”"))
+    return citations.select("q_id", "rank", F.concat_ws(":", _doc_id(), _chunk_id()).alias("citation_id"), title.alias("title"), quote(120).alias("short_quote"), quote(240).alias("long_quote"), F.format_string("%.2f", "score").alias("relevance"))
 
 
 def replied(prompts_: DataFrame, replies: DataFrame | None, provider: str) -> DataFrame:

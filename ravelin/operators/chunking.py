@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.config import EngineConfig
@@ -16,6 +16,16 @@ def accepted(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFram
     return docs.withColumn("n_bytes", size).withColumn("status", status)
 
 
+# The content types that an upload may have.
+UPLOADS = ("application/pdf", "application/octet-stream")
+
+
+def upload_status(content_type: Column, n_bytes: Column, config: EngineConfig = EngineConfig()) -> Column:
+    """accepted, unsupported_type or too_large, in the order in which an upload is judged."""
+    typed = F.coalesce(content_type.isin(*UPLOADS), F.lit(False))
+    return F.when(~typed, "unsupported_type").when(n_bytes > config.paste_bytes, "too_large").otherwise("accepted")
+
+
 def chunks(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """chunk_id, doc_id, ord, text, window_tokens, approx_tokens; a document without tokens has no chunk."""
     size, overlap = config.window

@@ -27,6 +27,22 @@ def reply_text(provider: Column, body: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(found, r"^\s+|\s+$", "")), F.lit(""))
 
 
+def reply_vectors(body: Column) -> Column:
+    """The vectors of an embedding server's reply, one for each text; null where it holds none."""
+    parsed = F.try_parse_json(body)
+    many = F.try_variant_get(parsed, "$.data", "array<struct<embedding: array<double>>>")
+    one = F.try_variant_get(parsed, "$.embedding", "array<double>")
+    empty = F.array().cast("array<double>")
+    return F.coalesce(F.transform(many, lambda x: F.coalesce(x["embedding"], empty)), F.when(one.isNotNull(), F.array(one)))
+
+
+def model_names(body: Column) -> Column:
+    """The names in a model server's list; empty for a reply of another form."""
+    listed = F.try_variant_get(F.try_parse_json(body), "$.models", "array<variant>")
+    names = F.transform(listed, lambda x: F.when(F.schema_of_variant(F.try_variant_get(x, "$.name", "variant")) == "STRING", F.try_variant_get(x, "$.name", "string")))
+    return F.coalesce(F.filter(names, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+
 def resolved(requests: DataFrame, active: str = "stub") -> DataFrame:
     """``requests`` with provider (the override, else the active one; unknown names become the stub) and kind."""
     asked = F.lower(F.trim(F.coalesce("provider_override", F.lit(active))))
@@ -39,3 +55,11 @@ def preferred(wanted: DataFrame, installed: DataFrame) -> DataFrame:
     """host and model: of each host's installed models the most preferred (priority, name), whatever the case."""
     met = installed.join(wanted, F.lower(installed["name"]) == wanted["model"])
     return met.groupBy("host").agg(F.min_by("model", F.struct("priority", "model")).alias("model"))
+
+
+def chosen(requests: DataFrame, tags: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``requests`` (provider_override, host) with model: the most preferred that the host lists (tags: host, body); local requests without one go to the stub."""
+    listed = tags.select("host", F.explode(model_names(F.col("body"))).alias("name")).distinct()
+    both = resolved(requests, "auto").join(preferred(wanted, listed), "host", "left")
+    bare = (F.col("provider") == "ollama") & F.col("model").isNull()
+    return both.select(*requests.columns, F.when(bare, "stub").otherwise(F.col("provider")).alias("provider"), F.when(bare, "stub").otherwise(F.col("provider_kind")).alias("provider_kind"), F.when(F.col("provider") == "ollama", F.col("model")).alias("model"))

@@ -157,6 +157,22 @@ def edge_label_sanitise(c: Corpus) -> DataFrame:
     return kinds.groupBy(F.coalesce("event_type", F.lit("")).alias("label")).agg(F.count("*").alias("n")).select("label", T.edge_label(F.col("label")).alias("rel"), "n")
 
 
+@query
+def upload_guard(c: Corpus) -> DataFrame:
+    """Events stand for uploads of several content types and sizes."""
+    kinds = F.array(*map(F.lit, ["application/pdf", "text/html", "application/octet-stream", None]))
+    made = c.table("events").select("event_id", F.get(kinds, (F.col("event_id") % 4).cast("int")).alias("content_type"), (F.col("event_id") * 1000).alias("n_bytes"))
+    return made.select("event_id", chunking.upload_status(F.col("content_type"), F.col("n_bytes"), c.config).alias("status"))
+
+
+@query
+def vector_dimension_guard(c: Corpus) -> DataFrame:
+    """Every tenth vector is cut short, every eleventh is missing."""
+    cut = F.when(F.col("vec_id") % 10 == 0, F.slice("v", 1, 3)).when(F.col("vec_id") % 11 == 0, F.lit(None)).otherwise(F.col("v"))
+    rows = c.vector_rows.select("vec_id", cut.alias("v"))
+    return store.dimension_errors(rows, rows.agg(F.max(F.size("v"))).first()[0] or 0).select("vec_id", "error")
+
+
 # --- planning and retrieval ---
 
 
@@ -394,6 +410,38 @@ def provider_preference(c: Corpus) -> DataFrame:
     return providers.preferred(F.broadcast(wanted), c.documents.select(F.col("source").alias("host"), F.upper("lang").alias("name")).distinct())
 
 
+@query
+def embedding_reply_parse(c: Corpus) -> DataFrame:
+    """Vectors in the forms of several servers' replies."""
+    body = (
+        F.when(F.col("vec_id") % 4 == 0, F.to_json(F.struct(F.array(F.struct(F.col("v").alias("embedding"))).alias("data"))))
+        .when(F.col("vec_id") % 4 == 1, F.to_json(F.struct(F.col("v").alias("embedding"))))
+        .when(F.col("vec_id") % 4 == 2, F.lit('{"data": [{"embedding": [1, 2.5]}, {}], "embedding": [3]}'))
+        .otherwise(F.lit('{"error": "none"}'))
+    )
+    made = c.vector_rows.select("vec_id", providers.reply_vectors(body).alias("vectors"))
+    return made.select("vec_id", F.size("vectors").alias("n"), F.round(F.aggregate(F.flatten("vectors"), F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+@query
+def model_choice(c: Corpus) -> DataFrame:
+    """Hosts list their documents' languages as models."""
+    langs = c.documents.groupBy(F.col("source").alias("host")).agg(F.array_sort(F.collect_set(F.upper("lang"))).alias("langs")).where("host is not null")
+    tags = langs.select("host", F.to_json(F.struct(F.transform("langs", lambda x: F.struct(x.alias("name"))).alias("models"))).alias("body"))
+    asked = langs.select("host", F.explode(F.array(F.lit("auto"), F.lit("groq"), F.lit("stub"))).alias("provider_override"))
+    silent = tags.withColumn("body", F.when(F.char_length("host") % 2 == 0, F.lit('{"models": [{"name": 3}, "x"]}')).otherwise(F.col("body")))
+    wanted = c.spark.createDataFrame([(1, "es"), (2, "de"), (3, "en")], "priority int, model string")
+    return providers.chosen(asked, silent, F.broadcast(wanted))
+
+
+@query
+def hosted_models_url(c: Corpus) -> DataFrame:
+    """Hosts of pages with the endings that an API's address may have."""
+    ends = ["", "/", "/openai/v1", "/openai/v1/", "/openai/v1/chat/completions", "/openai/v1/other", "/v2/chat/completions"]
+    given = c.table("pages").select("page_id", F.concat(U.scheme(F.col("url")), F.lit("://"), U.authority(F.col("url")), F.get(F.array(*map(F.lit, ends)), (F.col("page_id") % 7).cast("int"))).alias("api_url"))
+    return given.select("page_id", U.models_url(F.col("api_url")).alias("models_url"))
+
+
 @query
 def answer_sanitise(c: Corpus) -> DataFrame:
     told = c.table("conversations").where("role = 'assistant'")

@@ -11,7 +11,7 @@ from ravelin.config import EngineConfig
 from ravelin.functions import urls as U
 from ravelin.operators import answer, chunking, graph, planner, retrieval, web
 from ravelin.scratch import Scratch
-from ravelin.sources.tables import spread, table
+from ravelin.sources.tables import listing, spread, table
 
 
 def placed(rows: DataFrame, by: str, scratch: Scratch) -> DataFrame:
@@ -30,17 +30,21 @@ def placed(rows: DataFrame, by: str, scratch: Scratch) -> DataFrame:
 class Corpus:
     """Documents, chunks, mentions, edges, degrees, questions and plans of a folder, written to the shared scratch folder on first use."""
 
-    _made: dict[tuple[str, str], Corpus] = {}
+    _made: dict[tuple[str, str], tuple[tuple[str, ...], Corpus]] = {}
 
     def __init__(self, spark: SparkSession, folder: str, config: EngineConfig):
         self.spark, self.folder, self.config, self.scratch = spark, folder, config, Scratch(spark)
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str) -> Corpus:
-        key = (spark.sparkContext.applicationId, folder)
-        if key not in cls._made:
-            cls._made[key] = cls(spark, folder, EngineConfig())
-        return cls._made[key]
+        """The tables of a folder as it is now: changed files make new ones."""
+        key, files = (spark.sparkContext.applicationId, folder), listing(spark, folder)
+        held, made = cls._made.get(key, (None, None))
+        if held != files:
+            if made is not None:
+                made.scratch.clear()
+            cls._made[key] = (files, cls(spark, folder, EngineConfig()))
+        return cls._made[key][1]
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)

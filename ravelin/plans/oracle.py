@@ -202,6 +202,13 @@ ORACLE_SQL: dict[str, str] = {
         p AS (SELECT *, ['ollama', 'groq', 'stub', 'llamacpp', 'groq', 'stub', 'ollama', 'ollama'][event_id % 8 + 1] AS provider FROM a)
         SELECT event_id, provider_override, provider, CASE provider WHEN 'groq' THEN 'hosted' WHEN 'stub' THEN 'stub' ELSE 'local' END AS provider_kind FROM p""",
     "provider_preference": "WITH w(priority, model) AS (VALUES (1, 'es'), (2, 'de'), (3, 'en')) SELECT source AS host, arg_min(model, priority) AS model FROM documents JOIN w ON lang = model GROUP BY source",
+    "upload_guard": "SELECT event_id, CASE WHEN event_id % 4 IN (1, 3) THEN 'unsupported_type' WHEN event_id * 1000 > 5242880 THEN 'too_large' ELSE 'accepted' END AS status FROM events",
+    "vector_dimension_guard": "SELECT vec_id, CASE WHEN embedding IS NULL OR (vec_id % 10 <> 0 AND vec_id % 11 = 0) THEN 'no_vector' WHEN vec_id % 10 = 0 THEN 'dimension' END AS error FROM embeddings",
+    "embedding_reply_parse": "SELECT vec_id, CAST(CASE vec_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS INTEGER) AS n, CASE WHEN vec_id % 4 < 2 THEN round(list_sum(list_transform(embedding, lambda x: CAST(CAST(x AS VARCHAR) AS DOUBLE))), 3) WHEN vec_id % 4 = 2 THEN 3.5 END AS total FROM embeddings",
+    "model_choice": """WITH w(priority, model) AS (VALUES (1, 'es'), (2, 'de'), (3, 'en')), h AS (SELECT source AS host, arg_min(model, priority) AS m FROM documents LEFT JOIN w ON lang = model WHERE source IS NOT NULL GROUP BY source),
+        l AS (SELECT host, CASE WHEN length(host) % 2 = 1 THEN m END AS m, unnest(['auto', 'groq', 'stub']) AS o FROM h)
+        SELECT host, o AS provider_override, CASE WHEN o = 'auto' AND m IS NOT NULL THEN 'ollama' WHEN o = 'groq' THEN 'groq' ELSE 'stub' END AS provider, CASE WHEN o = 'auto' AND m IS NOT NULL THEN 'local' WHEN o = 'groq' THEN 'hosted' ELSE 'stub' END AS provider_kind, CASE WHEN o = 'auto' THEN m END AS model FROM l""",
+    "hosted_models_url": f"SELECT page_id, {ORIGIN.format(u='url')} || CASE page_id % 7 WHEN 6 THEN '/v2' ELSE '' END || '/openai/v1/models' AS models_url FROM pages",
     "answer_sanitise": rf"""WITH t AS (SELECT conv_id, turn, text || ' See [doc_id:1] and [abc:2] deadbeefdeadbeef00: end. This doc_id is known. The end ( ) , then - done.' AS t FROM conversations WHERE role = 'assistant'),
         s AS (SELECT conv_id, turn, t, array_to_string(list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '' AND NOT regexp_matches(lower(x), 'this information can be found at|doc_id|chunk_id')), ' ') AS k FROM t)
         SELECT conv_id, turn, coalesce(nullif({_untagged('k')}, ''), nullif({_untagged('t')}, ''), t) AS answer FROM s""",

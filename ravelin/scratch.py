@@ -17,30 +17,33 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one of this machine if Spark runs on it alone (tests)."""
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{_KEY} must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="spark-ravelin-", dir="/tmp")
     return "file://" + _LOCAL[app]
 
 
+def file_system(spark: SparkSession, name: str):
+    """A path, and the file system that it lies in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 class Scratch:
     """A folder of written tables that belong to one call of an operator."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        path, fs = self._fs(self.root)
+        path, fs = file_system(spark, self.root)
         fs.deleteOnExit(path)
 
-    def _fs(self, name: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""
         path = f"{self.root}/{name}"
@@ -49,5 +52,9 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
-        path, fs = self._fs(f"{self.root}/{name}")
+        path, fs = file_system(self.spark, f"{self.root}/{name}".rstrip("/"))
         fs.delete(path, True)
+
+    def clear(self) -> None:
+        """Delete all tables."""
+        self.drop("")

@@ -10,20 +10,31 @@ from ravelin.config import EngineConfig
 from ravelin.operators.chunking import chunks
 from ravelin.operators.graph import about_edges, mentions
 from ravelin.operators.store import Snapshots
+from ravelin.scratch import Scratch
 
 
 def ingest(store: Snapshots, docs: DataFrame, seq: int, config: EngineConfig = EngineConfig()) -> None:
-    """Merge documents (doc_id, title, text): a document that comes again replaces its chunks and edges."""
-    made = chunks(docs, config)
-    edges = about_edges(mentions(docs, config), made)
-    ids = docs.select("doc_id").distinct()
-    store.upsert("documents", docs.select("doc_id", "title", F.lit(seq).alias("seq")), ["doc_id"])
-    for name, rows in (("chunks", made), ("about", edges)):
-        old = store.read(name)
-        store.write(name, rows if old is None else old.join(ids, "doc_id", "left_anti").unionByName(rows))
+    """Merge documents (doc_id, title, text): a document that comes again replaces its chunks and edges.
+
+    Of several rows with one doc_id the last of the batch counts, alone.  A
+    batch that is merged again gives the same tables.
+    """
+    scratch = Scratch(docs.sparkSession)
+    at = docs.select("doc_id", F.struct("title", "text").alias("row"), F.monotonically_increasing_id().alias("at"))
+    last = scratch.table(at.groupBy("doc_id").agg(F.max_by("row", "at").alias("row")).select("doc_id", "row.title", "row.text"), "last")
+    made = scratch.table(chunks(last, config), "chunks")
+    edges = scratch.table(about_edges(mentions(last, config), made), "about")
+    store.replace("chunks", made, last, ["doc_id"])
+    store.replace("about", edges, last, ["doc_id"])
+    store.upsert("documents", last.select("doc_id", "title", F.lit(seq).alias("seq")), ["doc_id"])
+    scratch.clear()
 
 
 def start(spark: SparkSession, folder: str, schema: str, store: Snapshots, checkpoint: str, files_per_batch: int = 1, config: EngineConfig = EngineConfig()) -> StreamingQuery:
-    """Follow a folder of Parquet files; every micro-batch is ingested. Batches replayed after a failure merge to the same rows."""
+    """Follow a folder of Parquet files; every micro-batch is ingested. Batches replayed after a failure merge to the same rows.
+
+    The store needs a path of its own that outlives the process as the
+    checkpoint does.
+    """
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     return source.writeStream.foreachBatch(lambda df, n: ingest(store, df, n, config)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -80,7 +80,27 @@ def test_retrieval_by_the_embedders_vectors(spark, small):
     assert best == {"a": ("d1-1", 0.0), "b": ("d2-0", 0.0)}
 
 
+def test_nearest_in_blocks_and_its_plan(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(60)], "id long, v array<double>")
+    asked = spark.createDataFrame([(f"q{i}", [float(i), 2.0 * i], 1 + i % 5) for i in range(23)], "q_id string, qv array<double>, top_k int")
+    whole = retrieval.nearest(asked, vectors)
+    assert "WindowGroupLimit" in whole._jdf.queryExecution().toString()
+    rows = sorted(map(tuple, whole.collect()))
+    assert rows == sorted(map(tuple, retrieval.nearest(asked, vectors, block=4).select(*whole.columns).collect())) and len(rows) == sum(1 + i % 5 for i in range(23))
+    assert retrieval.nearest(asked.limit(0), vectors).count() == 0 and retrieval.nearest(asked, vectors.limit(0)).count() == 0
+
+
+def test_hits_without_stored_rows(spark):
+    hits = spark.createDataFrame([("a", None, None, None, 1)], "q_id string, chunk_id string, doc_id long, score double, rank int")
+    chunks, docs = spark.createDataFrame([], "chunk_id string, text string"), spark.createDataFrame([], "doc_id long, title string")
+    cited = answer.cited(hits, chunks, docs)
+    assert (cited.first().score, cited.first().title, cited.first().snippet) == (0.0, None, None)
+    assert cited.select(answer.context_line().alias("line")).first().line == "[unknown:] unknown: "
+    assert answer.shown(cited).first().citation_id == "unknown:"
+
+
 def test_hash_vectors(spark):
+    assert V.safe_embedder("missing", 8)[1] == "stub" and V.safe_embedder("auto", 8)[1] == "auto"
     import random, hashlib
 
     assert math.isclose(random.Random(hashlib.sha256(b"alpha").digest()).uniform(-1.0, 1.0), -0.415986384672117)
@@ -115,7 +135,9 @@ def test_merges(spark):
     opened = tables.upsert("t", rows.where("seq = 1"), ["id"])
     tables.upsert("t", rows.where("seq = 2"), ["id"])
     assert {(r.id, r.v) for r in tables.read("t").collect()} == {("k", "b"), ("m", "c")} and opened.count() == 2
-    assert [(r.version, r.n_rows) for r in tables.health().collect()] == [(2, 2)]
+    assert [tuple(r) for r in tables.health().collect()] == [("t", 2, 2, 3)]
+    ties = spark.createDataFrame([("k", "b", 1), ("k", "a", 1), ("k", None, None), (None, "n", 1)], "id string, v string, seq int")
+    assert {(r.id, r.v) for r in store.merged(ties, ["id"], "seq").collect()} == {("k", "b"), (None, "n")}
     assert [r.n for r in store.broken_keys(rows, ["id"]).collect()] == [2]
     names = spark.createDataFrame([("Alpha", 1), ("ALPHA", 2)], "name string, seq int")
     assert [store.entity_nodes(names, k).first().name for k in ("first", "last")] == ["Alpha", "ALPHA"]

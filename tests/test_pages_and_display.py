@@ -15,8 +15,8 @@ def column(spark, values, made):
 def test_urls(spark):
     assert column(spark, ["http://a.b/c/?q#f", "https://U@A.b:1/", "https://a.b", "http://a.b/x//"], U.normalised) == ["http://a.b/c", "https://U@A.b:1", "https://a.b", "http://a.b/x"]
     assert column(spark, ["http://a", "ftp://a", "https:///p", "x", None], U.valid_url) == [True, False, False, False, False]
-    base = F.lit("https://a.b/dir/page?x")
-    assert column(spark, ["/r", "s", "//c.d/e", "http://z/"], lambda h: U.absolute(h, base)) == ["https://a.b/r", "https://a.b/dir/s", "https://c.d/e", "http://z/"]
+    bases = ["https://h/", "https://h/openai/v1/", "https://h/openai/v1/chat/completions", "https://h/openai/v1/x", "", None]
+    assert column(spark, bases, U.models_url) == ["https://h/openai/v1/models"] * 4 + ["", ""]
 
 
 def test_page_reading(spark):
@@ -120,3 +120,14 @@ def test_history_and_providers(spark):
     assert [r[0] for r in made.select(providers.reply_text(F.col("p"), F.col("b"))).collect()] == [r[2] for r in replies]
     asked = spark.createDataFrame([(1, None), (2, " Groq"), (3, "what")], "i int, provider_override string")
     assert [(r.provider, r.provider_kind) for r in providers.resolved(asked, "ollama").orderBy("i").collect()] == [("ollama", "local"), ("groq", "hosted"), ("stub", "stub")]
+
+
+def test_server_replies(spark):
+    bodies = ['{"data": [{"embedding": [1, 2.5]}, {}]}', '{"embedding": [3]}', '{"x": 1}', "no json", None]
+    assert column(spark, bodies, providers.reply_vectors) == [[[1.0, 2.5], []], [[3.0]], None, None, None]
+    assert column(spark, ['{"models": [{"name": "a"}, {"name": 3}, "b", {}]}', '{"models": 1}', None], providers.model_names) == [["a"], [], []]
+    asked = spark.createDataFrame([("h", "auto"), ("h", "groq"), ("i", None)], "host string, provider_override string")
+    tags = spark.createDataFrame([("h", '{"models": [{"name": "Small"}, {"name": "big"}]}'), ("i", "down")], "host string, body string")
+    wanted = spark.createDataFrame([(1, "tiny"), (2, "small"), (3, "big")], "priority int, model string")
+    got = {(r.host, r.provider_override): (r.provider, r.provider_kind, r.model) for r in providers.chosen(asked, tags, wanted).collect()}
+    assert got == {("h", "auto"): ("ollama", "local", "small"), ("h", "groq"): ("groq", "hosted", None), ("i", None): ("stub", "stub", None)}
