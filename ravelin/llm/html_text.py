@@ -28,7 +28,11 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +65,9 @@ MARKS = {
     *"related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split(),
     *"alert complementary contentinfo discussion footnav leaderboard reactions recommendations recommended".split(),
 }
+# Words of reader comments; a name of nothing but these and neutral words marks whatever stands beside it.
+COMMENTS = {*"comment comments commentlist disqus replies reply respond discussion".split()}
+NEUTRAL = {*"list area thread section item box wrapper container block body text content".split()}
 # Words of a class or id that speak for the article.
 SPEAKS = {*"article body content entry main post story text".split()}
 
@@ -74,7 +81,7 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _marked(rest: str, inside: bool) -> bool:
-    """Whether a name in class, id or role marks the element, and none of the same attribute speaks for the article alone.
+    """Whether a name in class, id or role marks the element, and none of the same attribute speaks for the article alone; reader comments are marked in any company.
 
     Within an article the word header marks nothing: its own title stands there.
     """
@@ -82,29 +89,52 @@ def _marked(rest: str, inside: bool) -> bool:
         return False
     for m in _MARKED.finditer(rest):
         names = [{p.lower() for p in _PARTS.findall(n)} for n in (m[2] or m[3] or m[4] or "").split()]
+        if any(n & COMMENTS and n <= COMMENTS | NEUTRAL for n in names):
+            return True
         against = [bool(n & MARKS - ({"header"} if inside else set())) for n in names]
         if any(against) and not any(n & SPEAKS and not bad for n, bad in zip(names, against, strict=True)):
             return True
     return False
 
 
-def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
-    """Text, enclosing elements and whether all of it is link text, of every block outside elements that never hold the article."""
-    out: list[tuple[str, tuple[int, ...], bool]] = []
+class Node(NamedTuple):
+    """An element that holds blocks: the one around it, whether it is an article or main, and its blocks' places."""
+
+    parent: int
+    holds: bool
+    low: int
+    high: int
+
+
+def blocks_of(page: str) -> tuple[list[tuple[str, int, bool]], list[Node]]:
+    """Blocks outside elements that never hold the article, and the elements around them, the page itself first.
+
+    A block is its text, the number of the innermost element and whether all of
+    it is link text.  Blocks of an element stand together in page order.
+    """
+    out: list[tuple[str, int, bool]] = []
     open_: list[tuple[str, int]] = []  # elements around, with a number if they are containers
-    holding: dict[int, str] = {}
+    names: Counter[str] = Counter()  # of those around
+    inner = [0]  # the containers around
+    nodes: list[list] = [[0, False, 0, 0]]
     text: list[str] = []
     linked = plain = 0
     link = False
-    dropped, last, number = -1, 0, 0  # dropped: the place among those around of the element that contributes nothing
+    dropped, last = -1, 0  # dropped: the place among those around of the element that contributes nothing
 
     def close() -> None:
         nonlocal linked, plain
         if text and (words := html.unescape("".join(text)).split()):
-            out.append((" ".join(words), tuple(n for _, n in open_ if n), linked > 4 * plain))
+            out.append((" ".join(words), inner[-1], linked > 4 * plain))
         text.clear()
         linked = plain = 0
 
+    def enter(name: str, number: int = 0) -> None:
+        open_.append((name, number))
+        names[name] += 1
+        if number:
+            inner.append(number)
+
     def add(part: str) -> None:
         nonlocal linked, plain
         text.append(part)
@@ -113,14 +143,19 @@ def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
 
     def leave(place: int) -> None:
         nonlocal dropped, link
-        del open_[place:]
+        while len(open_) > place:
+            name, number = open_.pop()
+            names[name] -= 1
+            if number:
+                inner.pop()
+                nodes[number][3] = len(out)
         if 0 <= place <= dropped:
             dropped, link = -1, False
 
-    def within(names: set[str], stops: set[str]) -> int:
-        """Place of the innermost element of such a name that no stop is within, or -1."""
-        for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] in names:
+    def within(name: str, stops: set[str]) -> int:
+        """Place of the innermost element of this name that no stop is within, or -1."""
+        for k in range(len(open_) - 1, -1, -1) if names[name] else ():
+            if open_[k][0] == name:
                 return k
             if open_[k][0] in stops:
                 break
@@ -133,7 +168,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
             place = dropped
         elif name not in HEADED and dropped >= 0 and open_[dropped][0] == "head":
             place = dropped
-        elif name in ENDED:
+        elif name in ENDED and any(names[n] for n in ENDED[name]):
             stops = STOPS[name]
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] in ENDED[name]:
@@ -143,7 +178,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
                 if place >= 0 and name in ("li", "dt", "dd", "td", "th"):
                     break
         if place < 0 and name not in INLINE and name not in VOID or name == "hr":
-            place = within({"p"}, BOXES)
+            place = within("p", BOXES)
         return place
 
     for m in _TOKEN.finditer(page):
@@ -158,7 +193,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
         if not name:
             continue
         if m["end"]:
-            place = within({name}, STOPS.get(name, set()))
+            place = within(name, STOPS.get(name, set()))
         else:
             place = ended_by(name)
         if dropped >= 0:
@@ -174,14 +209,14 @@ def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
                 leave(place)
             if dropped >= 0:
                 if name not in VOID and not m["rest"].endswith("/"):
-                    open_.append((name, 0))
+                    enter(name)
                 continue
             place = -1
         if name == "br":
             text.append(" ")
         elif name == "a":
             link = not m["end"]
-        inside = any(n in HOLDS for n, _ in open_)
+        inside = any(names[n] for n in HOLDS)
         if name in INLINE and (m["end"] or not _marked(m["rest"], inside)) or name == "br":
             continue
         if name not in INLINE:
@@ -194,24 +229,24 @@ def blocks_of(page: str) -> list[tuple[str, tuple[int, ...], bool]]:
             never = name in NEVER or (name == "header" and not inside) or (name not in ("body", "html", *HOLDS) and _marked(m["rest"], inside))
             if never and not m["rest"].endswith("/"):
                 dropped = len(open_)
-                open_.append((name, 0))
+                enter(name)
                 continue
             if name in ("html", "body"):
                 continue  # the page
             if name in LINES:
-                open_.append((name, 0))
+                enter(name)
                 continue
-            number += 1
-            open_.append((name, number))
-            if name in HOLDS:
-                holding[number] = name
+            nodes.append([inner[-1], name in HOLDS, len(out), 0])
+            enter(name, len(nodes) - 1)
     if last < len(page):
         if 0 <= dropped == len(open_) - 1 and open_[dropped][0] == "head" and not page[last:].isspace():
             leave(dropped)
         if dropped < 0:
             add(page[last:])
     close()
-    return [(t, tuple(-n if n in holding else n for n in path), l) for t, path, l in out]
+    leave(0)
+    nodes[0][3] = len(out)
+    return out, [Node(*n) for n in nodes]
 
 
 def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -233,41 +268,50 @@ def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> l
 
 def main_text(page: str | None) -> str:
     """The blocks of the article, two line feeds between them."""
-    blocks = blocks_of(page or "")
+    blocks, nodes = blocks_of(page or "")
     lengths = [0 if linked else len(t) for t, _, linked in blocks]
     found = stretches(lengths)
-    held = [b for b in blocks if any(n < 0 for n in b[1])]
+    outermost = [0] * len(nodes)  # article or main around each element
+    for n, node in enumerate(nodes[1:], 1):
+        outermost[n] = outermost[node.parent] or (n if node.holds else 0)
     if not found:
-        return "\n\n".join(t for t, *_ in held or blocks)
+        held = [t for t, n, _ in blocks if outermost[n]]
+        return "\n\n".join(held or (t for t, *_ in blocks))
     core = max(found, key=lambda s: sum(lengths[s[0] : s[1]]))
-    paths = [blocks[i][1] for i in range(*core) if lengths[i]]
+    own = [i for i in range(*core) if lengths[i]]
     surging = [i for s in found for i in range(*s) if lengths[i]]
-    if any(n < 0 for p in paths for n in p):
-        totals: dict[int, int] = {}
-        families: dict[int, set[int]] = {}  # by the outermost article or main
-        for i in surging:
-            own = [n for n in blocks[i][1] if n < 0]
-            for n in own:
-                totals[n] = totals.get(n, 0) + lengths[i]
-                families.setdefault(own[0], set()).add(n)
-        # of each the element with most of the text that surges; of such that are within each other, the inner one
-        kept = {max(names, key=lambda n: (totals[n], -n)) for names in families.values()}
-        return "\n\n".join(t for t, path, _ in blocks if not kept.isdisjoint(path))
-    shared = set(paths[0]).intersection(*paths[1:])
-    chain = [0, *(n for n in paths[0] if n in shared)]  # from the page itself to the least element around the core
-    around = chain[-1]
-    for outer in reversed(chain[:-1]):
-        there = [i for i in surging if not outer or outer in blocks[i][1]]
-        more = sum(lengths[i] for i in there if around not in blocks[i][1])
+    surges = set(surging)
+    weight = [0, *accumulate(lengths[i] if i in surges else 0 for i in range(len(blocks)))]  # text that surges before each block
+    chars = [0, *accumulate(len(t) for t, *_ in blocks)]
+    inside = lambda n: weight[nodes[n].high] - weight[nodes[n].low]
+    if any(outermost[blocks[i][1]] for i in own):
+        # of each outermost one the element with most of the text that surges; of such that are within each other, the inner one
+        best: dict[int, tuple[int, int]] = {}
+        for n, node in enumerate(nodes):
+            if node.holds and inside(n):
+                best[outermost[n]] = max(best.get(outermost[n], (0, 0)), (inside(n), n))
+        kept = sorted((nodes[n].low, nodes[n].high) for _, n in best.values())
+        return "\n\n".join(t for low, high in kept for t, *_ in blocks[low:high])
+    around = blocks[own[0]][1]
+    while not nodes[around].low <= own[0] <= own[-1] < nodes[around].high:
+        around = nodes[around].parent
+    least = outer = around
+    while outer:
+        outer = nodes[outer].parent
+        low, high = nodes[outer].low, nodes[outer].high
+        start, end = surging[bisect_left(surging, low)], surging[bisect_left(surging, high) - 1] + 1
+        more = inside(outer) - inside(around)
         # what is outside of the stretches there: menus and the like outweigh no text
-        beyond = [i for i, (_, path, _) in enumerate(blocks) if (not outer or outer in path) and around not in path and not there[0] <= i <= there[-1]]
-        if more and more >= sum(len(blocks[i][0]) for i in beyond):
+        a, b = nodes[around].low, nodes[around].high
+        beyond = chars[start] - chars[low] + chars[high] - chars[end] - max(0, chars[start] - chars[a]) - max(0, chars[b] - chars[end])
+        if more and more >= beyond:
             around = outer
     if around:
-        return "\n\n".join(t for t, path, _ in blocks if around in path)
+        return "\n\n".join(t for t, *_ in blocks[nodes[around].low : nodes[around].high])
     # the page itself: what is between, and blocks that stand where those of the stretches do
     beside = {blocks[i][1] for i in surging}
-    return "\n\n".join(t for i, (t, path, linked) in enumerate(blocks) if found[0][0] <= i < found[-1][1] or chain[-1] in path or (path in beside and not linked))
+    near = range(nodes[least].low, nodes[least].high) if least else range(0)
+    return "\n\n".join(t for i, (t, n, linked) in enumerate(blocks) if found[0][0] <= i < found[-1][1] or i in near or (n in beside and not linked))
 
 
 def extract(pages: DataFrame) -> DataFrame:
