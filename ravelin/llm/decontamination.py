@@ -15,7 +15,8 @@ thinned fingerprints.  Windows are keyed by a digest of the text, so that
 copies of a text are worked out once.
 
 Edge cases: a null or empty text has no words; a benchmark item of fewer than
-``span`` words, but not none, is one window, looked up by its own length;
+``span`` words, but not none, is one window, looked up where its first two
+words stand;
 repeated rows each get their result; item ids that are null are not listed,
 their windows still hit; an item id on several rows is one item; an empty
 benchmark hits nothing; empty documents give an empty result; other columns
@@ -35,33 +36,34 @@ SPAN = 10
 GRAM = 5
 
 
-def _grams(df: DataFrame, names: list[str], span: int, gram: int) -> DataFrame:
-    """A row for each word position (one with a null position for no words): n words, i, fingerprint m of the window there and of the one before, whether that is the hash of the gram left behind (left), and g, the hashes of the grams."""
+def _grams(df: DataFrame, names: list[str], span: int, gram: int, words: bool = False) -> DataFrame:
+    """A row for each word position (one with a null position for no words): n words, i, fingerprint m of the window there and of the one before, whether that is the hash of the gram left behind (left), and g, the hashes of the grams; with ``words`` also h, those of the words."""
     hashed = df.select(*names, F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    names = [*names, *(["h"] if words else [])]
     grams = hashed.select(*names, F.transform("h", lambda x, i: F.xxhash64(x, *(F.get("h", i + k) for k in range(1, gram)))).alias("g"))
     least = grams.select(*names, "g", F.transform("g", lambda x, i: F.least(x, *(F.get("g", i + k) for k in range(1, span - gram + 1)))).alias("m"))
     return least.select(*names, "g", F.size("g").alias("n"), "m", F.posexplode_outer("m").alias("i", "at")).select(*names, "g", "n", "i", F.col("at").alias("m"), F.get("m", F.col("i") - 1).alias("before"), (F.get("m", F.col("i") - 1) == F.get("g", F.col("i") - 1)).alias("left"))
 
 
-def _words_at(df: DataFrame, *names: str) -> DataFrame:
-    """A row for each word position, with the hashes of all words."""
-    hashed = df.select(*names, F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    return hashed.select(*names, "h", F.size("h").alias("n"), F.posexplode("h").alias("i", "_"))
+def _short(size: int, at) -> list[Column]:
+    """Identity of a window of fewer words, the k-th of which is ``at(k)``: two hashes of all of them."""
+    own = [at(k) for k in range(size)]
+    return [F.xxhash64(*own).alias("w1"), F.xxhash64(F.lit(size), *own).alias("w2")]
 
 
-def _short(size: int) -> list[Column]:
-    """Identity of a window of fewer words: two hashes of all of them."""
-    own = [F.get("h", F.col("i") + x) for x in range(size)]
-    return [F.xxhash64(*own).alias("w1"), F.xxhash64(F.lit(size), *own).alias("w2")]
+def _start(size: int, at) -> Column:
+    """Hash of the first two words of a short window, or of its one."""
+    return F.xxhash64(F.lit(min(size, 2)), *(at(k) for k in range(min(size, 2))))
 
 
 def benchmark_windows(benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """item_id, size, fingerprint m, w1, w2 of every window of the benchmark."""
+    """item_id, size, fingerprint m (of a short window the hash of its start), w1, w2 of every window of the benchmark."""
     texts = benchmark.select("item_id", "text")
     whole = _grams(texts, ["item_id"], span, gram).where(F.col("i") + span <= F.col("n"))
     parts = [whole.select("item_id", F.lit(span).alias("size"), "m", F.get("g", "i").alias("w1"), F.get("g", F.col("i") + (span - gram)).alias("w2"))]
-    at = _words_at(texts, "item_id")
-    parts += [at.where((F.col("n") == s) & (F.col("i") == 0)).select("item_id", F.lit(s).alias("size"), F.lit(0).cast("bigint").alias("m"), *_short(s)) for s in range(1, span)]
+    hashed = texts.select("item_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    at = lambda k: F.get("h", F.lit(k))
+    parts += [hashed.where(F.size("h") == s).select("item_id", F.lit(s).alias("size"), _start(s, at).alias("m"), *_short(s, at)) for s in range(1, span)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -76,25 +78,39 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     scratch = Scratch(docs.sparkSession)
     bench = scratch.table(benchmark_windows(benchmark, span, gram), "benchmark")
     marks = small(scratch.table(bench.where(F.col("size") == span).select("m").distinct().withColumn("found", F.lit(True)), "marks"))
+    sizes = sorted(r[0] for r in bench.where(F.col("size") < span).select("size").distinct().collect())  # fewer than span
     texts = docs.select(*(F.col(c).alias(f"_{x}") for x, c in enumerate(keep)), "text")
     kept = [f"_{x}" for x in range(len(keep))]
-    at = _grams(texts.select(*kept, *digest(F.coalesce("text", F.lit(""))), "text"), [*kept, "k1", "k2"], span, gram)
+    at = _grams(texts.select(*kept, *digest(F.coalesce("text", F.lit(""))), "text"), [*kept, "k1", "k2"], span, gram, bool(sizes))
     windows = span - gram + 1
     first = F.coalesce(F.col("i") == 0, F.lit(True))
     thin = (F.col("i") + span <= F.col("n")) & (first | (F.col("m") != F.col("before")) | F.col("left"))
     # the grams of all windows that this fingerprint can be the least hash of
-    at = at.select(*kept, "k1", "k2", "n", "i", F.when(thin, F.col("m")).alias("m"), F.when(thin, F.slice("g", F.col("i") + 1, windows + span - gram)).alias("g")).where(first | F.col("m").isNotNull())
-    hit = at.join(marks, "m", "left").where(first | F.col("found"))
-    hit = scratch.table(hit.select(*kept, "k1", "k2", "n", "i", first.alias("first"), F.when(F.col("found"), F.col("g")).alias("g")), "hits")
+    cut = [F.when(thin, F.col("m")).alias("m"), F.when(thin, F.slice("g", F.col("i") + 1, windows + span - gram)).alias("g")]
+    ids, hit = [*kept, "k1", "k2", "n", "i"], first | F.col("found")
+    if sizes:  # in the same pass, places where a short item may start
+        word = lambda k: F.get("h", F.col("i") + k)
+        depths = sorted({min(s, 2) for s in sizes})
+        at = at.select(*ids, *cut, F.slice("h", F.col("i") + 1, span - 1).alias("h"), *(_start(d, word).alias(f"start{d}") for d in depths))
+        for d in depths:
+            starts = bench.where((F.col("size") < span) & (F.least(F.col("size"), F.lit(2)) == d)).select(F.col("m").alias(f"start{d}")).distinct().withColumn(f"short{d}", F.lit(True))
+            at = at.join(small(scratch.table(starts, f"starts{d}")), f"start{d}", "left")
+        at = at.withColumn("short", F.coalesce(*(F.col(f"short{d}") for d in depths))).where(first | F.col("m").isNotNull() | F.col("short"))
+        hit = hit | F.col("short")
+        more = [F.when(F.col("short"), F.col("h")).alias("h")]
+    else:
+        at, more = at.select(*ids, *cut).where(first | F.col("m").isNotNull()), []
+    hit = at.join(marks, "m", "left").where(hit)
+    hit = scratch.table(hit.select(*ids, first.alias("first"), F.when(F.col("found"), F.col("g")).alias("g"), *more), "hits")
 
     known = bench.select("size", "w1", "w2").distinct()
     near = F.array(*(F.struct((F.col("i") + x).alias("i"), F.get("g", F.lit(x)).alias("w1"), F.get("g", F.lit(x + span - gram)).alias("w2")) for x in range(windows)))
     found = hit.where("g is not null").select("k1", "k2", "n", near.alias("near")).select("k1", "k2", "n", F.inline("near")).where(F.col("i") + span <= F.col("n"))
     found = found.select("k1", "k2", F.lit(span).alias("size"), "i", "w1", "w2")
-    sizes = [r[0] for r in bench.where(F.col("size") < span).select("size").distinct().collect()]  # fewer than span
-    for s in sorted(sizes):
-        at = _words_at(texts.select(*digest(F.coalesce("text", F.lit(""))), "text"), "k1", "k2").where(F.col("i") + s <= F.col("n"))
-        found = found.unionByName(at.select("k1", "k2", F.lit(s).alias("size"), "i", *_short(s)))
+    if sizes:
+        each = F.array(*(F.struct(F.lit(s).alias("size"), *_short(s, lambda k: F.get("h", F.lit(k)))) for s in sizes))
+        short = hit.where("h is not null").select("k1", "k2", "n", "i", F.inline(each)).where(F.col("i") + F.col("size") <= F.col("n"))
+        found = found.unionByName(short.select("k1", "k2", "size", "i", "w1", "w2"))
     known = small(scratch.table(known, "known"))
     found = scratch.table(found.join(known, ["size", "w1", "w2"], "left_semi").distinct(), "found")
 
