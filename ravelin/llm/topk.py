@@ -9,7 +9,8 @@ exactly k rows for each query are ranked.  A task reports only its highest
 bins that hold k scores, since the k-th score overall isn't below its own.
 
 A query block is of bounded size and reaches the tasks as a broadcast; vectors
-are never shuffled.
+are never shuffled.  Whole-number vectors, the queries by block and each block's
+result are written once, so that the last plan doesn't grow with the blocks.
 
 Edge cases: vectors that are null or hold null or non-finite components, and
 rows with a null id, take no part; a vector is scored against queries of its
@@ -31,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ravelin.scratch import Scratch
 from ravelin.sources.tables import table
 
 K = 10
@@ -164,19 +166,23 @@ def search_block(vectors: DataFrame, queries: list, k: int, longest: float, leas
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of every query (rows whose id is divisible by ``every``)."""
-    whole = whole_vectors(vectors, scale)
+    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
+    whole = scratch.table(whole_vectors(vectors, scale), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
     ends = whole.agg(F.max(F.sqrt(square)), F.min("vec_id"), F.max("vec_id"), F.sum((F.col("vec_id") % every == 0).cast("bigint"))).first()
-    queries = whole.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = -(-(ends[3] or 0) // block)
-    out = None
+    asked = whole.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(blocks, 1))).cast("int"))
+    asked.repartition("block").write.partitionBy("block").parquet(f"{scratch.root}/queries")
+    queries = spark.read.schema(asked.schema).parquet(f"{scratch.root}/queries")
     for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()  # about ``block`` rows
+        mine = queries.where(F.col("block") == b).collect()  # about ``block`` rows
         if mine:
             found = search_block(whole, mine, k, *ends[:3])
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+            found.write.parquet(f"{scratch.root}/found/block={b}")
+    if not blocks:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    out = spark.read.schema("query_id bigint, vec_id bigint, score bigint").parquet(f"{scratch.root}/found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = out.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
