@@ -29,7 +29,7 @@ def dedup_lines(docs: DataFrame, size: int = SIZE, counts: tuple[str, str] = ("n
     """``docs`` with ``text`` without the removed lines, and the numbers of lines and removed lines under the names ``counts`` (which replace columns of these names)."""
     lines = F.split("text", "\n", -1)
     # the id's place in the order goes through hashes as they are compared: nulls last
-    keys = digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text"))
+    keys = digest(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
     spread = docs.where("text is not null").select("doc_id", *keys, lines.alias("lines")).where(F.size("lines") >= size)
     at = spread.select("doc_id", "k1", "k2", "lines", F.posexplode("lines").alias("i", "line"))
     own = [F.get("lines", F.col("i") + x) for x in range(size)]
