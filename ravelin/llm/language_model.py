@@ -101,9 +101,11 @@ def pair_counts(texts: DataFrame, words: list[bytes]) -> DataFrame:
         ids, total = shared.value, np.zeros(size * size, np.int64)
         get, end = ids.get, ids.get(END, 0)
         for batch in batches:
+            found = [np.empty(0, np.int64)]
             for text in batch.column(0).to_pylist():
                 now = np.array([end, *(get(t, 0) for t in tokens_of(text)), end])
-                np.add.at(total, now[:-1] * size + now[1:], 1)
+                found.append(now[:-1] * size + now[1:])
+            total += np.bincount(np.concatenate(found), minlength=size * size)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["pair", "n"])
 
