@@ -150,26 +150,54 @@ def test_risk_steps_equal_finite_differences():
 
 def test_scores_of_the_model_restated(spark):
     rng = random.Random(16)
-    rows = [(i, " ".join(rng.choice(["a", "b", "b c", "A", f"rare{i % 50}"]) for _ in range(rng.randrange(30)))) for i in range(200)] + [(500, None)]
-    got = {r.doc_id: r.score for r in language_model.score_texts(table_of(spark, rows), words=3, head=5).collect()}
+    rows = [(i, " ".join(rng.choice(["a", "b", "b c", "A", "d e", f"rare{i % 50}"]) for _ in range(rng.randrange(30)))) for i in range(200)] + [(500, None)]
+    got = {r.doc_id: r.score for r in language_model.score_texts(table_of(spark, rows), words=3, most=6, classes=3, head=9).collect()}
     tokens = {doc: [*(text or "").lower().encode().split(), b""] for doc, text in rows}
-    learned = [t for doc, t in tokens.items() if zlib.crc32(str(doc).encode()) % 10]
-    counts = Counter(x for t in learned for x in t)
-    known = sorted((t for t in counts), key=lambda t: (-counts[t], t))[:2]
+    learned = {doc: t for doc, t in tokens.items() if zlib.crc32(str(doc).encode()) % 10}
+    counts = Counter(x for t in learned.values() for x in t)
+    known = sorted((t for t in counts), key=lambda t: (-counts[t], t))[:5]
     number = {t: i + 1 for i, t in enumerate(known)}
-    pairs = np.zeros((3, 3))
-    for t in learned:
-        for before, now in zip([b"", *t], t, strict=False):
-            pairs[number.get(before, 0), number.get(now, 0)] += 1
-    logs = language_model.log_probabilities(*(p.astype(np.float32).astype(float) for p in language_model.train(pairs)))
+    ids = {doc: [number.get(x, 0) for x in [b"", b"", *t]] for doc, t in tokens.items()}
+    profiles = np.zeros((6, 2 * language_model.BINS))
+    for doc in learned:
+        for before, now in zip(ids[doc][1:], ids[doc][2:], strict=False):
+            profiles[now, before] += 1
+            profiles[before, language_model.BINS + now] += 1
+    of = language_model.word_classes(profiles, 3)
+    assert of[0] == 0 and set(of[1:]) == {1, 2}
+    logs = []
+    for k in (1, 2):
+        first, second = np.zeros((6, 3)), np.zeros((3, 6))
+        for doc in learned:
+            for i in range(2, len(ids[doc])):
+                first[ids[doc][i - k], of[ids[doc][i]]] += 1
+                second[of[ids[doc][i - k]], ids[doc][i]] += 1
+        logs.append((language_model.log_probabilities(*language_model.train(first)), language_model.log_probabilities(*language_model.train(second, of), of)))
     rest = sum(counts.values()) - sum(counts[t] for t in known)
-    for doc, t in tokens.items():
-        want = 0.0
-        for before, now in zip([b"", *t], t, strict=False):
-            want += logs[number.get(before, 0), number.get(now, 0)]
-            if now not in number:
-                want += math.log10((counts[now] + 0.1) / (rest + 0.1 * (len(counts) - 2 + 1)))
-        assert abs(got[doc] - want) < 1e-6 * max(1, abs(want))
+
+    def score(doc, mix):
+        total = 0.0
+        for i, now in enumerate(ids[doc][2:], 2):
+            parts = [10 ** (a[ids[doc][i - k], of[now]] + b[of[ids[doc][i - k]], now]) for k, (a, b) in enumerate(logs, 1)]
+            total += math.log10(mix * parts[0] + (1 - mix) * parts[1])
+            if not now:
+                total += math.log10((counts[tokens[doc][i - 2]] + 0.1) / (rest + 0.1 * (len(counts) - 5 + 1)))
+        return total
+
+    best = max(language_model.MIXES, key=lambda m: sum(score(doc, m) for doc in learned))
+    for doc in tokens:
+        assert abs(got[doc] - score(doc, best)) < 1e-4 * max(1, abs(got[doc]))
+
+
+def test_words_of_the_model_grow_with_the_corpus(spark, monkeypatch):
+    seen = []
+    whole = language_model.word_classes
+    monkeypatch.setattr(language_model, "word_classes", lambda profiles, classes: seen.append(len(profiles)) or whole(profiles, classes))
+    for many in (20, 200):
+        rows = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(20))) for i in range(many)]
+        language_model.score_texts(table_of(spark, rows), words=4)
+    n = [sum(21 for i in range(many) if zlib.crc32(str(i).encode()) % 10) for many in (20, 200)]
+    assert seen == [4 + math.isqrt(k) for k in n]
 
 
 def test_ids_are_those_of_the_tokenizer_on_whole_tables(spark, sf001):
