@@ -127,11 +127,15 @@ def sampled_runs(docs: DataFrame) -> DataFrame:
 
 
 def window_blocks(open_texts: DataFrame) -> DataFrame:
-    """For each block of offsets of the given runs of a text: hash of what its windows have in common, c, single, j and the windows' hashes (0: not of the run)."""
+    """For each block of offsets of the given runs of each text (copies that follow each other count once): hash of what its windows have in common, c, single, j and the windows' hashes (0: not of the run)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text, runs in zip(zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if key == last:
+                    continue  # a copy of the text before has the same windows
+                last = key
                 data = (text or "").encode("utf-8", "surrogatepass")
                 c, a, s, e, single = (np.array([r[k] for r in runs]) for k in ("c", "a", "s", "e", "single"))
                 for start, x in stretches(data):
@@ -150,7 +154,7 @@ def window_blocks(open_texts: DataFrame) -> DataFrame:
                     wins = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1) * GRID, pa.int32()), pa.array(hashes.ravel()))
                     yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(c[of]), pa.array(single[of]), pa.array(j.astype(np.int32)), wins], names=["core", "c", "single", "j", "wins"])
 
-    return open_texts.select("text", "runs").mapInArrow(run, "core bigint, c bigint, single boolean, j int, wins array<bigint>")
+    return open_texts.select("k1", "k2", "text", "runs").mapInArrow(run, "core bigint, c bigint, single boolean, j int, wins array<bigint>")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -177,9 +181,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     close = scratch.table(close.select("core", "h", "c", "single", (F.col("j") * GRID + F.col("x")).alias("o")), "close")
     scratch.drop("blocks")
     equal = close.groupBy("core", "h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("single").alias("any")).where("low != high and any").select("core", "h")
-    hit = close.where("single").join(scratch.table(equal, "equal"), ["core", "h"]).select("c", "o").distinct()
+    # a run has fewer windows than LENGTH: its hits become ranges before they meet its text
+    hit = close.where("single").join(scratch.table(equal, "equal"), ["core", "h"]).groupBy("c").agg(F.sort_array(F.collect_set("o")).alias("os"))
+    low = F.filter("os", lambda o, i: (i == 0) | (F.get("os", i - 1) != o - 1))
+    high = F.filter("os", lambda o, i: F.coalesce(F.get("os", i + 1) != o + 1, F.lit(True)))
     single = mixed_up.where("m = 1").select("c", "k1", "k2", "a")
-    part = hit.join(single, "c").select("k1", "k2", (F.col("a") - F.col("o")).alias("s"), (F.col("a") - F.col("o")).alias("e"))
+    # an offset counts back from the sample
+    spans = hit.select("c", F.explode(F.arrays_zip(low.alias("low"), high.alias("high"))).alias("x")).join(single, "c")
+    part = spans.select("k1", "k2", (F.col("a") - F.col("x.high")).alias("s"), (F.col("a") - F.col("x.low")).alias("e"))
     every = whole.unionByName(part).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("windows"))
     return scratch.table(every, "windows")
 
