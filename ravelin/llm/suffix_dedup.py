@@ -15,8 +15,9 @@ prefixes that meet are compared.
    elsewhere is repeated as a whole; a run that is alone with its sample isn't
    repeated at all.
 3. The rest are cut into blocks of ``GRID`` offsets.  The bytes that all
-   windows of a block have in common are compared first, and only where those
-   meet, every window is.
+   windows of a block have in common are compared first.  Every window is
+   hashed and compared only from the first to the last block of a run where
+   those meet, in a second pass over the texts that hold such blocks.
 
 Equality is that of 128 bits or more of hashes.  Groups are worked out by
 grouped minima and maxima with partial aggregation and by joins, never by
@@ -126,8 +127,8 @@ def sampled_runs(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, f"k1 bigint, k2 bigint, {kinds}")
 
 
-def window_blocks(open_texts: DataFrame) -> DataFrame:
-    """For each block of offsets of the given runs of each text (copies that follow each other count once): hash of what its windows have in common, c, single, j and the windows' hashes (0: not of the run)."""
+def window_blocks(open_texts: DataFrame, windows: bool = False) -> DataFrame:
+    """For each of the given blocks of offsets of each text's runs (copies that follow each other count once): hash of what its windows have in common, c, single, j and, if asked for, the windows' hashes (0: not of the run)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -137,24 +138,28 @@ def window_blocks(open_texts: DataFrame) -> DataFrame:
                     continue  # a copy of the text before has the same windows
                 last = key
                 data = (text or "").encode("utf-8", "surrogatepass")
-                c, a, s, e, single = (np.array([r[k] for r in runs]) for k in ("c", "a", "s", "e", "single"))
+                c, a, s, e, single, first, last_ = (np.array([r[k] for r in runs]) for k in ("c", "a", "s", "e", "single", "low", "high"))
                 for start, x in stretches(data):
                     mine = np.flatnonzero((s >= start) & (s < start + STRETCH))  # runs don't cross stretches
                     if not len(mine):
                         continue
-                    low, high = (a - e)[mine] // GRID, (a - s)[mine] // GRID
+                    low, high = first[mine], last_[mine]
                     of = np.repeat(mine, high - low + 1)
                     j = np.arange(len(of)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + np.repeat(low, high - low + 1)
                     at = a[of] - start
                     core = mixed(x.part(at - GRID * j, at - GRID * j + LENGTH - GRID + 1) + mixed(j.astype(np.uint64)))
+                    made = [pa.array(core.view(np.int64)), pa.array(c[of]), pa.array(single[of]), pa.array(j.astype(np.int32))]
+                    if not windows:
+                        yield pa.RecordBatch.from_arrays(made, names=["core", "c", "single", "j"])
+                        continue
                     p = at[:, None] - (GRID * j[:, None] + np.arange(GRID)[None, :])
                     there = (p >= (s[of] - start)[:, None]) & (p <= (e[of] - start)[:, None])
                     p = np.where(there, p, 0)
                     hashes = np.where(there, x.part(p, p + LENGTH) | np.uint64(1), np.uint64(0)).view(np.int64)
                     wins = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1) * GRID, pa.int32()), pa.array(hashes.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(c[of]), pa.array(single[of]), pa.array(j.astype(np.int32)), wins], names=["core", "c", "single", "j", "wins"])
+                    yield pa.RecordBatch.from_arrays([*made, wins], names=["core", "c", "single", "j", "wins"])
 
-    return open_texts.select("k1", "k2", "text", "runs").mapInArrow(run, "core bigint, c bigint, single boolean, j int, wins array<bigint>")
+    return open_texts.select("k1", "k2", "text", "runs").mapInArrow(run, "core bigint, c bigint, single boolean, j int" + ", wins array<bigint>" * windows)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -173,13 +178,21 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     mixed_up = named.groupBy("g").agg(F.count("*").alias("kinds"), F.min("m").alias("least")).where("kinds > 1 and least = 1").select("g")
     mixed_up = scratch.table(named.join(scratch.table(mixed_up, "mixed-names"), "g"), "open")
     scratch.drop("named")
-    item = F.struct("c", "a", "s", "e", (F.col("m") == 1).alias("single"))
-    by_text = scratch.table(mixed_up.groupBy("k1", "k2").agg(F.collect_list(item).alias("runs")), "open-texts")
-    blocks = scratch.table(window_blocks(_texts(docs).join(by_text, ["k1", "k2"])), "blocks")
+    item = F.struct("c", "a", "s", "e", (F.col("m") == 1).alias("single"), "low", "high")
+
+    def opened(runs: DataFrame, name: str) -> DataFrame:
+        by_text = scratch.table(runs.groupBy("k1", "k2").agg(F.collect_list(item).alias("runs")), name)
+        return _texts(docs).join(by_text, ["k1", "k2"])
+
+    bounds = [F.floor((F.col("a") - F.col(x)) / GRID).alias(name) for x, name in (("e", "low"), ("s", "high"))]
+    blocks = scratch.table(window_blocks(opened(mixed_up.select("*", *bounds), "open-texts")), "blocks")
     cores = blocks.groupBy("core").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("single").alias("any")).where("low != high and any").select("core")
-    close = blocks.join(scratch.table(cores, "cores"), "core").select("core", "c", "single", "j", F.posexplode("wins").alias("x", "h")).where("h != 0")
-    close = scratch.table(close.select("core", "h", "c", "single", (F.col("j") * GRID + F.col("x")).alias("o")), "close")
+    # blocks between the first and the last that meet are hashed too; those that meet nothing drop out below
+    spots = blocks.join(scratch.table(cores, "cores"), "core").groupBy("c").agg(F.min("j").alias("low"), F.max("j").alias("high"))
+    spots = scratch.table(spots, "spots")
     scratch.drop("blocks")
+    close = window_blocks(opened(mixed_up.join(spots, "c"), "close-texts"), windows=True).select("core", "c", "single", "j", F.posexplode("wins").alias("x", "h")).where("h != 0")
+    close = scratch.table(close.select("core", "h", "c", "single", (F.col("j") * GRID + F.col("x")).alias("o")), "close")
     equal = close.groupBy("core", "h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("single").alias("any")).where("low != high and any").select("core", "h")
     # a run has fewer windows than LENGTH: its hits become ranges before they meet its text
     hit = close.where("single").join(scratch.table(equal, "equal"), ["core", "h"]).groupBy("c").agg(F.sort_array(F.collect_set("o")).alias("os"))
