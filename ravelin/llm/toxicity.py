@@ -107,13 +107,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return weight, b
 
 
-def _featured(docs: DataFrame, bits: int) -> DataFrame:
+def _featured(docs: DataFrame, bits: int, most: int) -> DataFrame:
+    """Features of the documents; of more than ``most``, where ids are repeated, those of the least hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [features(t, bits).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["found"])
 
-    return docs.select("text").mapInArrow(run, "found binary")
+    return docs.select("text").mapInArrow(run, "found binary").orderBy(F.xxhash64("found"), "found").limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, bits: int = BITS, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[np.ndarray, float]:
@@ -125,7 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, bits: int = BITS,
     positive = known.where("toxic = 1").select("doc_id").distinct().orderBy(by, "doc_id").limit(most_positive)
     other = docs.where(mine).select("doc_id").orderBy(by, "doc_id").limit(most_unlabelled).distinct()
     picked = [docs.join(F.broadcast(x), "doc_id", "left_semi") for x in (positive, other)]
-    found = [[np.frombuffer(r.as_buffer(), np.int32) for r in _featured(x, bits).toArrow().column(0)] for x in picked]
+    bounds = (most_positive, most_unlabelled)
+    found = [[np.frombuffer(r.as_buffer(), np.int32) for r in _featured(x, bits, n).toArrow().column(0)] for x, n in zip(picked, bounds, strict=True)]
     return fit(*found, prior, bits)
 
 

@@ -237,3 +237,14 @@ def test_the_last_plan_does_not_grow_with_the_blocks(spark):
     plans = [topk.top_k(vectors, every=100, block=block) for block in (100, 2)]
     nodes = [p._jdf.queryExecution().optimizedPlan().toString().count("\n") for p in plans]
     assert nodes[0] == nodes[1] and order(plans[0].collect()) == order(plans[1].collect())
+
+
+def test_repeated_ids_stay_within_the_training_bounds(spark, monkeypatch):
+    hot = next(k for k in range(1000) if zlib.crc32(str(k).encode()) % 5)
+    rows = [(hot, f"text number {k}") for k in range(300)] + [(k, f"other text {k}") for k in range(2000, 2200)]
+    labels = spark.createDataFrame([(hot, 1)] + [(k, 0) for k in range(2000, 2010)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda positive, unlabelled, prior, bits: seen.append(([p.tobytes() for p in positive], [u.tobytes() for u in unlabelled])))
+    for parts in (1, 5):
+        toxicity.train(table_of(spark, rows).repartition(parts), labels, most_positive=20, most_unlabelled=30)
+    assert [len(x) for x in seen[0]] == [20, 30] and seen[0] == seen[1]
