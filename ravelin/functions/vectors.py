@@ -64,3 +64,25 @@ def safe_embedder(name: str, dim: int = 384):
         return embedder(name, dim), name
     except Exception:  # a provider may fail in any way
         return embedder("stub", dim), "stub"
+
+
+def embedded(text: Column, name: str, dim: int = 384) -> Column:
+    """Struct of provider and v (null for null): batches on which the named provider fails, or gives other sizes, take the built-in one.
+
+    A store of one provider and dimension keeps the rows that fit it
+    (``store.dimension_errors``), so that vectors of two kinds never meet.
+    """
+    made, taken = safe_embedder(name, dim)
+    named, plain, taken = made.func, hash_embedder(dim).func, "stub" if taken == "auto" else taken
+
+    @F.pandas_udf("struct<provider: string, v: array<double>>")
+    def embed(texts: pd.Series) -> pd.DataFrame:
+        try:
+            found, by = list(named(texts)), taken
+            if len(found) != len(texts) or any(v is not None and len(v) != dim for v in found):
+                raise ValueError("sizes differ")
+        except Exception:  # a provider may fail in any way
+            found, by = list(plain(texts)), "stub"
+        return pd.DataFrame({"provider": [by] * len(texts), "v": found})
+
+    return embed(text)

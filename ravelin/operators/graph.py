@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ravelin.config import EngineConfig
 from ravelin.functions import text as T
 from ravelin.operators.chunking import chunk_texts
+from ravelin.scratch import Scratch
 
 
 def mentions(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -15,10 +16,18 @@ def mentions(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFram
     return chunk_texts(docs, config).select("doc_id", F.explode(T.candidates(F.col("combined"))).alias("entity")).distinct()
 
 
-def about_edges(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """chunk_id, doc_id, ord, entity for the chunks of a document that its entities occur in, by an equi-join on the document."""
-    lowered = chunks.select("doc_id", "chunk_id", "ord", F.lower("text").alias("lowered"))
-    return found.join(lowered, "doc_id").where(F.contains("lowered", "entity")).select("chunk_id", "doc_id", "ord", "entity")
+#: Chunks of a document that meet its entities in one group; a longer document is several groups, with its entities in each.
+SPAN = 64
+
+
+def about_edges(found: DataFrame, chunks: DataFrame, span: int = SPAN) -> DataFrame:
+    """chunk_id, doc_id, ord, entity for the chunks of a document that its entities occur in, by an equi-join on the document and the part of it."""
+    part = F.floor(F.col("ord") / span)
+    lowered = chunks.select("doc_id", part.alias("part"), "chunk_id", "ord", F.lower("text").alias("lowered"))
+    # written first, so that its size is known and Spark broadcasts it only where it is small
+    long = Scratch(chunks.sparkSession).table(chunks.groupBy("doc_id").agg(F.max(part).alias("last")).where("last > 0"), "long")
+    parts = found.join(long, "doc_id", "left").select("doc_id", "entity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("last", F.lit(0)))).alias("part"))
+    return parts.join(lowered, ["doc_id", "part"]).where(F.contains("lowered", "entity")).select("chunk_id", "doc_id", "ord", "entity")
 
 
 def degrees(about: DataFrame) -> DataFrame:

@@ -39,10 +39,12 @@ def broken_keys(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def dimension_errors(rows: DataFrame, dimension: int, vector: str = "v") -> DataFrame:
-    """``rows`` with error: null, or ``no_vector`` or ``dimension`` where a vector doesn't fit the store's."""
-    size = F.size(vector)
-    return rows.withColumn("error", F.when(F.col(vector).isNull(), "no_vector").when(size != dimension, "dimension"))
+def dimension_errors(rows: DataFrame, dimension: int, vector: str = "v", provider: str | None = None) -> DataFrame:
+    """``rows`` with error: null, or ``no_vector``, ``dimension`` or (where one is named) ``provider`` where a vector doesn't fit the store's."""
+    error = F.when(F.col(vector).isNull(), "no_vector").when(F.size(vector) != dimension, "dimension")
+    if provider is not None:
+        error = error.when(~F.col("provider").eqNullSafe(F.lit(provider)), "provider")
+    return rows.withColumn("error", error)
 
 
 class Snapshots:
@@ -147,7 +149,11 @@ class Snapshots:
                 fs.delete(path, True)
 
     def health(self) -> DataFrame:
-        """name, version, number of rows and columns of every table."""
-        names = [n for n in self._named(self.root) if self.version(n)]
-        rows = [(n, self.version(n), self.read(n).count(), len(self.read(n).columns)) for n in names]
-        return self.spark.createDataFrame(rows, "name string, version int, n_rows bigint, n_columns int")
+        """name, version, number of rows and columns, and of keys on more than one row, of every table."""
+        rows = []
+        for name in self._named(self.root):
+            if version := self.version(name):
+                manifest = self._manifest(name, version)
+                held = self._open(manifest)
+                rows.append((name, version, held.count(), len(held.columns), broken_keys(held, manifest["keys"]).count()))
+        return self.spark.createDataFrame(rows, "name string, version int, n_rows bigint, n_columns int, n_broken_keys bigint")

@@ -1,5 +1,6 @@
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +26,17 @@ def test_edges_join_by_document_and_substring(small):
     assert [r.entity for r in graph.orphans(found, about).collect()] == ["ghost\nword"]
 
 
+def test_long_documents_meet_their_entities_in_parts(spark):
+    words = ["north", "southern", "eastward", "the west"]
+    texts = [(f"{d}-{k}", d, k, f"{words[k % 4].title()} of {words[(k * 7 + d) % 4]} {k}") for d, n in ((1, 200), (2, 3), (3, 64), (4, 65)) for k in range(n)]
+    names = [(d, e) for d in (1, 2, 3, 4, 5) for e in ("north", "south", "west", "absent")]
+    about = graph.about_edges(spark.createDataFrame(names, "doc_id long, entity string"), spark.createDataFrame(texts, "chunk_id string, doc_id long, ord int, text string"))
+    want = sorted((c, d, k, e) for c, d, k, t in texts for i, e in names if i == d and e in t.lower())
+    assert sorted(tuple(r) for r in about.collect()) == want
+    bare = spark.createDataFrame([], "chunk_id string, doc_id long, ord int, text string")
+    assert graph.about_edges(spark.createDataFrame(names, "doc_id long, entity string"), bare).count() == 0
+
+
 def test_planner_modes(spark):
     questions = spark.createDataFrame([("a", "about Alpha", 4), ("b", "about Beta", None), ("c", "zzzz", None), ("d", None, 0)], "q_id string, question string, top_k int")
     degree = spark.createDataFrame([("alpha", 5), ("beta", 1)], "entity string, degree long")
@@ -99,6 +111,27 @@ def test_hits_without_stored_rows(spark):
     assert answer.shown(cited).first().citation_id == "unknown:"
 
 
+def test_a_failing_embedder_gives_way_to_the_built_in_one(spark, monkeypatch):
+    def failing(dim):
+        @F.pandas_udf("array<double>")
+        def embed(texts: pd.Series) -> pd.Series:
+            if (texts == "bad").any():
+                raise OSError("no answer")
+            return texts.map(lambda t: [1.0] * (dim if t != "short" else 1))
+
+        return embed
+
+    monkeypatch.setitem(V.EMBEDDERS, "failing", failing)
+    for texts, by in ((["a", "b"], "failing"), (["a", "bad"], "stub"), (["short", "a"], "stub")):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", V.embedded(F.col("t"), "failing", 8).alias("e")).select("t", "e.*")
+        got = {r.t: (r.provider, list(r.v)) for r in rows.collect()}
+        assert {g[0] for g in got.values()} == {by}
+        assert got["a"][1] == ([1.0] * 8 if by == "failing" else V.hash_vector("a", 8))
+        assert {r.error for r in store.dimension_errors(rows, 8, provider="failing").collect()} == {None if by == "failing" else "provider"}
+    bare = spark.createDataFrame([("a",), (None,)], "t string").coalesce(1).select("t", V.embedded(F.col("t"), "auto", 8).alias("e")).select("t", "e.*")
+    assert {(r.t, r.provider, r.v and len(r.v)) for r in bare.collect()} == {("a", "stub", 8), (None, "stub", None)}
+
+
 def test_hash_vectors(spark):
     assert V.safe_embedder("missing", 8)[1] == "stub" and V.safe_embedder("auto", 8)[1] == "auto"
     import random, hashlib
@@ -135,7 +168,7 @@ def test_merges(spark):
     opened = tables.upsert("t", rows.where("seq = 1"), ["id"])
     tables.upsert("t", rows.where("seq = 2"), ["id"])
     assert {(r.id, r.v) for r in tables.read("t").collect()} == {("k", "b"), ("m", "c")} and opened.count() == 2
-    assert [tuple(r) for r in tables.health().collect()] == [("t", 2, 2, 3)]
+    assert [tuple(r) for r in tables.health().collect()] == [("t", 2, 2, 3, 0)]
     ties = spark.createDataFrame([("k", "b", 1), ("k", "a", 1), ("k", None, None), (None, "n", 1)], "id string, v string, seq int")
     assert {(r.id, r.v) for r in store.merged(ties, ["id"], "seq").collect()} == {("k", "b"), (None, "n")}
     assert [r.n for r in store.broken_keys(rows, ["id"]).collect()] == [2]
