@@ -115,7 +115,9 @@ def _featured(docs: DataFrame, bits: int, most: int) -> DataFrame:
             made = [features(t, bits).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["found"])
 
-    return docs.select("text").mapInArrow(run, "found binary").orderBy(F.xxhash64("found"), "found").limit(most)
+    found = docs.select("text").mapInArrow(run, "found binary")
+    # a count of ids alone; sorted rows reach the driver as one piece, so they are sorted only where there are too many
+    return found if docs.count() <= most else found.orderBy(F.xxhash64("found"), "found").limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, bits: int = BITS, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[np.ndarray, float]:
