@@ -34,3 +34,9 @@ def words_of(text: Column) -> Column:
 def digest(*cols: Column) -> list[Column]:
     """128 bits that identify the values of ``cols``, as two longs k1 and k2."""
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit("second"), *cols).alias("k2")]
+
+
+_SHIFT = "list_reduce(list_prepend({x}, [0, 1, 2, 3, 4, 5, 6, 7]), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)"
+_CODES = "list_transform(string_split({s}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+#: CRC-32 of a string of ASCII characters in DuckDB, a byte at a time.
+CRC32_SQL = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_CODES}), lambda a, b: {_SHIFT.format(x='xor(a, b)')}), 4294967295)"
