@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ravelin.config import EngineConfig
 from ravelin.functions import text as T
 from ravelin.operators.chunking import chunk_texts
-from ravelin.scratch import Scratch
 
 
 def mentions(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -16,18 +20,38 @@ def mentions(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFram
     return chunk_texts(docs, config).select("doc_id", F.explode(T.candidates(F.col("combined"))).alias("entity")).distinct()
 
 
-#: Chunks of a document that meet its entities in one group; a longer document is several groups, with its entities in each.
+#: Chunks of a document that are searched together for its entities; a longer document is several groups, with its entities in each.
 SPAN = 64
 
 
 def about_edges(found: DataFrame, chunks: DataFrame, span: int = SPAN) -> DataFrame:
-    """chunk_id, doc_id, ord, entity for the chunks of a document that its entities occur in, by an equi-join on the document and the part of it."""
-    part = F.floor(F.col("ord") / span)
-    lowered = chunks.select("doc_id", part.alias("part"), "chunk_id", "ord", F.lower("text").alias("lowered"))
-    # written first, so that its size is known and Spark broadcasts it only where it is small
-    long = Scratch(chunks.sparkSession).table(chunks.groupBy("doc_id").agg(F.max(part).alias("last")).where("last > 0"), "long")
-    parts = found.join(long, "doc_id", "left").select("doc_id", "entity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("last", F.lit(0)))).alias("part"))
-    return parts.join(lowered, ["doc_id", "part"]).where(F.contains("lowered", "entity")).select("chunk_id", "doc_id", "ord", "entity")
+    """chunk_id, doc_id, ord, entity for the chunks of a document that its entities occur in.
+
+    The entities of a document make one automaton, which reads each of its
+    chunks once and finds all of them at the same time, so that the rows that
+    are joined are groups of chunks, not entities times chunks.
+    """
+    names = found.groupBy("doc_id").agg(F.collect_list("entity").alias("entities"))
+    text = F.struct("chunk_id", "ord", F.lower("text").alias("lowered"))
+    groups = chunks.groupBy("doc_id", F.floor(F.col("ord") / span).alias("part")).agg(F.collect_list(text).alias("texts"))
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_id", "ord")}
+    schema = pa.schema([*((c, to_arrow_type(chunks.schema[c].dataType)) for c in kinds), ("entity", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, texts, entities in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                wanted = ahocorasick.Automaton()
+                for entity in entities:
+                    wanted.add_word(entity, entity)
+                wanted.make_automaton()
+                for chunk in texts:
+                    met = {entity for _, entity in wanted.iter(chunk["lowered"] or "")}
+                    out += [(chunk["chunk_id"], doc_id, chunk["ord"], entity) for entity in met]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, schema, strict=True)], schema=schema)
+
+    both = groups.join(names, "doc_id").select("doc_id", "texts", "entities")
+    return both.mapInArrow(run, f"chunk_id {kinds['chunk_id']}, doc_id {kinds['doc_id']}, ord {kinds['ord']}, entity string")
 
 
 def degrees(about: DataFrame) -> DataFrame:
@@ -49,3 +73,10 @@ def orphans(found: DataFrame, about: DataFrame) -> DataFrame:
 def has_chunk(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Edges between documents and chunks that are both there, each once."""
     return documents.select("doc_id").join(chunks.select("doc_id", "chunk_id"), "doc_id").distinct()
+
+
+def entity_counts(found: DataFrame, about: DataFrame) -> DataFrame:
+    """entity, n_docs and degree: the documents that name it and the chunks that hold it."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    rows = found.select("entity", one.alias("n_docs"), none.alias("degree")).unionByName(about.select("entity", none.alias("n_docs"), one.alias("degree")))
+    return rows.groupBy("entity").agg(F.sum("n_docs").alias("n_docs"), F.sum("degree").alias("degree"))

@@ -2,37 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.functions.vectors import squared_distance
 from ravelin.operators.graph import neighbourhood
-from ravelin.scratch import Scratch
-
-#: Queries that are broadcast at once; more are taken in blocks of about so many.
-BLOCK = 10_000
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int | None = None, by: str = "id", block: int = BLOCK) -> DataFrame:
-    """q_id, the columns of ``vectors`` but v, score (squared distance) and rank of the best of each query.
-
-    ``queries`` has q_id, qv and, where k is None, top_k.  Ties go to the smaller
-    ``by``.  Vectors are never shuffled: a task keeps its best of each query of
-    a block, as many as the largest top_k, and only these are ranked.
-    """
-    n, most = queries.agg(F.count("*"), F.max("top_k") if k is None else F.lit(k)).first()
-    blocks = max(1, -(-n // block))
-    scratch, found = Scratch(queries.sparkSession), []
-    for b in range(blocks):
-        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b)
-        both = vectors.join(F.broadcast(mine), F.lit(True)).withColumn("score", F.round(squared_distance(F.col("qv"), F.col("v")), 9)).drop("v", "qv")
-        ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("score", by))).where(F.col("rank") <= int(most or 1))
-        found.append(ranked if blocks == 1 else scratch.table(ranked, f"block-{b}"))
-    out = reduce(DataFrame.unionByName, found)
-    return (out if k else out.where(F.col("rank") <= F.col("top_k"))).drop("top_k")
+from ravelin.operators.nearest import nearest
 
+__all__ = ["dispatched", "graph_hits", "hybrid_hits", "insertion_order", "nearest"]
 
 def insertion_order(queries: DataFrame, vectors: DataFrame, k: int, seq: str = "id") -> DataFrame:
     """The explicit fallback without a search: the first k stored rows for every query."""

@@ -1,16 +1,9 @@
-"""Keyed tables: merges, constraints and versioned snapshots."""
+"""Keyed tables: merges and constraints."""
 
 from __future__ import annotations
 
-import json
-from functools import reduce
-from operator import and_
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-from ravelin.scratch import Scratch, file_system
 
 
 def merged(rows: DataFrame, keys: list[str], seq: str, keep: str = "last") -> DataFrame:
@@ -45,115 +38,3 @@ def dimension_errors(rows: DataFrame, dimension: int, vector: str = "v", provide
     if provider is not None:
         error = error.when(~F.col("provider").eqNullSafe(F.lit(provider)), "provider")
     return rows.withColumn("error", error)
-
-
-class Snapshots:
-    """Named tables under a folder of which every write is a new version; readers keep the version that they opened.
-
-    A table is dealt over ``buckets`` folders by a hash of its keys.  A write
-    makes new files for the buckets that it touches and takes over the others;
-    then a small file that names the version's folders appears under its final
-    name at once, so that a version is there as a whole or not at all.  Another
-    process that opens the same ``path`` finds what was written; without a path
-    the tables are temporary.  One writer at a time: a version that another
-    writer has made meanwhile is an error.
-    """
-
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.buckets = spark, buckets
-        self.root = path.rstrip("/") if path else Scratch(spark).root
-
-    def _named(self, path: str) -> list[str]:
-        at, fs = file_system(self.spark, path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-
-    def version(self, name: str) -> int:
-        """The newest version of a table; 0 where there is none."""
-        return max((int(n) for n in self._named(f"{self.root}/{name}/versions") if n.isdigit()), default=0)
-
-    def _manifest(self, name: str, version: int) -> dict:
-        return json.loads(self.spark.read.text(f"{self.root}/{name}/versions/{version}", wholetext=True).first()[0])
-
-    def _commit(self, name: str, version: int, manifest: dict) -> None:
-        final, fs = file_system(self.spark, f"{self.root}/{name}/versions/{version}")
-        draft, _ = file_system(self.spark, f"{self.root}/{name}/drafts/{version}")
-        fs.mkdirs(final.getParent())
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        if fs.exists(final) or not fs.rename(draft, final):
-            raise RuntimeError(f"version {version} of {name} was written by another writer")
-
-    def read(self, name: str, version: int | None = None) -> DataFrame | None:
-        """The newest (or a given) version of a table; None where there is none."""
-        version = version or self.version(name)
-        return self._open(self._manifest(name, version)) if version else None
-
-    def _open(self, manifest: dict, buckets: list[str] | None = None) -> DataFrame:
-        schema = StructType.fromJson(manifest["schema"])
-        paths = [p for b, p in manifest["buckets"].items() if buckets is None or b in buckets]
-        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in paths)) if paths else self.spark.createDataFrame([], schema)
-
-    def _write(self, name: str, rows: DataFrame, keys: list[str], old: dict | None, touched: list[str]) -> DataFrame:
-        """A new version: ``rows`` in the touched buckets, the old version's folders for the others."""
-        version = self.version(name) + 1
-        folder = f"{name}/v{version}"
-        dealt = rows.withColumn("_bucket", self._bucket(keys)).hint("rebalance", "_bucket")
-        dealt.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{folder}")
-        made = {n.removeprefix("_bucket="): f"{folder}/{n}" for n in self._named(f"{self.root}/{folder}") if n.startswith("_bucket=")}
-        kept = {b: p for b, p in (old["buckets"] if old else {}).items() if b not in touched}
-        manifest = {"schema": json.loads(rows.schema.json()), "keys": keys, "buckets": kept | made}
-        self._commit(name, version, manifest)
-        return self._open(manifest)
-
-    def _bucket(self, keys: list[str]):
-        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-
-    def _touched(self, rows: DataFrame, keys: list[str]) -> list[str]:
-        return [str(r[0]) for r in rows.select(self._bucket(keys)).distinct().collect()]  # at most ``buckets`` rows
-
-    def write(self, name: str, df: DataFrame, keys: list[str]) -> DataFrame:
-        """A new version that is ``df`` as a whole."""
-        return self._write(name, df, keys, None, [])
-
-    def upsert(self, name: str, rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-        """Merge rows into the table, the last write for each key winning."""
-        return self._change(name, rows, rows, keys, lambda old: merged(rows if old is None else old.unionByName(rows), keys, seq))
-
-    def replace(self, name: str, rows: DataFrame, given: DataFrame, keys: list[str]) -> DataFrame:
-        """``rows`` in place of all rows with keys in ``given``, which holds the keys of ``rows``."""
-        ids = given.select(*keys).distinct()
-        named = ids.select(*(F.col(k).alias(f"_{k}") for k in keys))
-        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
-        return self._change(name, rows, ids, keys, lambda old: rows if old is None else old.join(named, same, "left_anti").unionByName(rows))
-
-    def _change(self, name, rows, given, keys, make) -> DataFrame:
-        version = self.version(name)
-        old = self._manifest(name, version) if version else None
-        if old and old["keys"] != keys:
-            raise ValueError(f"{name} is dealt by {old['keys']}")
-        touched = self._touched(given, keys)
-        return self._write(name, make(self._open(old, touched) if old else None), keys, old, touched)
-
-    def expire(self, name: str, keep: int = 2) -> None:
-        """Delete all but the newest ``keep`` versions, and folders that none of these use."""
-        last = self.version(name)
-        used = {p.split("/")[1] for v in range(max(1, last - keep + 1), last + 1) for p in self._manifest(name, v)["buckets"].values()}
-        for n in self._named(f"{self.root}/{name}/versions"):
-            if n.isdigit() and int(n) <= last - keep:
-                path, fs = file_system(self.spark, f"{self.root}/{name}/versions/{n}")
-                fs.delete(path, False)
-        for n in self._named(f"{self.root}/{name}"):
-            if n.startswith("v") and n[1:].isdigit() and int(n[1:]) <= last and n not in used:
-                path, fs = file_system(self.spark, f"{self.root}/{name}/{n}")
-                fs.delete(path, True)
-
-    def health(self) -> DataFrame:
-        """name, version, number of rows and columns, and of keys on more than one row, of every table."""
-        rows = []
-        for name in self._named(self.root):
-            if version := self.version(name):
-                manifest = self._manifest(name, version)
-                held = self._open(manifest)
-                rows.append((name, version, held.count(), len(held.columns), broken_keys(held, manifest["keys"]).count()))
-        return self.spark.createDataFrame(rows, "name string, version int, n_rows bigint, n_columns int, n_broken_keys bigint")

@@ -12,7 +12,7 @@ from ravelin.functions import present as P
 from ravelin.functions import text as T
 from ravelin.functions import urls as U
 from ravelin.functions import vectors as V
-from ravelin.operators import answer, chunking, graph, history, planner, providers, retrieval, store, web
+from ravelin.operators import answer, chunking, graph, history, planner, providers, retrieval, store, vector_index, web
 from ravelin.plans.corpus import Corpus
 from ravelin.plans.oracle import ORACLE_SQL
 
@@ -201,6 +201,16 @@ def vector_topk_batch(c: Corpus) -> DataFrame:
     return retrieval.nearest(asked, stored, c.config.top_k).select("q_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
+@query
+def vector_index_topk(c: Corpus) -> DataFrame:
+    """The same questions by the index: the tests hold its recall against the exact way."""
+    stored = c.vector_rows.withColumnRenamed("vec_id", "id").where("v IS NOT NULL")
+    model = vector_index.fit(stored, stored.agg(F.max(F.size("v"))).first()[0] or 0)
+    coded = c.scratch.table(vector_index.codes(stored, model), "codes")
+    asked = c.vector_rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv"))
+    return vector_index.search(asked, stored, coded, model, c.config.top_k).select("q_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query
 def vector_insertion_order(c: Corpus) -> DataFrame:
     asked = c.vector_rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"))

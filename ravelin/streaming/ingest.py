@@ -1,4 +1,4 @@
-"""Incremental ingest: a stream of documents merged into the stored tables."""
+"""Incremental ingest: a stream of documents merged into the tables of a store."""
 
 from __future__ import annotations
 
@@ -7,27 +7,119 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ravelin.config import EngineConfig
+from ravelin.functions.vectors import embedded, safe_embedder
+from ravelin.operators import vector_index
 from ravelin.operators.chunking import chunks
-from ravelin.operators.graph import about_edges, mentions
-from ravelin.operators.store import Snapshots
+from ravelin.operators.graph import about_edges, entity_counts, mentions
+from ravelin.operators.versions import Change, Snapshots
 from ravelin.scratch import Scratch
 
+DOC = ["doc_id"]
 
-def ingest(store: Snapshots, docs: DataFrame, seq: int, config: EngineConfig = EngineConfig()) -> None:
-    """Merge documents (doc_id, title, text): a document that comes again replaces its chunks and edges.
 
-    Of several rows with one doc_id the last of the batch counts, alone.  A
-    batch that is merged again gives the same tables.
+def embedding_of(config: EngineConfig) -> dict:
+    """Provider (the built-in one where the named one can't be made) and dimension of the vectors that a configuration asks for."""
+    taken = safe_embedder(config.embedding, config.embedding_dim)[1]
+    return {"provider": "stub" if taken == "auto" else taken, "dimension": config.embedding_dim}
+
+
+def chunk_vectors(made: DataFrame, given: dict) -> DataFrame:
+    """chunk_id, doc_id, ord and v of the chunks that the provider gave a vector; others wait for ``embed_missing``."""
+    rows = made.select("chunk_id", "doc_id", "ord", embedded(F.col("text"), given["provider"], given["dimension"]).alias("e"))
+    return rows.where((F.col("e.provider") == given["provider"]) & F.col("e.v").isNotNull()).select("chunk_id", "doc_id", "ord", "e.v")
+
+
+def ingest(store: Snapshots, docs: DataFrame, seq: int, config: EngineConfig = EngineConfig()) -> dict[str, int]:
+    """Merge documents (doc_id, title, text); all tables change together. Numbers of documents taken, chunks, mentions and vectors.
+
+    A document that comes again replaces all that was made of it, unless it is
+    stored with a larger ``seq``: then all of it is left out.  Of several rows
+    with one doc_id the last of the batch counts, alone.  A batch that is merged
+    again gives the same tables.  Degrees of entities follow by signed amounts:
+    what the new rows add less what the replaced ones had.  Where provider or
+    dimension of the embeddings aren't the store's, all its chunks are embedded
+    anew in the same version.
     """
     scratch = Scratch(docs.sparkSession)
     at = docs.select("doc_id", F.struct("title", "text").alias("row"), F.monotonically_increasing_id().alias("at"))
     last = scratch.table(at.groupBy("doc_id").agg(F.max_by("row", "at").alias("row")).select("doc_id", "row.title", "row.text"), "last")
     made = scratch.table(chunks(last, config), "chunks")
-    edges = scratch.table(about_edges(mentions(last, config), made), "about")
-    store.replace("chunks", made, last, ["doc_id"])
-    store.replace("about", edges, last, ["doc_id"])
-    store.upsert("documents", last.select("doc_id", "title", F.lit(seq).alias("seq")), ["doc_id"])
+    found = scratch.table(mentions(last, config), "mentions")
+    about = scratch.table(about_edges(found, made), "about")
+    given = embedding_of(config)
+    vectors = scratch.table(chunk_vectors(made, given), "vectors")
+
+    def change(to: Change) -> dict[str, int]:
+        known = to.lookup("documents", last)
+        late = known.where(F.col("seq") > seq).select("doc_id") if known is not None else last.select("doc_id").limit(0)
+        late = scratch.table(late, f"late-{to.base}")
+        keep = (lambda rows: rows.join(late, rows["doc_id"].eqNullSafe(late["doc_id"]), "left_anti")) if late.limit(1).count() else (lambda rows: rows)
+        taken = keep(last.select("doc_id", "title"))
+        before = [to.lookup(n, taken) for n in ("mentions", "about")]
+        amounts = entity_counts(keep(found), keep(about))
+        if before[0] is not None:
+            gone = entity_counts(*before).select("entity", (-F.col("n_docs")).alias("n_docs"), (-F.col("degree")).alias("degree"))
+            amounts = amounts.unionByName(gone).groupBy("entity").agg(F.sum("n_docs").alias("n_docs"), F.sum("degree").alias("degree")).where("n_docs <> 0 OR degree <> 0")
+        to.add("entities", amounts, ["entity"])
+        to.put("documents", taken.withColumn("seq", F.lit(seq).cast("bigint")), taken, DOC, DOC)
+        to.put("chunks", keep(made), taken, DOC, ["chunk_id"])
+        to.put("mentions", keep(found), taken, DOC, ["doc_id", "entity"])
+        to.put("about", keep(about), taken, DOC, ["chunk_id", "entity"])
+        if to.state["properties"].get("embedding") == given:
+            put_vectors(to, keep(vectors), taken)
+        else:
+            embed_all(to, given)
+        return {"documents": taken.count(), "chunks": keep(made).count(), "mentions": keep(found).count(), "vectors": keep(vectors).count()}
+
+    counts = store.commit(change)
     scratch.clear()
+    return counts
+
+
+def put_vectors(to: Change, vectors: DataFrame, given: DataFrame) -> None:
+    """Vectors in place of those of the documents ``given``, with their codes where there is an index."""
+    to.put("vectors", vectors, given, DOC, ["chunk_id"])
+    if (model := to.read("index")) is not None:
+        to.put("codes", vector_index.codes(vectors, vector_index.Model.from_bytes(model.first()["model"])).select("chunk_id", "doc_id", "cell", "code"), given, DOC, ["chunk_id"])
+
+
+def embed_all(to: Change, given: dict) -> None:
+    """Vectors of all chunks by the provider and dimension ``given``, in place of all others; an index of those goes."""
+    to.write("vectors", chunk_vectors(to.read("chunks"), given), DOC, ["chunk_id"])
+    to.drop("codes")
+    to.drop("index")
+    to.set("embedding", given)
+
+
+def embed_missing(store: Snapshots) -> int:
+    """Embed the chunks that have no vector, because the provider failed when they came; how many got one."""
+    given = store.property("embedding")
+
+    def change(to: Change) -> int:
+        had = to.read("vectors")
+        bare = to.read("chunks").join(had.select("chunk_id"), "chunk_id", "left_anti")
+        scratch = Scratch(store.spark)
+        made = scratch.table(chunk_vectors(bare, given), "made")
+        # a document's vectors are replaced as a whole
+        whole = scratch.table(made.unionByName(had.join(made.select("doc_id").distinct(), "doc_id", "left_semi")), "whole")
+        put_vectors(to, whole, whole)
+        return made.count()
+
+    return store.commit(change)
+
+
+def build_index(store: Snapshots) -> vector_index.Model:
+    """Fit an index on a bounded sample of the stored vectors, and code all of them; later documents are coded as they come."""
+    given = store.property("embedding")
+
+    def change(to: Change) -> vector_index.Model:
+        vectors = to.read("vectors")
+        model = vector_index.fit(vectors, given["dimension"], "chunk_id")
+        to.write("codes", vector_index.codes(vectors.select("chunk_id", "doc_id", "v"), model).select("chunk_id", "doc_id", "cell", "code"), DOC, ["chunk_id"])
+        to.write("index", store.spark.createDataFrame([(0, model.to_bytes())], "id int, model binary"), ["id"], ["id"])
+        return model
+
+    return store.commit(change)
 
 
 def start(spark: SparkSession, folder: str, schema: str, store: Snapshots, checkpoint: str, files_per_batch: int = 1, config: EngineConfig = EngineConfig()) -> StreamingQuery:
@@ -37,4 +129,4 @@ def start(spark: SparkSession, folder: str, schema: str, store: Snapshots, check
     checkpoint does.
     """
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    return source.writeStream.foreachBatch(lambda df, n: ingest(store, df, n, config)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(lambda df, n: ingest(store, df, n, config) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,9 +8,7 @@ import __spark_entry__ as entry
 import duckdb
 import pytest
 
-from ravelin.operators.store import Snapshots
 from ravelin.plans import catalogue
-from ravelin.streaming import ingest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -50,53 +48,6 @@ def test_the_rest_does_without_the_subpackage():
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
 
 
-def test_stream_equals_batch(spark):
-    folder, checkpoint = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(2))
-    schema = "doc_id long, title string, text string"
-    batches = [[(1, "a", "Alpha beta text"), (2, "b", "Gamma rays here")], [(2, "b2", "Delta rays"), (3, "c", None)], [(4, "d", "Alpha again")]]
-    for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
-    streamed, once = Snapshots(spark), Snapshots(spark)
-    ingest.start(spark, folder, schema, streamed, checkpoint).awaitTermination()
-    for n, rows in enumerate(batches):
-        ingest.ingest(once, spark.createDataFrame(rows, schema), n)
-    for name in ("documents", "chunks", "about"):
-        cols = [c for c in once.read(name).columns if c != "seq"]
-        assert {tuple(r) for r in streamed.read(name).select(*cols).collect()} == {tuple(r) for r in once.read(name).select(*cols).collect()}
-    assert {r.entity for r in streamed.read("about").where("doc_id = 2").collect()} == {"delta", "rays"}
-
-
-def rows_of(tables, names=("documents", "chunks", "about")):
-    return {n: sorted((tuple(r) for r in tables.read(n).drop("seq").collect()), key=repr) for n in names}
-
-
-def test_a_store_reopens_and_goes_on(spark):
-    folder, checkpoint, path, other = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(4))
-    schema = "doc_id long, title string, text string"
-    batches = [[(i, f"t{i}", f"Alpha number{i} words") for i in range(40)], [(2, "late", "Gamma rays"), (2, "later", "Delta rays"), (41, None, None)], [(3, "c", "Omega rays"), (None, "n", "Nobody here")]]
-    write = lambda n: spark.createDataFrame(batches[n], schema).coalesce(1).write.mode("append").parquet(folder)
-    write(0), write(1)
-    ingest.start(spark, folder, schema, Snapshots(spark, path), checkpoint).awaitTermination()
-    assert {r.chunk_id: r.text for r in Snapshots(spark, path).read("chunks").where("doc_id = 2").collect()} == {"2-0": "Delta rays"}
-    opened, before = Snapshots(spark, path).read("chunks"), Snapshots(spark, path)._manifest("chunks", 2)["buckets"]
-    write(2)
-    again = spark.newSession()
-    ingest.start(again, folder, schema, Snapshots(again, path), checkpoint).awaitTermination()
-    reopened = Snapshots(again, path)
-    assert reopened.version("chunks") == 3 and opened.where("doc_id = 3").first().text == "Alpha number3 words"
-    after = reopened._manifest("chunks", 3)["buckets"]
-    assert 1 <= sum(after[b] != before.get(b) for b in after) <= 2  # only what the batch touches is written
-    once = Snapshots(spark, other)
-    for n, rows in enumerate(batches):
-        ingest.ingest(once, spark.createDataFrame(rows, schema).coalesce(1), n)
-    ingest.ingest(once, spark.createDataFrame(batches[2], schema).coalesce(1), 2)  # a batch replayed
-    assert rows_of(once) == rows_of(reopened)
-    reopened.expire("chunks", 1)
-    assert rows_of(reopened) == rows_of(once) and reopened._named(f"{path}/chunks/versions") == ["3"]
-    with pytest.raises(RuntimeError):
-        once._commit("chunks", once.version("chunks"), {})
-
-
 def test_changed_files_make_new_tables(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     made = lambda text: spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
