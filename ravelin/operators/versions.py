@@ -13,7 +13,7 @@ those that have no rows any more.  A reader takes of every key the rows of the
 last change that names it, and of the base those that no change names; so what
 a change writes doesn't grow with the table.  A table of sums holds signed
 amounts instead, which a reader adds up, so that changes commute.  When changes
-have grown to half of the base, they are folded into a new base, in as many
+have grown to half of the base (or to many), they are folded into a new base, in as many
 buckets as its size asks for: every row is rewritten a bounded number of times
 for each doubling.
 """
@@ -40,8 +40,8 @@ from ravelin.scratch import Scratch, file_system
 
 T = TypeVar("T")
 
-#: Bytes of a bucket from which a table gets more of them, and changes that a table has at most before they are folded.
-BUCKET_BYTES, MOST_CHANGES = 256 << 20, 200
+#: Bytes of a bucket from which a table gets more of them, bytes of changes that are worth folding, and changes that a table has at most before they are.
+BUCKET_BYTES, FOLD_BYTES, MOST_CHANGES = 256 << 20, 16 << 20, 50
 _TAKING = threading.Lock()
 
 
@@ -183,7 +183,10 @@ class Snapshots:
 
     def _maintain(self, name: str) -> None:
         table = self.state()["tables"].get(name)
-        if table and table["changes"] and (len(table["changes"]) > MOST_CHANGES or 2 * sum(c["bytes"] for c in table["changes"]) >= table["bytes"]):
+        if table is None:
+            return
+        size = sum(c["bytes"] for c in table["changes"])
+        if len(table["changes"]) > MOST_CHANGES or size >= max(FOLD_BYTES, table["bytes"] / 2):
             try:
                 self.fold(name, tries=1)
             except Conflict:
@@ -309,6 +312,8 @@ class Change:
     def put(self, name: str, rows: DataFrame, given: DataFrame, keys: list[str], unique: list[str] | None = None) -> None:
         """``rows`` in place of all rows with keys in ``given``, which holds the keys of ``rows``."""
         table = self._table(name, rows, keys, "rows", unique)
+        if not table["base"] and not table["changes"]:
+            return self.write(name, rows, keys, unique)
         named = [f"_{k}" for k in keys]
         have = rows.select(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True))).distinct()
         bare = given.select(*keys).distinct().join(have, _same(None, keys, named), "left_anti").withColumn("_gone", F.lit(True))
