@@ -17,8 +17,9 @@ and those that stand in the same places of the page.
 Edge cases: null or empty html and pages without text give an empty text; an
 element whose end tag is missing ends as in a browser (a head at the first
 element or text of the page's body; li, dt, dd, tr, td and th at the next one; p
-at a block; any at the end of an element around it) or where an article or main
-element begins, else with the page; a page whose lines never surge keeps its article, or else all
+at a block; any at the end of an element around it); one without an end tag of its own also where
+an article or main element begins, else with the page; a tag or quote that is
+never ended takes the rest of the page, as in a browser; a page whose lines never surge keeps its article, or else all
 its blocks; character references are decoded once; repeated rows and null ids
 or urls are passed on; an empty table gives an empty result; other columns are
 ignored.
@@ -71,19 +72,22 @@ NEUTRAL = {*"list area thread section item box wrapper container block body text
 # Words of a class or id that speak for the article.
 SPEAKS = {*"article body content entry main post story text".split()}
 
+#: The rest of a tag, as browsers read it: a quote begins a value after = alone, and what isn't ended takes the rest of the page.
+_REST = r"(?:[^>=]++|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + rf")(?=[\s/>]){_REST}(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>{_REST})(?:>|\Z)|<[!?][^<>]*>?",
     re.DOTALL | re.IGNORECASE,
 )
 _MARKED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marked(rest: str, inside: bool) -> bool:
+def _marked(rest: str, inside: bool, holds: bool = False) -> bool:
     """Whether a name in class, id or role marks the element, and none of the same attribute speaks for the article alone; reader comments are marked in any company.
 
     Within an article the word header marks nothing: its own title stands there.
+    An article element (``holds``) must be marked by all of its names.
     """
     if "=" not in rest:
         return False
@@ -92,11 +96,27 @@ def _marked(rest: str, inside: bool) -> bool:
         if any(n & COMMENTS and n <= COMMENTS | NEUTRAL for n in names):
             return True
         against = [bool(n & MARKS - ({"header"} if inside else set())) for n in names]
-        if any(against) and not any(n & SPEAKS and not bad for n, bad in zip(names, against, strict=True)):
+        if holds:
+            if against and all(against):
+                return True
+        elif any(against) and not any(n & SPEAKS and not bad for n, bad in zip(names, against, strict=True)):
             return True
     return False
 
 
+def unended(tags: list[re.Match]) -> set[int]:
+    """Where the start tags stand that no end tag of their own name belongs to (each end tag belongs to the last open start)."""
+    open_: dict[str, list[int]] = {}
+    for m in tags:
+        name = (m["name"] or "").lower()
+        if name and m["end"]:
+            if open_.get(name):
+                open_[name].pop()
+        elif name:
+            open_.setdefault(name, []).append(m.start())
+    return {at for starts in open_.values() for at in starts}
+
+
 class Node(NamedTuple):
     """An element that holds blocks: the one around it, whether it is an article or main, and its blocks' places."""
 
@@ -121,6 +141,8 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool]], list[Node]]:
     linked = plain = 0
     link = False
     dropped, last = -1, 0  # dropped: the place among those around of the element that contributes nothing
+    tags = list(_TOKEN.finditer(page))
+    bare, lasts = unended(tags), False  # lasts: whether the dropped element has an end tag of its own
 
     def close() -> None:
         nonlocal linked, plain
@@ -164,7 +186,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool]], list[Node]]:
     def ended_by(name: str) -> int:
         """Place of the outermost element that the start of this one ends for want of an end tag, or -1."""
         place = -1
-        if name in HOLDS and dropped >= 0:
+        if name in HOLDS and dropped >= 0 and not lasts:
             place = dropped
         elif name not in HEADED and dropped >= 0 and open_[dropped][0] == "head":
             place = dropped
@@ -181,7 +203,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool]], list[Node]]:
             place = within("p", BOXES)
         return place
 
-    for m in _TOKEN.finditer(page):
+    for m in tags:
         if m.start() > last:
             part = page[last : m.start()]
             if 0 <= dropped == len(open_) - 1 and open_[dropped][0] == "head" and not part.isspace():
@@ -226,9 +248,9 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool]], list[Node]]:
         if m["end"]:
             link = False
         elif name not in VOID:
-            never = name in NEVER or (name == "header" and not inside) or (name not in ("body", "html", *HOLDS) and _marked(m["rest"], inside))
+            never = name in NEVER or (name == "header" and not inside) or (name not in ("body", "html", "main") and _marked(m["rest"], inside, name in HOLDS))
             if never and not m["rest"].endswith("/"):
-                dropped = len(open_)
+                dropped, lasts = len(open_), m.start() not in bare
                 enter(name)
                 continue
             if name in ("html", "body"):
