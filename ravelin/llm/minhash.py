@@ -28,7 +28,7 @@ alone; a text of fewer than five words is one shingle; a null doc_id comes
 last in the order that picks a class's first document; repeated rows are
 copies of each other, and ``drop_near_copies`` takes rows with the same doc_id
 and text once; an empty table gives an empty result; other columns are ignored
-here and kept by ``drop_near_copies``.
+here and kept by ``drop_near_copies``; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -203,32 +203,60 @@ def _can_be_alike(n, s, hn, hs, like: float):
     return low(s, hs) >= like * (n - s + hn - hs + high(s, hs))
 
 
-def _neighbours(banded: DataFrame, order: int, like: float) -> DataFrame:
+def _next_ones(rows: list[np.ndarray], like: float, old: int = 0, apart: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (bucket, id, n, s, label, part) at most ``REACH`` from each other that can be alike, of two parts if ``apart``; the first ``old`` rows have met."""
+    bucket, id_, n, s, label, part = rows[:6]
+    found = []
+    for k in range(1, min(REACH, len(id_) - 1) + 1):
+        good = (bucket[:-k] == bucket[k:]) & (label[:-k] != label[k:]) & _can_be_alike(n[:-k], s[:-k], n[k:], s[k:], like)
+        good[: max(0, old - k)] = False
+        if apart:
+            good &= part[:-k] != part[k:]
+        found.append((np.minimum(id_[:-k], id_[k:])[good], np.maximum(id_[:-k], id_[k:])[good]))
+    return found
+
+
+def _neighbours(scratch: Scratch, name: str, banded: DataFrame, order: int, like: float) -> DataFrame:
     """Pairs a < b of neighbours in an order of every bucket that have other labels and can be alike.
 
     The order is that of all rows by bucket and coordinates, in parts of even
-    size, so that a large bucket is no single task's; neighbours at the edge of
-    two parts are met in the other orders.
+    size, so that a large bucket is no single task's.  Every part also hands on its
+    first and last ``REACH`` rows; neighbours on two sides of an edge meet among
+    these, so that the pairs don't depend on the number of parts.
     """
     rows = banded.select("bucket", "id", "n", "s", "label", F.substring("far", 2 * order * DEPTH + 1, 2 * DEPTH).alias("far"))
-    rows = rows.repartitionByRange("bucket", "far", "id").sortWithinPartitions("bucket", "far", "id").drop("far")
+    rows = rows.repartitionByRange("bucket", "far", "id").sortWithinPartitions("bucket", "far", "id").drop("far").withColumn("part", F.spark_partition_id().cast("bigint"))
+    sides = ["bucket", "id", "n", "s", "label", "part", "k"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 5
+    def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        return [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 2
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, edges, seen = [np.empty(0, np.int64)] * 6, [], 0
         for batch in batches:
-            now = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
-            bucket, id_, n, s, label = now
-            first, second = [], []
-            for k in range(1, min(REACH, len(id_) - 1) + 1):
-                good = (bucket[:-k] == bucket[k:]) & (label[:-k] != label[k:]) & _can_be_alike(n[:-k], s[:-k], n[k:], s[k:], like)
-                good[: max(0, len(held[0]) - k)] = False  # met in the batch before
-                first.append(np.minimum(id_[:-k], id_[k:])[good])
-                second.append(np.maximum(id_[:-k], id_[k:])[good])
+            new = [c.to_numpy() for c in batch.columns]
+            now = [np.concatenate([h, c]) for h, c in zip(held, new, strict=True)]
+            made = pairs(_next_ones(now, like, len(held[0])))
+            yield pa.RecordBatch.from_arrays([*made, *[pa.nulls(len(made[0]), pa.int64())] * len(sides)], names=["a", "b", *sides])
+            if seen < REACH:
+                edges.append([*(c[: REACH - seen] for c in new), np.arange(seen, min(REACH, seen + len(new[0])))])
+            seen += len(new[0])
             held = [c[-REACH:] for c in now]
-            if first:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (first, second)], names=["a", "b"])
+        place = np.arange(seen - len(held[0]), seen)
+        edges.append([*(c[place >= REACH] for c in held), place[place >= REACH]])
+        whole = [pa.array(np.concatenate(c)) for c in zip(*edges, strict=True)]
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(whole[0]), pa.int64())] * 2, *whole], names=["a", "b", *sides])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [pa.concat_arrays(c).to_numpy() for c in zip(*(b.columns for b in batches), strict=True)]
+        if not rows:
+            return
+        yield pa.RecordBatch.from_arrays(pairs(_next_ones(rows, like, apart=True)), names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    made = scratch.table(rows.mapInArrow(inside, ", ".join(f"{c} bigint" for c in ("a", "b", *sides))), f"{name}-sides")
+    # at most 2 * REACH rows of each part, in one task
+    edges = made.where("part IS NOT NULL").select(*sides).repartition(1).sortWithinPartitions("part", "k").mapInArrow(across, "a bigint, b bigint")
+    return made.where("part IS NULL").select("a", "b").unionByName(edges).distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:
@@ -286,7 +314,7 @@ def classes(docs: DataFrame, like: float = LIKE, every_pair: bool = False) -> Da
         elif step <= ROUNDS:
             far = _further(sets.join(mingled.select("id").distinct(), "id", "left_semi"), step)
             banded = scratch.table(mingled.select("bucket", "id", F.col("n").cast("bigint").alias("n"), "s", "label").join(scratch.table(far, f"{step}-far"), "id"), f"{step}-banded")
-            found = [scratch.table(_neighbours(banded, order, like), f"{step}-order-{order}") for order in range(ORDERS)]
+            found = [scratch.table(_neighbours(scratch, f"{step}-order-{order}", banded, order, like), f"{step}-order-{order}") for order in range(ORDERS)]
             pairs = reduce(DataFrame.unionByName, found).distinct()
         else:
             pairs = _every_pair(scratch, mingled, sets, like)
@@ -298,7 +326,7 @@ def classes(docs: DataFrame, like: float = LIKE, every_pair: bool = False) -> Da
         # labels stand for the links so far
         links = links.unionByName(labels.where("id != label").select(F.col("label").alias("a"), F.col("id").alias("b")))
         labels = components(scratch, f"{step}-components", labels, links)
-        for name in ("now", "ends", "mingled", "far", "banded", *(f"order-{order}" for order in range(ORDERS))):
+        for name in ("now", "ends", "mingled", "far", "banded", *(f"order-{order}{end}" for order in range(ORDERS) for end in ("", "-sides"))):
             scratch.drop(f"{step}-{name}")
     known = scratch.table(copies.join(labels, "id", "left").select("k1", "k2", "id", F.coalesce("label", "id").alias("label")), "known")
     ids = ["rid", "doc_id", "t1", "t2"]
