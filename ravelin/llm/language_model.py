@@ -23,12 +23,15 @@ bounded size; for all others each text's tokens are joined with the counts.
 
 Edge cases: a null text counts as empty and has the end token alone; a null
 doc_id is not held out and not learned from; without training rows every count
-is 0; repeated rows count and are scored one by one; an empty table gives an
+is 0; repeated rows count and are scored one by one; very long texts and tokens
+count whole (a long token by its hash); of tokens of one count the least become
+words first; an empty table gives an
 empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from math import isqrt
@@ -50,7 +53,7 @@ WORDS, MOST, CLASSES, BINS = 1024, 32_768, 64, 64
 DIMENSIONS, NOISE, STEPS, MIXES = 32, 20, 150, (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 #: Tokens before each one that the model looks at, and tokens that a worker handles at a time.
 PLACES, AT_ONCE = 2, 200_000
-#: Tokens whose counts are broadcast, and the longest of them in bytes.
+#: Tokens whose counts are broadcast (the model's words at least), and bytes from which a token is held by its hash.
 HEAD, LONGEST = 200_000, 64
 #: Distinct tokens that a task counts before it passes the counts on.
 HELD = 300_000
@@ -59,8 +62,11 @@ END = b""
 
 
 def tokens_of(text: str | None) -> list[bytes]:
-    """Tokens of a text with A-Z in lower case, without the end."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    """Tokens of a text with A-Z in lower case, without the end; of a token of more than ``LONGEST`` bytes a space and its SHA-256, which no other token is."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if tokens and max(map(len, tokens)) > LONGEST:
+        return [t if len(t) <= LONGEST else b" " + hashlib.sha256(t).digest() for t in tokens]
+    return tokens
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -86,22 +92,30 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 
 def frequent_tokens(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """Tokens and counts from the largest count down to a bound that at most ``most`` tokens reach (long tokens left out).
+    """The ``most`` tokens with the largest counts, of equal counts the least tokens, with their counts.
 
-    The bound comes from a histogram of the counts' logarithms, so that no task sorts or reads more than its share.
+    The last count comes from a histogram of the counts' logarithms and then of
+    the counts on one of its levels, so that no task sorts more than its share.
     """
-    short = counts.where(F.octet_length("token") <= LONGEST).withColumn("level", F.floor(F.log2("c") * 8))
-    levels = sorted(((r["level"], r["n"]) for r in short.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)
-    total, least = 0, None
-    for level, n in levels:
-        total += n
-        if total > most:
-            break
-        least = level
-    if least is None:
-        return []
-    found = short.where(F.col("level") >= least).select("token", "c").toArrow()
-    return sorted(zip(found.column("token").to_pylist(), found.column("c").to_pylist(), strict=True), key=lambda t: (-t[1], t[0]))
+    ranked = counts.withColumn("level", F.floor(F.log2("c") * 8))
+
+    def last(rows: DataFrame, by: str, left: int) -> tuple[int | None, int]:
+        """The value of ``by`` at which ``left`` rows are reached from above, if they are, and how many are left then."""
+        for r in sorted(rows.groupBy(by).agg(F.count("*").alias("n")).collect(), key=lambda r: -r[by]):
+            if r["n"] >= left:
+                return r[by], left
+            left -= r["n"]
+        return None, left
+
+    level, left = last(ranked, "level", most)
+    if level is None:
+        found = ranked
+    else:
+        on = ranked.where(F.col("level") == level)
+        c, left = last(on, "c", left)  # as many counts as an eighth of a power of two holds
+        found = ranked.where(F.col("c") > c).unionByName(on.where(F.col("c") == c).orderBy("token").limit(left))
+    held = found.select("token", "c").toArrow()  # at most ``most`` rows
+    return sorted(zip(held.column("token").to_pylist(), held.column("c").to_pylist(), strict=True), key=lambda t: (-t[1], t[0]))
 
 
 def numbered(texts: list[str | None], number: Callable[[bytes], int], end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]]:
@@ -229,8 +243,9 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, words: int = WORDS, most: i
     learned = docs.where(remainder("doc_id", folds) != 0).select("text")
     counts = scratch.table(token_counts(learned), "counts")
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-    frequent = frequent_tokens(counts, head)
-    known = [t for t, _ in frequent[: min(most, words + isqrt(n)) - 1]]
+    size = min(most, words + isqrt(n)) - 1
+    frequent = frequent_tokens(counts, max(head, size))
+    known = [t for t, _ in frequent[:size]]
     size = len(known) + 1
     of = word_classes(neighbour_profiles(learned, known), classes)
     model = [(train(a), train(b, of)) for a, b in context_counts(learned, known, of, int(of.max()) + 1)]

@@ -248,3 +248,50 @@ def test_repeated_ids_stay_within_the_training_bounds(spark, monkeypatch):
     for parts in (1, 5):
         toxicity.train(table_of(spark, rows).repartition(parts), labels, most_positive=20, most_unlabelled=30)
     assert [len(x) for x in seen[0]] == [20, 30] and seen[0] == seen[1]
+
+
+def test_neighbours_do_not_depend_on_the_partitions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(3)), k, 40, 38, k // 7, rng.bytes(2 * minhash.ORDERS * minhash.DEPTH)) for k in range(400)]
+    banded = spark.createDataFrame(rows, "bucket long, id long, n long, s long, label long, far binary").repartition(5)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    found = {}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for parts in (1, 4, 40, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            scratch = minhash.Scratch(spark)
+            found[parts] = {tuple(r) for r in minhash._neighbours(scratch, "n", banded, 1, 0.8).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    line = sorted((b, far[2 * minhash.DEPTH : 4 * minhash.DEPTH], i, label) for b, i, _, _, label, far in rows)
+    want = {(min(x[2], y[2]), max(x[2], y[2])) for k, x in enumerate(line) for y in line[k + 1 : k + 1 + minhash.REACH] if x[0] == y[0] and x[3] != y[3]}
+    assert all(pairs == want for pairs in found.values())
+
+
+def test_words_of_the_model_are_exact_under_ties(spark):
+    counts = [(f"t{k:03d}".encode(), 5 if k < 20 else 7 if k < 30 else 1) for k in range(60)]
+    table = spark.createDataFrame(counts, "token binary, c long").repartition(3)
+    ranked = sorted(counts, key=lambda t: (-t[1], t[0]))
+    for most in (1, 10, 13, 29, 30, 31, 60, 99):
+        assert language_model.frequent_tokens(table, most) == ranked[:most]
+    assert language_model.frequent_tokens(table.limit(0), 5) == []
+    docs = table_of(spark, [(k, " ".join(f"w{chr(97 + i)}" for i in range(20))) for k in range(12)])
+    scores = [sorted(map(tuple, language_model.score_texts(docs, words=30, classes=3, head=head).collect())) for head in (10, 30, 1000)]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_long_tokens_are_words_like_others(spark):
+    ruler = "=" * 500
+    assert language_model.tokens_of(f"a {ruler} B") == [b"a", b" " + hashlib.sha256(ruler.encode()).digest(), b"b"]
+    docs = table_of(spark, [(k, f"head {ruler} text {'x' * 70 + str(k % 3)}") for k in range(40)])
+    got = language_model.score_texts(docs, words=30, classes=3).collect()
+    learned = [k for k in range(40) if zlib.crc32(str(k).encode()) % 10]
+    tokens = [t for k in learned for t in ["head", ruler, "text", "x" * 70 + str(k % 3), ""]]
+    c, n, v = Counter(tokens), len(tokens), len(set(tokens))
+    for r in got:
+        own = ["head", ruler, "text", "x" * 70 + str(r.doc_id % 3), ""]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (5, sum(t in c for t in own), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own), rel_tol=1e-9)
+        assert r.score > r.base_score
