@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -368,11 +367,13 @@ def crawl_robots(c: Corpus) -> DataFrame:
 @query
 def crawl_pages(c: Corpus) -> DataFrame:
     """From the first page of each host over two links; addresses with a 7 are forbidden."""
-    pages = c.site.where("page_id % 3 <> 1")
-    roots = pages.groupBy("host").agg(F.min_by("url", "page_id").alias("root")).select("root")
-    robots = pages.select("host", F.lit("User-agent: *\nDisallow: /en/7\n").alias("robots")).distinct()
-    got = web.crawl_pages(roots, pages, robots, replace(c.config, crawl_depth=2))
-    return got.select("root", "visit", "depth", "page_id", "n_chars", F.md5("content").alias("content_md5"))
+    got = web.taken_pages(c.crawled)
+    return got.select("root", "visit", "depth", "page_id", "url", "n_chars", F.md5("content").alias("content_md5"))
+
+
+@query
+def crawl_skipped(c: Corpus) -> DataFrame:
+    return web.skipped_addresses(c.crawled).select("root", "depth", "address", "reason")
 
 
 @query

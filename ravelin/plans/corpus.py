@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -90,6 +91,14 @@ class Corpus:
         named = F.replace(made, F.lit("<head>"), F.concat(F.lit("<head><link rel='Canonical' href='/c/"), F.floor(F.col("page_id") / 9), F.lit("'>")))
         return pages.select("page_id", "url", "host", F.when(F.col("page_id") % 3 == 1, named).otherwise(made).alias("html"))
 
+    @cached_property
+    def crawled(self) -> DataFrame:
+        """A crawl from the first page of each host over two links, by a robots file that forbids one folder."""
+        pages = self.scratch.table(self.site, "site")
+        roots = pages.groupBy("host").agg(F.min_by("url", "page_id").alias("root")).select("root")
+        robots = pages.select("host", F.lit("User-agent: *\nDisallow: /en/7\n").alias("robots")).distinct()
+        return self.scratch.table(web.crawl_outcomes(roots, pages, robots, replace(self.config, crawl_depth=2)), "crawled")
+
     @cached_property
     def questions(self) -> DataFrame:
         """User turns, benchmark texts, and for every source one question with a rare entity and one of short words."""

@@ -104,6 +104,22 @@ content_link AS (SELECT DISTINCT page_id, {NORMAL.format(u='u')} AS link FROM gi
 SITE_TEXTS = f"""{SITE},
 pages_ AS (SELECT page_id, url, host, replace(coalesce(html, ''), '</article>', '<p>' || CASE WHEN u1 IS NULL THEN '' ELSE '<a>on</a>' END || ' ' || CASE WHEN u2 IS NULL THEN '' ELSE '<a>on</a>' END || ' <a>on</a> <a>on</a></p></article>') AS html FROM nexts),
 {PAGES.replace("FROM pages)", "FROM pages_)").strip()}"""
+#: The crawl as a queue: each step takes the first address of every root's queue and notes what becomes of it.
+QUEUE = f"""WITH RECURSIVE {SITE_TEXTS.strip()},
+named AS (SELECT page_id, CASE WHEN page_id % 3 = 1 AND contains(html, '<head>') THEN {ORIGIN.format(u='url')} || '/c/' || page_id // 9 ELSE {NORMAL.format(u='url')} END AS canonical FROM host),
+found AS (SELECT page_id, list(DISTINCT link ORDER BY link) AS links FROM content_link GROUP BY page_id),
+stored AS (SELECT {NORMAL.format(u='p.url')} AS addr, p.page_id, canonical, content, length(content) AS n, coalesce(links, []) AS links FROM page p JOIN named USING (page_id) LEFT JOIN found USING (page_id) QUALIFY row_number() OVER (PARTITION BY addr ORDER BY p.page_id) = 1),
+root AS (SELECT arg_min(url, page_id) AS root FROM host GROUP BY host),
+walk(root, todo, seen, texts, visit, total, ended, depth, address, reason, page_id, url, n, content) AS (
+  SELECT root, [{{'url': {NORMAL.format(u='root')}, 'depth': 0}}], CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT), CAST(0 AS BIGINT), FALSE, 0, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM root
+  UNION ALL
+  SELECT root, CASE WHEN why = 'taken' AND d < 2 THEN list_concat(rest, list_transform(list_filter(links, lambda l: NOT list_contains(all_seen, l)), lambda l: {{'url': l, 'depth': d + 1}})) ELSE rest END, all_seen,
+         CASE WHEN why IN ('taken', 'chars') THEN list_append(texts, content) ELSE texts END, visit + CASE WHEN why = 'taken' THEN 1 ELSE 0 END, total + CASE WHEN why = 'taken' THEN n ELSE 0 END, why = 'chars', d, u, why, page_id, canonical, n, content
+  FROM (SELECT *, CASE WHEN why = 'taken' THEN list_append(now_seen, canonical) ELSE now_seen END AS all_seen FROM (
+    SELECT *, CASE WHEN list_contains(seen, u) THEN 'seen' WHEN regexp_matches(u, '^[a-z]+://[^/]+/en/7') THEN 'robots' WHEN page_id IS NULL THEN 'missing' WHEN canonical <> u AND list_contains(now_seen, canonical) THEN 'canonical'
+                   WHEN content = '' THEN 'empty' WHEN list_contains(texts, content) THEN 'text' WHEN total + n > 20000 THEN 'chars' ELSE 'taken' END AS why FROM (
+      SELECT w.root, w.seen, list_append(w.seen, w.todo[1].url) AS now_seen, w.texts, w.visit, w.total, w.todo[1].url AS u, w.todo[1].depth AS d, w.todo[2:] AS rest, s.page_id, s.canonical, s.content, s.n, coalesce(s.links, []) AS links
+      FROM walk w LEFT JOIN stored s ON s.addr = w.todo[1].url WHERE len(w.todo) > 0 AND w.visit < 5 AND NOT w.ended))))"""
 LINKS = rf"""
 href AS (SELECT page_id, url, trim(unnest(regexp_extract_all({{h}}, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1))) AS h FROM {{t}}),
 whole AS (SELECT page_id, url, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN h LIKE '//%' THEN {SCHEME.format(u="url")} || ':' || h
@@ -176,21 +192,8 @@ ORACLE_SQL: dict[str, str] = {
     "page_dedupe_sha1": f"WITH {PAGES} SELECT min(page_id) AS page_id, sha1(content) AS sha1 FROM page WHERE content <> '' GROUP BY content",
     "page_read": f"SELECT page_id, url, {NORMAL.format(u='url')} AS canonical_url, CAST(0 AS INTEGER) AS n_links FROM pages",
     "page_dedupe_canonical": f"SELECT CASE WHEN page_id % 3 = 1 AND contains(html, '<head>') THEN {ORIGIN.format(u='url')} || '/c/' || page_id // 9 ELSE {NORMAL.format(u='url')} END AS canonical_url, min(page_id) AS page_id FROM pages GROUP BY 1",
-    "crawl_pages": f"""WITH {SITE_TEXTS},
-        base AS (SELECT * FROM pages_ WHERE page_id % 3 <> 1),
-        stored AS (SELECT {NORMAL.format(u='url')} AS addr, page_id, content, length(content) AS n FROM page WHERE page_id % 3 <> 1 AND content <> '' AND NOT regexp_matches(url, '^[a-z]+://[^/]+/en/7') QUALIFY row_number() OVER (PARTITION BY addr ORDER BY page_id) = 1),
-        root AS (SELECT arg_min(url, page_id) AS root FROM base GROUP BY host),
-        d0 AS (SELECT root, 1 AS visit, s.* FROM root JOIN stored s ON s.addr = {NORMAL.format(u='root')} WHERE n <= 20000),
-        l1 AS (SELECT DISTINCT root, link FROM d0 JOIN content_link USING (page_id) WHERE link <> addr),
-        c1 AS (SELECT root, s.* FROM l1 JOIN stored s ON s.addr = link WHERE NOT EXISTS (SELECT 1 FROM d0 WHERE d0.root = l1.root AND d0.content = s.content) QUALIFY row_number() OVER (PARTITION BY root, content ORDER BY addr) = 1),
-        d1 AS (SELECT root, 1 + row_number() OVER w AS visit, addr, page_id, content, n, (SELECT sum(n) FROM d0 WHERE d0.root = c1.root) + sum(n) OVER w AS total FROM c1 WINDOW w AS (PARTITION BY root ORDER BY addr)),
-        k1 AS (SELECT * FROM d1 WHERE visit <= 5 AND total <= 20000),
-        l2 AS (SELECT root, link, min(visit) AS v FROM k1 JOIN content_link USING (page_id) WHERE root NOT IN (SELECT root FROM d1 WHERE visit <= 5 AND total > 20000) AND (root, link) NOT IN (SELECT (root, link) FROM l1) AND (root, link) NOT IN (SELECT (root, addr) FROM d0) GROUP BY ALL),
-        c2 AS (SELECT root, v, s.* FROM l2 JOIN stored s ON s.addr = link WHERE NOT EXISTS (SELECT 1 FROM (SELECT root, content FROM d0 UNION ALL SELECT root, content FROM k1) p WHERE p.root = l2.root AND p.content = s.content) QUALIFY row_number() OVER (PARTITION BY root, content ORDER BY v, addr) = 1),
-        had AS (SELECT root, count(*) AS had, sum(n) AS chars FROM (SELECT root, n FROM d0 UNION ALL SELECT root, n FROM k1) GROUP BY root),
-        d2 AS (SELECT root, had + row_number() OVER w AS visit, addr, page_id, content, n, chars + sum(n) OVER w AS total FROM c2 JOIN had USING (root) WINDOW w AS (PARTITION BY root ORDER BY v, addr)),
-        got AS (SELECT root, visit, 0 AS depth, page_id, n, content FROM d0 UNION ALL SELECT root, visit, 1, page_id, n, content FROM k1 UNION ALL SELECT root, visit, 2, page_id, n, content FROM d2 WHERE visit <= 5 AND total <= 20000)
-        SELECT root, CAST(visit AS INTEGER) AS visit, depth, page_id, CAST(n AS BIGINT) AS n_chars, md5(content) AS content_md5 FROM got""",
+    "crawl_pages": f"""{QUEUE} SELECT root, CAST(visit AS INTEGER) AS visit, CAST(depth AS INTEGER) AS depth, page_id, url, CAST(n AS BIGINT) AS n_chars, md5(content) AS content_md5 FROM walk WHERE reason = 'taken'""",
+    "crawl_skipped": f"""{QUEUE} SELECT root, CAST(depth AS INTEGER) AS depth, address, reason FROM walk WHERE reason IN ('robots', 'missing')""",
     "crawl_char_budget": f"WITH {PAGES}, v AS (SELECT page_id, {AUTHORITY.format(u='url')} AS host, CAST(length(content) AS BIGINT) AS n_chars, CAST(row_number() OVER w AS INTEGER) AS visit, CAST(sum(length(content)) OVER w AS BIGINT) AS total_chars FROM page WHERE content <> '' WINDOW w AS (PARTITION BY {AUTHORITY.format(u='url')} ORDER BY page_id)) SELECT page_id, host, visit, n_chars, total_chars FROM v WHERE visit <= 5 AND total_chars <= 20000",
     "crawl_robots": f"WITH r AS (SELECT DISTINCT {AUTHORITY.format(u='url')} AS host FROM pages WHERE contains(url, '/en/')) SELECT page_id FROM pages p WHERE NOT (regexp_matches(url, '^[A-Za-z]+://[^/?#]*/fr/') AND NOT regexp_matches(url, '^[A-Za-z]+://[^/?#]*/fr/1') AND EXISTS (SELECT 1 FROM r WHERE r.host = {AUTHORITY.format(u='p.url')}))",
     "crawl_bfs": f"""WITH o AS (SELECT page_id, row_number() OVER w AS k, lead(page_id, 1) OVER w AS n1, lead(page_id, 2) OVER w AS n2 FROM pages WINDOW w AS (PARTITION BY {AUTHORITY.format(u='url')} ORDER BY page_id)),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ravelin.config import EngineConfig
 from ravelin.functions.vectors import embedded, safe_embedder
-from ravelin.operators import vector_index
+from ravelin.operators import vector_index, web
 from ravelin.operators.chunking import chunks
 from ravelin.operators.graph import about_edges, entity_counts, mentions
 from ravelin.operators.versions import Change, Snapshots
@@ -76,6 +78,17 @@ def ingest(store: Snapshots, docs: DataFrame, seq: int, config: EngineConfig = E
     return counts
 
 
+def ingest_crawl(store: Snapshots, outcomes: DataFrame, seq: int, config: EngineConfig = EngineConfig()) -> dict[str, int]:
+    """Ingest the pages that a crawl took (``web.crawl_outcomes``), each by its root and canonical address; numbers of pages, chunks, mentions and vectors, of addresses skipped, and the milliseconds it took."""
+    if not config.allow_urls:
+        raise PermissionError("crawled pages aren't taken unless allow_urls is set")
+    began = time.perf_counter()
+    taken = web.taken_pages(outcomes).select(F.concat_ws(" ", "root", "url").alias("doc_id"), "title", F.col("content").alias("text"))
+    made = ingest(store, taken, seq, config)
+    skipped = web.skipped_addresses(outcomes).count()
+    return {"pages": made.pop("documents"), **made, "skipped": skipped, "ms": int(1000 * (time.perf_counter() - began))}
+
+
 def put_vectors(to: Change, vectors: DataFrame, given: DataFrame) -> None:
     """Vectors in place of those of the documents ``given``, with their codes where there is an index."""
     to.put("vectors", vectors, given, DOC, ["chunk_id"])

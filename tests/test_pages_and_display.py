@@ -1,11 +1,16 @@
 import random
+from urllib.robotparser import RobotFileParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from ravelin.config import EngineConfig
 from ravelin.functions import present as P
 from ravelin.functions import urls as U
 from ravelin.operators import history, providers, web
+from ravelin.operators.ranks import running
+from ravelin.operators.versions import Snapshots
+from ravelin.streaming import ingest
 
 
 def column(spark, values, made):
@@ -35,15 +40,17 @@ def test_page_reading(spark):
     assert deep.count("end") == 3000
 
 
-def queue_crawl(root, site, forbidden, config):
-    """A crawl by a plain queue over pages of url: (canonical, title, content, links)."""
+def queue_crawl(root, site, forbidden, config, skipped=None):
+    """A crawl by a plain queue over pages of url: (canonical, title, content, links), or a string: why there is none. What is skipped goes to the list."""
     queue, seen, texts, out, total = [(root, 0)], set(), set(), [], 0
+    skipped = [] if skipped is None else skipped
     while queue and len(out) < config.crawl_pages:
         url, depth = queue.pop(0)
         if url in seen:
             continue
         seen.add(url)
-        if url not in site or any(url.startswith(f) for f in forbidden):
+        if forbidden(url) or isinstance(site.get(url, "missing"), str):
+            skipped.append((root, depth, url, "robots" if forbidden(url) else site.get(url, "missing")))
             continue
         canonical, title, content, links = site[url]
         if (canonical != url and canonical in seen) or not content or content in texts:
@@ -62,29 +69,97 @@ def queue_crawl(root, site, forbidden, config):
 def test_crawl_equals_a_queue(spark):
     rng = random.Random(5)
     rows, robots = [], []
-    for host in range(12):
+    for host in range(9):
         origin = f"https://h{host}.x"
         for n in range(14):
             links = "".join(f"<a href='/p{rng.randrange(16)}?q={k}#f'>l</a>" for k in range(rng.randrange(5))) + "<a href='https://h0.y/p1'>off</a>"
-            named = f"<link rel=canonical href='/p{rng.randrange(16)}'>" if rng.random() < 0.3 else ""
+            named = f"<link rel=canonical href='/p{rng.randrange(16)}'>" if rng.random() < 0.4 else ""
             text = rng.choice([f"page {n} " * rng.randrange(1, 30), "same text", f"own {n}", ""])
-            rows.append((host * 100 + n, f"{origin}/p{n}" + ("?x=1" if n % 5 == 0 else ""), f"{named}<article><p>{text}</p>{links}</article>"))
-        robots.append((f"h{host}.x", "User-agent: *\nAllow: /p11\nDisallow: /p1\n" if host % 3 == 0 else "User-agent: else\nDisallow: /"))
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    read = {r.url.split("?")[0]: (r.canonical_url, r.title, r.content, r.links) for r in web.page_texts(pages).collect()}
-    roots = [f"https://h{h}.x/p{p}" for h in range(12) for p in (0, 2)]
-    for depth, most, chars in ((3, 8, 20000), (2, 100, 1000)):
+            status, kind, answered = rng.choice([(200, "text/html; charset=x", None)] * 9 + [(404, "text/html", None), (200, "application/pdf", None), (200, "Text/HTML", f"{origin}/p{n}/moved"), (200, "text/html", "https://else.where/p1?x")])
+            rows.append((host * 100 + n, f"{origin}/p{n}" + ("?x=1" if n % 5 == 0 else ""), f"{named}<article><p>{text}</p>{links}</article>", status, kind, answered))
+        robots.append((f"h{host}.x", "User-agent: *\nAllow: /p11\nDisallow: /p1\n" if host % 3 == 0 else "User-agent: else\nDisallow: /", 200 if host % 2 == 0 else 404))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, status int, content_type string, answered string")
+    kinds = {r[1].split("?")[0]: r for r in rows}
+    read = {r.page_id: (r.canonical_url, r.title, r.content, r.links) for r in web.page_texts(pages.withColumn("url", F.coalesce("answered", "url"))).collect()}
+    site = {}
+    for url, (page_id, _, _, status, kind, answered) in kinds.items():
+        why = "status" if status != 200 else "content_type" if "html" not in kind.lower() else "origin" if answered and "else.where" in answered else None
+        site[url] = why or read[page_id]
+    closed = lambda url: any(url.startswith(f"https://h{h}.x/p1") and not url.startswith(f"https://h{h}.x/p11") for h in (0, 6))  # noqa: E731  the file of h3 answers 404
+    roots = [f"https://h{h}.x/p{p}" for h in range(9) for p in (0, 2)]
+    for depth, most, chars in ((3, 8, 20000), (2, 100, 1000), (0, 5, 20000)):
         config = EngineConfig(crawl_depth=depth, crawl_pages=most, crawl_chars=chars)
-        want = []
+        want, skipped = [], []
         for r in roots:
-            host = int(r.split("//h")[1].split(".")[0])
-            forbidden = [f"https://h{host}.x/p1"] if host % 3 == 0 else []
-            site = {u: v for u, v in read.items() if u.startswith(f"https://h{host}.x/") and not (any(u.startswith(f) for f in forbidden) and not u.endswith("/p11"))}
-            want += queue_crawl(r, site, [], config)
-        got = web.crawl_pages(spark.createDataFrame([(r,) for r in [*roots, "ftp://h1.x/", "https://none.x/"]], "root string"), pages, spark.createDataFrame(robots, "host string, robots string"), config)
-        assert sorted(tuple(r) for r in got.select("root", "visit", "depth", "url", "title", "content").collect()) == sorted(want)
+            want += queue_crawl(r, site, closed, config, skipped)
+        out = web.crawl_outcomes(spark.createDataFrame([(r,) for r in [*roots, "ftp://h1.x/", "https://none.x/"]], "root string"), pages, spark.createDataFrame(robots, "host string, robots string, status int"), config)
+        assert sorted(tuple(r) for r in web.taken_pages(out).select("root", "visit", "depth", "url", "title", "content").collect()) == sorted(want)
+        skipped = [(r, d, "https://else.where/p1" if why == "origin" else u, why) for r, d, u, why in skipped] + [("https://none.x/", 0, "https://none.x", "missing")]
+        assert sorted(tuple(r) for r in web.skipped_addresses(out).select("root", "depth", "address", "reason").collect()) == sorted(skipped)
     typed = pages.withColumn("content_type", F.lit("application/pdf"))
-    assert web.crawl_pages(spark.createDataFrame([(roots[0],)], "root string"), typed, spark.createDataFrame([], "host string, robots string")).count() == 0
+    none = spark.createDataFrame([], "host string, robots string")
+    assert web.crawl_pages(spark.createDataFrame([(roots[0],)], "root string"), typed, none).count() == 0
+    assert web.crawl_pages(spark.createDataFrame([], "root string"), pages, none).count() == 0
+
+
+def test_chains_of_a_level_are_settled_in_order(spark):
+    """Each page names the next one canonical: every second goes."""
+    rows = [(k, f"https://a.b/p{k:02d}", f"<link rel=canonical href='/p{k + 1:02d}'><p>text {k}</p>" + ("".join(f"<a href='/p{j:02d}'>x</a>" for j in range(1, 13)) if k == 0 else "")) for k in range(14)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    config = EngineConfig(crawl_depth=1, crawl_pages=50)
+    read = {r.url: (r.canonical_url, r.title, r.content, r.links) for r in web.page_texts(pages).collect()}
+    got = web.crawl_pages(spark.createDataFrame([("https://a.b/p00",)], "root string"), pages, spark.createDataFrame([], "host string, robots string"), config)
+    assert sorted(tuple(r) for r in got.select("root", "visit", "depth", "url", "title", "content").collect()) == queue_crawl("https://a.b/p00", read, lambda u: False, config)
+
+
+def test_robots_rules_equal_the_parser(spark):
+    rng = random.Random(8)
+    paths = ["/", "/a", "/a/", "/a/b", "/b?q=1", "/%7Eme/x", "/~me/x", "/\u00e9t\u00e9", "/a%2fb", "", "/x;p=1", "/a b"]
+    files = ["", "User-agent: *\nDisallow:\n", "User-agent: *\nDisallow: *\n", "Disallow: /a\n", f"User-agent: {web.AGENT}\nUser-agent: other\nAllow: /a/b\nDisallow: /a\n\nUser-agent: *\nDisallow: /", "nonsense\n\nuser-agent: *\ndisallow: /%7eme\ncrawl-delay: 2"]
+    for _ in range(25):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            lines.append("User-agent: " + rng.choice(["*", "ravelin", "RavelinBot/2", "else"]))
+            lines += [rng.choice(["Allow: ", "Disallow: "]) + rng.choice(paths) for _ in range(rng.randrange(4))] + [""] * rng.randrange(2)
+        files.append("\n".join(lines))
+    urls = [(h, f"https://h{h}.x{p}") for h in range(len(files) + 1) for p in paths]
+    pages = spark.createDataFrame([(k, u) for k, (_, u) in enumerate(urls)] + [(10**6, None)], "page_id long, url string")
+    robots = spark.createDataFrame([(f"h{h}.x", t) for h, t in enumerate(files)] + [(None, "User-agent: *\nDisallow: /")], "host string, robots string")
+    want = {10**6}
+    for k, (h, u) in enumerate(urls):
+        parser = RobotFileParser()
+        parser.parse(files[h].splitlines() if h < len(files) else [])
+        parser.modified()
+        if parser.can_fetch(web.AGENT, u):
+            want.add(k)
+    assert {r.page_id for r in web.allowed(pages, robots).collect()} == want
+
+
+def test_running_totals_of_large_groups(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("aaaaaab"), k, rng.randrange(9)) for k in range(3000)]
+    table = spark.createDataFrame(rows, "g string, k long, x long").repartition(6)
+    want, at = set(), {}
+    for g, k, x in rows:
+        n, t = at.get(g, (0, 0))
+        at[g] = (n + 1, t + x)
+        want.add((g, k, *at[g]))
+    assert {(r.g, r.k, r.n, r.total) for r in running(table, ["g"], ["k"], "x").collect()} == want
+    assert {(r.g, r.k, r.n, r.total) for r in running(table, ["g"], ["k"], "x", 40).collect()} == {w for w in want if w[2] <= 40}
+    plan = running(table, ["g"], ["k"], "x", 40)._jdf.queryExecution().toString()
+    assert "windowspecdefinition(g#" not in plan.replace(" ", "") or "_part" in plan
+
+
+def test_a_crawl_is_ingested(spark):
+    rows = [(k, f"https://a.b/p{k}", f"<title>T{k}</title><p>Alpha text number {k}</p><a href='/p{k + 1}'>x</a><a href='/gone'>y</a>") for k in range(4)]
+    pages, none = spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame([], "host string, robots string")
+    out = web.crawl_outcomes(spark.createDataFrame([("https://a.b/p0",)], "root string"), pages, none, EngineConfig(crawl_depth=2))
+    store = Snapshots(spark)
+    with pytest.raises(PermissionError):
+        ingest.ingest_crawl(store, out, 0)
+    told = ingest.ingest_crawl(store, out, 0, EngineConfig(allow_urls=True, embedding_dim=4))
+    assert told.pop("ms") > 0 and told == {"pages": 3, "chunks": 3, "mentions": 9, "vectors": 3, "skipped": 1}
+    assert {(r.doc_id, r.title) for r in store.read("documents").collect()} == {(f"https://a.b/p0 https://a.b/p{k}", f"T{k}") for k in range(3)}
 
 
 def test_links_duplicates_budget_robots_and_crawl(spark):
