@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.config import EngineConfig
 from ravelin.functions.present import excerpt, shortened
 from ravelin.functions.text import stripped
+from ravelin.operators.providers import generated
 
 STUB_ANSWER = "No language model is connected; the cited passages hold what was found."
 FAILED = "The model did not answer. "
@@ -67,6 +69,23 @@ def shown(citations: DataFrame) -> DataFrame:
     return citations.select("q_id", "rank", F.concat_ws(":", _doc_id(), _chunk_id()).alias("citation_id"), title.alias("title"), quote(120).alias("short_quote"), quote(240).alias("long_quote"), F.format_string("%.2f", "score").alias("relevance"))
 
 
+def first_titles(questions: DataFrame, citations: DataFrame) -> DataFrame:
+    """q_id and title: that of each question's first citation that has one, else Untitled."""
+    named = citations.withColumn("title", stripped(F.coalesce("title", F.lit("")))).where("title <> ''")
+    first = named.groupBy("q_id").agg(F.min_by("title", "rank").alias("title"))
+    return questions.select("q_id").join(first, "q_id", "left").select("q_id", F.coalesce("title", F.lit("Untitled")).alias("title"))
+
+
+def answered(prompts_: DataFrame, provider: str, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """q_id, provider, answer, error and latency_ms of prompts (q_id, prompt) that a provider answers: a failed one has the marked fallback and says why."""
+    if provider == "stub":
+        return replied(prompts_, None, provider).select("*", F.lit(None).cast("string").alias("error"), F.lit(0).cast("bigint").alias("latency_ms"))
+    told = generated(prompts_, provider, config)
+    text = F.nullif(stripped(F.col("reply")), F.lit(""))
+    error = F.coalesce("error", F.when(text.isNull(), "empty"))
+    return told.select("q_id", F.lit(provider).alias("provider"), F.coalesce(text, F.lit(FAILED + STUB_ANSWER)).alias("answer"), error.alias("error"), "latency_ms")
+
+
 def replied(prompts_: DataFrame, replies: DataFrame | None, provider: str) -> DataFrame:
     """q_id, provider and answer: the stub's text, a provider's reply, or a marked fallback where it failed."""
     if provider == "stub" or replies is None:

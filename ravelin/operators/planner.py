@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.config import EngineConfig
 from ravelin.functions import text as T
+from ravelin.functions.text import stripped
 
+# Providers that a question may name, and those that may be switched to.
 PROVIDERS = ("ollama", "groq", "stub", "llamacpp")
+TOGGLES = ("ollama", "groq")
 
 
 def question_entities(questions: DataFrame, degree: DataFrame) -> DataFrame:
@@ -36,6 +39,31 @@ def validated(questions: DataFrame, config: EngineConfig = EngineConfig()) -> Da
         F.when(size > config.ask_bytes, "too_large")
         .when(size == 0, "blank_question")
         .when(F.col("top_k") < 1, "top_k_below_1")
-        .when(~F.col("provider_override").isin(*PROVIDERS), "unknown_provider")
+        .when(~_name("provider_override").isin(*PROVIDERS), "unknown_provider")
     )
     return questions.withColumn("error", error)
+
+
+def _name(column: str) -> Column:
+    """A provider's name as it is compared: without white space around it, in lower case."""
+    return F.lower(stripped(F.col(column)))
+
+
+def validated_urls(requests: DataFrame) -> DataFrame:
+    """``requests`` to take in pages (url, max_depth, max_pages) with the address stripped and error: null, or the first rule that is broken."""
+    url = stripped(F.coalesce("url", F.lit("")))
+    error = (
+        F.when(F.coalesce("url", F.lit("")) == "", "blank_url")
+        .when(F.col("_url") == "", "empty_url")
+        .when(~(F.startswith("_url", F.lit("http://")) | F.startswith("_url", F.lit("https://"))), "not_http")
+        .when(F.col("max_depth") < 0, "max_depth_below_0")
+        .when(F.col("max_pages") < 1, "max_pages_below_1")
+    )
+    made = requests.withColumn("_url", url).withColumn("error", error)
+    return made.withColumn("url", F.when(F.col("error").isNull(), F.col("_url")).otherwise(F.col("url"))).drop("_url")
+
+
+def validated_toggles(requests: DataFrame) -> DataFrame:
+    """``requests`` to switch the provider with its name as it is taken and error: null, blank_provider or unknown_provider."""
+    error = F.when(F.coalesce("provider", F.lit("")) == "", "blank_provider").when(~_name("provider").isin(*TOGGLES), "unknown_provider")
+    return requests.withColumn("error", error).withColumn("provider", F.when(F.col("error").isNull(), _name("provider")).otherwise(F.col("provider")))

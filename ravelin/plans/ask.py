@@ -23,6 +23,11 @@ class Asked:
     citations: DataFrame
     answers: DataFrame
 
+    def replies(self, provider: str, config: EngineConfig = EngineConfig()) -> DataFrame:
+        """q_id, provider, answer, error and latency_ms of what a provider makes of the questions and what was found."""
+        lines = self.citations.select("q_id", "rank", answer.context_line().alias("line"))
+        return answer.answered(answer.prompts(self.plans, lines), provider, config)
+
 
 def ask(store: Snapshots, questions: DataFrame, config: EngineConfig = EngineConfig(), exact: bool = False) -> Asked:
     """Plans, hits, citations and answers of ``questions`` (q_id, question, top_k) from one version of a store.

@@ -102,9 +102,11 @@ def document_edges(c: Corpus) -> DataFrame:
 def ingest_summary(c: Corpus) -> DataFrame:
     n_chunks = c.chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))
     n_entities = c.mentions.groupBy("doc_id").agg(F.count("*").alias("entities"))
-    both = c.documents.select("doc_id").join(n_chunks, "doc_id", "left").join(n_entities, "doc_id", "left")
+    both = c.documents.select("doc_id", "text").join(n_chunks, "doc_id", "left").join(n_entities, "doc_id", "left")
     chunks, entities = F.coalesce("chunks", F.lit(0)), F.coalesce("entities", F.lit(0))
-    return both.select("doc_id", chunks.alias("chunks"), entities.alias("entities"), chunks.alias("vector_count"), chunks.alias("chunks_ingested"), entities.alias("entities_linked"), chunks.alias("vectors_upserted"))
+    pages = T.page_count(F.replace("text", F.lit("\n"), F.lit("\f")))  # line feeds stand for form feeds
+    named = [chunks.alias("vector_count"), chunks.alias("chunks_ingested"), entities.alias("entities_linked"), chunks.alias("vectors_upserted"), pages.alias("pages_ingested")]
+    return both.select("doc_id", chunks.alias("chunks"), entities.alias("entities"), *named)
 
 
 @query
@@ -188,6 +190,21 @@ def question_validation(c: Corpus) -> DataFrame:
     return planner.validated(asked, c.config).select("q_id", "top_k", "provider_override", "error")
 
 
+@query
+def url_request_validation(c: Corpus) -> DataFrame:
+    """Addresses of pages in several states as requests to take pages in."""
+    made = F.when(F.col("page_id") % 7 == 0, "").when(F.col("page_id") % 7 == 1, " ").when(F.col("page_id") % 7 == 2, F.concat(F.lit("ftp:"), "url")).otherwise(F.concat(F.lit(" "), "url", F.lit("\n")))
+    asked = c.table("pages").select("page_id", made.alias("url"), (F.col("page_id") % 5 - 1).cast("int").alias("max_depth"), (F.col("page_id") % 4).cast("int").alias("max_pages"))
+    return planner.validated_urls(asked)
+
+
+@query
+def provider_toggle_validation(c: Corpus) -> DataFrame:
+    """Names in several states as requests to switch the provider."""
+    names = F.array(*map(F.lit, ["ollama", " Groq ", "", "stub", "other", None]))
+    return planner.validated_toggles(c.table("events").select("event_id", F.get(names, (F.col("event_id") % 6).cast("int")).alias("provider")))
+
+
 @query
 def vector_norms(c: Corpus) -> DataFrame:
     return c.vector_rows.select("vec_id", F.round(V.norm(F.col("v")), 6).alias("norm"))
@@ -275,6 +292,11 @@ def shown_citations(c: Corpus) -> DataFrame:
     return answer.shown(c.citations)
 
 
+@query
+def first_titled_citation(c: Corpus) -> DataFrame:
+    return answer.first_titles(c.plans, c.citations)
+
+
 @query
 def snippet_shorten(c: Corpus) -> DataFrame:
     return c.chunks.select("chunk_id", P.shortened(F.replace("text", F.lit("\n"), F.lit(" "))).alias("snippet"))

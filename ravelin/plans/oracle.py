@@ -158,7 +158,7 @@ ORACLE_SQL: dict[str, str] = {
     "entity_neighbours": f"WITH {ABOUT}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY doc_id, ord) AS INTEGER) AS place FROM about QUALIFY place <= 3) SELECT r.entity, place, chunk_id, doc_id, d.source AS title FROM r LEFT JOIN documents d USING (doc_id)",
     "orphan_entities": f"WITH {ABOUT}, o AS (SELECT DISTINCT entity FROM mention ANTI JOIN about USING (entity)) SELECT md5(entity) AS entity_md5, CAST(length(entity) AS BIGINT) AS n_chars FROM o",
     "document_edges": f"WITH {CHUNKS} SELECT DISTINCT doc_id, chunk_id FROM chunk SEMI JOIN documents USING (doc_id)",
-    "ingest_summary": f"WITH {SUMMARY} SELECT doc_id, chunks, entities, chunks AS vector_count, chunks AS chunks_ingested, entities AS entities_linked, chunks AS vectors_upserted FROM summary",
+    "ingest_summary": f"WITH {SUMMARY} SELECT doc_id, chunks, entities, chunks AS vector_count, chunks AS chunks_ingested, entities AS entities_linked, chunks AS vectors_upserted, CAST(CASE WHEN {TEXT} = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS INTEGER) AS pages_ingested FROM summary JOIN documents USING (doc_id)",
     "ingest_totals": f"WITH {SUMMARY}, about AS (SELECT m.entity FROM mention m JOIN chunk c USING (doc_id) WHERE contains(lower(c.text), m.entity)), degree AS (SELECT entity, count(*) AS degree FROM about GROUP BY entity) SELECT count(*) AS n_documents, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(entities) AS BIGINT) AS entities, CAST(sum(chunks) AS BIGINT) AS vector_count, (SELECT count(*) FROM degree) AS linked_entities, (SELECT max(degree) FROM degree) AS max_degree FROM summary",
     "store_upsert_lww": f"WITH {BATCHES} SELECT doc_id, title, seq FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) = 1",
     "store_first_name_wins": f"WITH l AS (SELECT doc_id, regexp_extract_all({TEXT}, '{PHRASE}') AS l FROM documents), p AS (SELECT doc_id, unnest(l) AS name, unnest(range(len(l))) AS k FROM l) SELECT lower(name) AS entity_id, name, 'TERM' AS type FROM p QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY doc_id, k) = 1",
@@ -169,6 +169,13 @@ ORACLE_SQL: dict[str, str] = {
     "question_validation": """WITH q AS (SELECT conv_id || '-' || turn AS q_id, CASE WHEN turn % 7 = 6 THEN '' ELSE text END AS question, CAST(turn - 1 AS INTEGER) AS top_k, CASE role WHEN 'user' THEN 'stub' WHEN 'assistant' THEN NULL ELSE role END AS provider_override FROM conversations)
         SELECT q_id, top_k, provider_override, CASE WHEN strlen(coalesce(question, '')) > 1048576 THEN 'too_large' WHEN coalesce(question, '') = '' THEN 'blank_question' WHEN top_k < 1 THEN 'top_k_below_1'
                WHEN provider_override NOT IN ('ollama', 'groq', 'stub', 'llamacpp') THEN 'unknown_provider' END AS error FROM q""",
+    "url_request_validation": r"""WITH r AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN 'ftp:' || url ELSE ' ' || url || chr(10) END AS url, CAST(page_id % 5 - 1 AS INTEGER) AS max_depth, CAST(page_id % 4 AS INTEGER) AS max_pages FROM pages),
+        t AS (SELECT *, regexp_replace(url, '^\s+|\s+$', '', 'g') AS bare FROM r),
+        e AS (SELECT *, CASE WHEN url = '' THEN 'blank_url' WHEN bare = '' THEN 'empty_url' WHEN NOT regexp_matches(bare, '^https?://') THEN 'not_http' WHEN max_depth < 0 THEN 'max_depth_below_0' WHEN max_pages < 1 THEN 'max_pages_below_1' END AS error FROM t)
+        SELECT page_id, CASE WHEN error IS NULL THEN bare ELSE url END AS url, max_depth, max_pages, error FROM e""",
+    "provider_toggle_validation": """WITH r AS (SELECT event_id, ['ollama', ' Groq ', '', 'stub', 'other', NULL][event_id % 6 + 1] AS provider FROM events)
+        SELECT event_id, CASE WHEN event_id % 6 = 1 THEN 'groq' ELSE provider END AS provider, CASE WHEN event_id % 6 IN (2, 5) THEN 'blank_provider' WHEN event_id % 6 IN (3, 4) THEN 'unknown_provider' END AS error FROM r""",
+    "first_titled_citation": f"WITH {HITS}, t AS (SELECT q_id, arg_min(trim(title), rank) AS title FROM cited WHERE trim(title) <> '' GROUP BY q_id) SELECT q_id, coalesce(title, 'Untitled') AS title FROM plan LEFT JOIN t USING (q_id)",
     "vector_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings",
     "vector_topk_batch": f"WITH s AS (SELECT q.vec_id AS q_id, e.vec_id, {DISTANCE.format(a='q.embedding', b='e.embedding')} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) SELECT q_id, vec_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY s.score, vec_id) <= {TOP_K}",
     "vector_insertion_order": f"WITH f AS (SELECT vec_id AS id, CAST(row_number() OVER (ORDER BY vec_id) AS INTEGER) AS rank FROM embeddings QUALIFY rank <= {TOP_K}) SELECT q.vec_id AS q_id, id, rank, CAST(0 AS DOUBLE) AS score FROM embeddings q, f WHERE q.vec_id % 50 = 0",

@@ -32,7 +32,7 @@ def chunk_vectors(made: DataFrame, given: dict) -> DataFrame:
 
 
 def ingest(store: Snapshots, docs: DataFrame, seq: int, config: EngineConfig = EngineConfig()) -> dict[str, int]:
-    """Merge documents (doc_id, title, text); all tables change together. Numbers of documents taken, chunks, mentions and vectors.
+    """Merge documents (doc_id, title, text); all tables change together. Numbers of documents taken, chunks, mentions and vectors, and the milliseconds it took.
 
     A document that comes again replaces all that was made of it, unless it is
     stored with a larger ``seq``: then all of it is left out.  Of several rows
@@ -42,7 +42,7 @@ def ingest(store: Snapshots, docs: DataFrame, seq: int, config: EngineConfig = E
     dimension of the embeddings aren't the store's, all its chunks are embedded
     anew in the same version.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch, began = Scratch(docs.sparkSession), time.perf_counter()
     at = docs.select("doc_id", F.struct("title", "text").alias("row"), F.monotonically_increasing_id().alias("at"))
     last = scratch.table(at.groupBy("doc_id").agg(F.max_by("row", "at").alias("row")).select("doc_id", "row.title", "row.text"), "last")
     made = scratch.table(chunks(last, config), "chunks")
@@ -75,18 +75,18 @@ def ingest(store: Snapshots, docs: DataFrame, seq: int, config: EngineConfig = E
 
     counts = store.commit(change)
     scratch.clear()
-    return counts
+    return counts | {"latency_ms": int(1000 * (time.perf_counter() - began))}
 
 
 def ingest_crawl(store: Snapshots, outcomes: DataFrame, seq: int, config: EngineConfig = EngineConfig()) -> dict[str, int]:
-    """Ingest the pages that a crawl took (``web.crawl_outcomes``), each by its root and canonical address; numbers of pages, chunks, mentions and vectors, of addresses skipped, and the milliseconds it took."""
+    """Ingest the pages that a crawl took (``web.crawl_outcomes``), each by its root and canonical address; numbers of pages, chunks, mentions and vectors, of addresses skipped, and the milliseconds it took (pages also as ``pages_ingested``)."""
     if not config.allow_urls:
         raise PermissionError("crawled pages aren't taken unless allow_urls is set")
-    began = time.perf_counter()
     taken = web.taken_pages(outcomes).select(F.concat_ws(" ", "root", "url").alias("doc_id"), "title", F.col("content").alias("text"))
     made = ingest(store, taken, seq, config)
     skipped = web.skipped_addresses(outcomes).count()
-    return {"pages": made.pop("documents"), **made, "skipped": skipped, "ms": int(1000 * (time.perf_counter() - began))}
+    n = made.pop("documents")
+    return {"pages": n, "pages_ingested": n, **made, "skipped": skipped}
 
 
 def put_vectors(to: Change, vectors: DataFrame, given: DataFrame) -> None:

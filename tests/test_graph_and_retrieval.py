@@ -1,4 +1,5 @@
 import math
+import time
 
 import pandas as pd
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ravelin.config import EngineConfig
 from ravelin.functions import vectors as V
-from ravelin.operators import answer, graph, planner, retrieval, store
+from ravelin.operators import answer, graph, planner, providers, retrieval, store
 from ravelin.operators.versions import Snapshots
 from ravelin.plans.corpus import Corpus, placed
 from ravelin.scratch import Scratch
@@ -181,3 +182,44 @@ def test_validation(spark):
     rows = [("a", "q", None, None), ("b", "", None, None), ("c", "q", 0, None), ("d", "q", 1, "else"), ("e", "é" * 4, 1, "stub")]
     asked = spark.createDataFrame(rows, "q_id string, question string, top_k int, provider_override string")
     assert [r.error for r in planner.validated(asked, EngineConfig(ask_bytes=7)).orderBy("q_id").collect()] == [None, "blank_question", "top_k_below_1", "unknown_provider", "too_large"]
+
+
+def test_providers_as_plug_ins(spark, monkeypatch):
+    def slow(config):
+        return lambda prompt: time.sleep(30) if "wait" in prompt else f"slow {prompt}"
+
+    def failing(config):
+        def model(prompt):
+            if "bad" in prompt:
+                raise ConnectionError("no answer")
+            return 7 if "number" in prompt else " " if "blank" in prompt else f"{config.top_k} {prompt}"
+
+        return model
+
+    def closed(config):
+        raise OSError("not there")
+
+    for name, made in (("slow", slow), ("failing", failing), ("closed", closed)):
+        monkeypatch.setitem(providers.MODELS, name, made)
+    asked = spark.createDataFrame([("a", "good"), ("b", "wait"), ("c", "bad"), ("d", "number"), ("e", "blank"), ("f", None), *((f"w{k}", "wait") for k in range(10))], "q_id string, prompt string").coalesce(1)
+    config, began = EngineConfig(model_timeout_sec=0.5, top_k=3), time.monotonic()
+    got = {r.q_id: r for r in answer.answered(asked, "slow", config).collect()}
+    assert time.monotonic() - began < 20 and (got["a"].answer, got["a"].error) == ("slow good", None)
+    assert {got[q].error for q in got if q[0] in "bw"} == {"timeout"} and got["b"].answer == answer.FAILED + answer.STUB_ANSWER and got["b"].latency_ms == 500
+    got = {r.q_id: r for r in answer.answered(asked, "failing", config).collect()}
+    assert [got[q].error for q in "abcdef"] == [None, None, "ConnectionError", "TypeError", "empty", None] and (got["a"].answer, got["f"].answer) == ("3 good", "3")
+    assert {r.error for r in answer.answered(asked, "closed", config).collect()} == {"OSError"} and answer.answered(asked.limit(0), "closed", config).count() == 0
+    assert {(r.provider, r.answer, r.error) for r in answer.answered(asked, "stub", config).collect()} == {("stub", answer.STUB_ANSWER, None)}
+    with pytest.raises(ValueError):
+        answer.answered(asked, "unheard of")
+
+
+def test_first_titles_and_requests(spark):
+    cited = spark.createDataFrame([("a", 1, " "), ("a", 2, None), ("a", 3, " Third "), ("a", 4, "Fourth"), ("b", 1, "")], "q_id string, rank int, title string")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "q_id string")
+    assert {tuple(r) for r in answer.first_titles(asked, cited).collect()} == {("a", "Third"), ("b", "Untitled"), ("c", "Untitled")}
+    rows = [(1, " https://a.b ", 0, 1), (2, "\u00a0", None, None), (3, None, 1, 1), (4, "HTTP://a", 1, 1), (5, "http://a", -1, 0), (6, "http://a", None, 0)]
+    got = planner.validated_urls(spark.createDataFrame(rows, "i int, url string, max_depth int, max_pages int")).orderBy("i").collect()
+    assert [(r.url, r.error) for r in got] == [("https://a.b", None), ("\u00a0", "empty_url"), (None, "blank_url"), ("HTTP://a", "not_http"), ("http://a", "max_depth_below_0"), ("http://a", "max_pages_below_1")]
+    toggles = spark.createDataFrame([(1, " OLLAMA"), (2, "stub"), (3, None)], "i int, provider string")
+    assert [(r.provider, r.error) for r in planner.validated_toggles(toggles).orderBy("i").collect()] == [("ollama", None), ("stub", "unknown_provider"), (None, "blank_provider")]

@@ -158,7 +158,7 @@ def test_a_crawl_is_ingested(spark):
     with pytest.raises(PermissionError):
         ingest.ingest_crawl(store, out, 0)
     told = ingest.ingest_crawl(store, out, 0, EngineConfig(allow_urls=True, embedding_dim=4))
-    assert told.pop("ms") > 0 and told == {"pages": 3, "chunks": 3, "mentions": 9, "vectors": 3, "skipped": 1}
+    assert told.pop("latency_ms") > 0 and told == {"pages": 3, "pages_ingested": 3, "chunks": 3, "mentions": 9, "vectors": 3, "skipped": 1}
     assert {(r.doc_id, r.title) for r in store.read("documents").collect()} == {(f"https://a.b/p0 https://a.b/p{k}", f"T{k}") for k in range(3)}
 
 
