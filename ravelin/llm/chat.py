@@ -16,7 +16,11 @@ null turn comes first; ties of turn are ordered by role, then text; repeated
 rows are separate turns; rows with a null conv_id are one conversation with a
 null id; turns of ``system_roles`` are shown in every perspective and have no
 perspective of their own, so a conversation of such turns alone gives no rows;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored; very long
+texts are segments of their own and never joined.  Names and texts are written
+as they are: ones that hold the marks (``<|..|>``) can't be told from markup by
+reading the rendered string alone, so training takes its spans from the columns
+start, length, mask_start and mask_length, which are right for any text.
 """
 
 from __future__ import annotations

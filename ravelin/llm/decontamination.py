@@ -20,7 +20,7 @@ words stand;
 repeated rows each get their result; item ids that are null are not listed,
 their windows still hit; an item id on several rows is one item; an empty
 benchmark hits nothing; empty documents give an empty result; other columns
-are ignored.
+are ignored; very long texts are read whole.
 """
 
 from __future__ import annotations

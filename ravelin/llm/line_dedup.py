@@ -11,7 +11,8 @@ Edge cases: lines end at a line feed only and are compared as they are; a text
 of fewer than ``size`` lines has no window and stays; a null text stays null
 and has no lines; an empty text is one empty line; a null doc_id comes last;
 rows that repeat doc_id and text are one document and get the same result;
-an empty table gives an empty result; other columns are kept as they are.
+an empty table gives an empty result; other columns are kept as they are; very
+long texts and lines are compared whole.
 """
 
 from __future__ import annotations

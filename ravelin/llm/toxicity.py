@@ -14,7 +14,8 @@ batches with the weights (one array of ``2 ** bits`` floats) broadcast.
 Edge cases: a null or empty text has no features and gets the score of the
 bias alone; a null id is never held out and never a training row; a null label
 is no label; without toxic rows every score is 0; repeated rows are scored one
-by one; an empty table gives an empty result; other columns are ignored.
+by one; an empty table gives an empty result; other columns are ignored; very
+long texts are scored whole.
 """
 
 from __future__ import annotations
