@@ -27,9 +27,14 @@ def last_summary(text: Column, most: int = 110) -> Column:
     return F.when(line != "", excerpt(picked, most))
 
 
+# What counts as a hash, and where sentences part.
+HEX_RUN = r"(?i)(?:\b[0-9a-f]{16,}\b:?)+"
+SENTENCE_GAP = r"(?<=[.!?])\s+"
+
+
 def without_hex(text: Column) -> Column:
     """Without runs of 16 hexadecimal digits or more."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)(?:\b[0-9a-f]{16,}\b:?)+", " "), r"\s{2,}", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, HEX_RUN, " "), r"\s{2,}", " "))
 
 
 # Pairs of pattern and replacement, in the order in which they apply.
@@ -61,7 +66,7 @@ def untagged(text: Column) -> Column:
 
 def sanitised(text: Column) -> Column:
     """An answer without sentences about ids, tags and long hexadecimal runs; the text itself if nothing is left."""
-    sentences = F.split(text, r"(?<=[.!?])\s+")
+    sentences = F.split(text, SENTENCE_GAP)
     kept = F.filter(sentences, lambda s: (F.trim(s) != "") & ~F.lower(s).rlike("|".join(DROPPED)))
     first, second = untagged(F.array_join(kept, " ")), untagged(text)
     return F.when(first != "", first).when(second != "", second).otherwise(text)

@@ -11,7 +11,7 @@ from ravelin.scratch import Scratch
 def running(rows: DataFrame, by: list[str], order: list[str], amount: str | None = None, most: int | None = None) -> DataFrame:
     """``rows`` with n (the place in its group, from 1) and, of an ``amount``, total (its sum up to the row); with ``most`` only the first of each group.
 
-    ``order`` tells all rows of a group apart.  Rows are sorted over parts of
+    ``by`` has no nulls, and ``order`` tells all rows of a group apart.  Rows are sorted over parts of
     even size; each part numbers and adds up its own, and what a group has in
     the parts before is added, so that a large group is many tasks.  Parts that
     begin after the ``most`` first rows of a group are left out at once.

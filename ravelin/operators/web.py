@@ -93,7 +93,11 @@ class _Reader(HTMLParser):
 
 
 def read_page(html: str | None, removed: tuple[str, ...] = REMOVED) -> tuple[str, str, str | None, list[str]]:
-    """Text of a page (of its first article, else main, else body, else all of it), its title, canonical reference and the references of its links."""
+    """Text of a page (of its first article, else main, else body, else all of it), its title, canonical reference and the references of its links.
+
+    A paragraph that is never ended holds all that follows, so n of them within
+    each other have texts of a size that grows with the square of n.
+    """
     reader = _Reader(removed)
     reader.feed(html or "")
     reader.close()
@@ -148,7 +152,7 @@ def first_by_content(pages: DataFrame, seq: str = "page_id") -> DataFrame:
 
 
 def within_budget(pages: DataFrame, config: EngineConfig = EngineConfig(), by: str = "host", seq: str = "page_id") -> DataFrame:
-    """Pages of each site in visit order up to the one that would exceed the characters or the number of pages."""
+    """Pages of each site in visit order up to the one that would exceed the characters or the number of pages; those without a site are left out."""
     sized = pages.where(F.col(by).isNotNull()).withColumn("n_chars", F.char_length("content").cast("bigint"))
     run = running(sized, [by], [seq], "n_chars", config.crawl_pages)
     return run.withColumn("visit", F.col("n").cast("int")).withColumnRenamed("total", "total_chars").where(F.col("total_chars") <= config.crawl_chars).drop("n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from ravelin.functions import text as T
 from ravelin.functions import urls as U
 from ravelin.functions import vectors as V
 from ravelin.operators import answer, chunking, graph, history, planner, providers, retrieval, store, vector_index, web
+from ravelin.operators.versions import Snapshots
 from ravelin.plans.corpus import Corpus
 from ravelin.plans.oracle import ORACLE_SQL
+from ravelin.streaming import ingest
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
@@ -142,6 +145,18 @@ def store_linked_edges(c: Corpus) -> DataFrame:
     return store.linked(edges.unionByName(edges), c.chunks, known).groupBy("entity_id").agg(F.count("*").alias("n"))
 
 
+@query
+def ingest_entities(c: Corpus) -> DataFrame:
+    """Documents in batches, every second one first with another text and every fifth again with an older number: entities as the changes leave them."""
+    docs, odd = c.documents.select("doc_id", "title", "text"), F.col("doc_id") % 2 == 1
+    old = docs.withColumn("text", F.when(odd, F.concat_ws(" ", F.lit("Old"), "title", F.lit("Words about Nothing"))).otherwise(F.col("text")))
+    tables, config = Snapshots(c.spark), replace(c.config, embedding_dim=8)
+    last = docs.where("doc_id % 5 = 0").withColumn("text", F.lit("Late Arrivals"))
+    for seq, batch in ((1, old.where("doc_id % 2 = 1 OR doc_id % 3 = 0")), (2, docs.where(odd)), (3, docs.where("doc_id % 2 = 0 AND doc_id % 3 <> 0")), (0, last)):
+        ingest.ingest(tables, batch, seq, config)
+    return tables.read("entities").select("entity", "n_docs", "degree")
+
+
 @query
 def key_constraints(c: Corpus) -> DataFrame:
     checks = [("documents", c.documents, ["doc_id"]), ("chunks", c.chunks, ["chunk_id"]), ("entities", c.degrees, ["entity"]), ("edges", c.about, ["chunk_id", "entity"]), ("batches", _batches(c), ["doc_id"])]

@@ -163,6 +163,7 @@ ORACLE_SQL: dict[str, str] = {
     "store_upsert_lww": f"WITH {BATCHES} SELECT doc_id, title, seq FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) = 1",
     "store_first_name_wins": f"WITH l AS (SELECT doc_id, regexp_extract_all({TEXT}, '{PHRASE}') AS l FROM documents), p AS (SELECT doc_id, unnest(l) AS name, unnest(range(len(l))) AS k FROM l) SELECT lower(name) AS entity_id, name, 'TERM' AS type FROM p QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY doc_id, k) = 1",
     "store_linked_edges": f"WITH {ABOUT} SELECT entity AS entity_id, degree AS n FROM degree WHERE degree >= 3",
+    "ingest_entities": f"WITH {ABOUT}, m AS (SELECT entity, count(*) AS n_docs FROM mention GROUP BY entity) SELECT entity, n_docs, coalesce(degree, 0) AS degree FROM m LEFT JOIN degree USING (entity)",
     "key_constraints": f"WITH {ABOUT}, {BATCHES}, n AS (SELECT 'documents' AS t, count(*) - count(DISTINCT doc_id) AS n FROM documents UNION ALL SELECT 'chunks', count(*) - count(DISTINCT chunk_id) FROM chunk UNION ALL SELECT 'entities', 0 UNION ALL SELECT 'edges', count(*) - count(DISTINCT (chunk_id, entity)) FROM about UNION ALL SELECT 'batches', count(*) FROM (SELECT doc_id FROM b GROUP BY doc_id HAVING count(*) > 1)) SELECT t AS table_name, n AS n_broken FROM n",
     "edge_label_sanitise": "WITH k AS (SELECT event_type AS label FROM events UNION ALL SELECT source || '-x' FROM documents) SELECT coalesce(label, '') AS label, CASE WHEN coalesce(label, '') = '' THEN 'ABOUT' WHEN regexp_full_match(upper(label), '[A-Z_][A-Z0-9_]*') THEN upper(label) ELSE 'ABOUT' END AS rel, count(*) AS n FROM k GROUP BY ALL",
     "question_plan": f"WITH {PLANS} SELECT q_id, mode, CASE mode WHEN 'GRAPH' THEN 'an entity has degree ' || max_degree WHEN 'HYBRID' THEN 'its entities are rare' ELSE 'no entity is known' END AS reason, CAST(top_k AS INTEGER) AS top_k, max_degree, n_entities, md5(entities) AS entities_md5 FROM plan",

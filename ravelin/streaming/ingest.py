@@ -17,6 +17,8 @@ from ravelin.operators.versions import Change, Snapshots
 from ravelin.scratch import Scratch
 
 DOC = ["doc_id"]
+#: Versions of a store that a stream leaves to readers.
+KEPT = 20
 
 
 def embedding_of(config: EngineConfig) -> dict:
@@ -139,7 +141,12 @@ def start(spark: SparkSession, folder: str, schema: str, store: Snapshots, check
     """Follow a folder of Parquet files; every micro-batch is ingested. Batches replayed after a failure merge to the same rows.
 
     The store needs a path of its own that outlives the process as the
-    checkpoint does.
+    checkpoint does; versions before the newest ``KEPT`` are deleted.
     """
+
+    def merge(df: DataFrame, n: int) -> None:
+        ingest(store, df, n, config)
+        store.expire(KEPT)
+
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    return source.writeStream.foreachBatch(lambda df, n: ingest(store, df, n, config) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
