@@ -235,7 +235,6 @@ def _settled(level: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     other = F.struct(F.lit("canonical").alias("why"), F.concat(F.lit("u"), "canonical").alias("key"))
     text = F.struct(F.lit("text").alias("why"), F.concat(F.lit("t"), "sha1").alias("key"))
     heeds = level.select("root", "place", F.explode(F.when(open_, F.array(own, other, text)).otherwise(F.array(own))).alias("k")).select("root", "place", "k.*")
-    makes, heeds = scratch.table(makes, f"{name}-makes"), scratch.table(heeds, f"{name}-heeds")
     left, done, step = level.select("root", "place", "reason"), [], 0
     taken = makes.limit(0).groupBy("root", "key").agg(F.min("place").alias("at"))
     while True:
@@ -311,7 +310,7 @@ def crawl_outcomes(roots: DataFrame, pages: DataFrame, robots: DataFrame, config
             .when(F.col("_sha1").isNotNull(), "text")
         )
         level = scratch.table(met.withColumn("reason", reason).drop("_closed", "_place", "_url", "_sha1"), f"level-{depth}")
-        settled = scratch.table(_settled(level, scratch, f"settled-{depth}"), f"settled-{depth}")
+        settled = _settled(level, scratch, f"settled-{depth}")
         rows = scratch.table(level.drop("reason").join(settled, ["root", "place"]), f"rows-{depth}")
         if past is not None:
             rows = rows.join(past.where("NOT ended").drop("ended"), "root")

@@ -135,7 +135,7 @@ class Corpus:
         stored = self.vector_rows.join(places, "vec_id").select("place", "v")
         chunked = self.chunks.select(F.col("chunk_id").alias("id"), "chunk_id", "doc_id", "ord", F.pmod("doc_id", F.lit(n)).alias("place")).join(stored, "place").drop("place")
         asked = self.plans.where("mode <> 'GRAPH'").select("q_id", "top_k", F.pmod(F.char_length("question"), F.lit(n)).alias("place")).join(stored.withColumnRenamed("v", "qv"), "place").drop("place")
-        chunked = self.scratch.table(spread(chunked), "chunk-vectors")
+        chunked = self.scratch.table(chunked, "chunk-vectors")
         return self.scratch.table(retrieval.nearest(asked, chunked).drop("id"), "vector-hits")
 
     @cached_property
