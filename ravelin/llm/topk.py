@@ -9,7 +9,9 @@ exactly k rows for each query are ranked.  A task reports only its highest
 bins that hold k scores, since the k-th score overall isn't below its own.
 
 A query block is of bounded size and reaches the tasks as a broadcast; vectors
-are never shuffled.  Whole-number vectors, the queries by block and each block's
+are never shuffled.  The more queries a block has, the fewer bins each has in a
+pass, so that a task's histograms stay of one size: eight times the queries take one
+more pass, not eight times as many.  Whole-number vectors, the queries by block and each block's
 result are written once, so that the last plan doesn't grow with the blocks.
 
 Edge cases: vectors that are null or hold null or non-finite components, and
@@ -38,10 +40,10 @@ from ravelin.sources.tables import table
 K = 10
 SCALE = 1024
 EVERY = 100
-#: Queries of a block, about; bins of a pass; rows that are scored at once.
-BLOCK = 1024
-BINS = 4096
-ROWS = 2048
+#: Queries of a block, about; bins of a pass at most and at least; cells of a task's histograms, and scores that it works out at once.
+BLOCK = 8192
+BINS, FEWEST = 4096, 64
+CELLS = 1 << 22
 
 
 def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -63,7 +65,7 @@ def _scored(state: dict, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np
         if not len(rows) or not len(mine):
             continue
         q = np.array([state["v"][r] for r in rows], np.int64).reshape(len(rows), dim)
-        for part in np.array_split(mine, -(-len(mine) // ROWS)):
+        for part in np.array_split(mine, -(-len(mine) // max(1, CELLS // len(rows)))):
             v = flat[(ends[part] - dim)[:, None] + np.arange(dim)].astype(np.int64).reshape(len(part), dim)
             bound = float(dim) * np.abs(v.astype(float)).max(initial=0) * np.abs(q.astype(float)).max(initial=0)
             score = (q.astype(float) @ v.T.astype(float)).astype(np.int64) if bound < 2**53 else q @ v.T
@@ -140,8 +142,9 @@ def _by_id(state: dict, rows: np.ndarray, ids: np.ndarray, score: np.ndarray):
     return np.broadcast_to(~ids, score.shape), score == state["tied"][rows][:, None]
 
 
-def search_block(vectors: DataFrame, queries: list, k: int, longest: float, least_id: int, most_id: int, bins: int = BINS) -> DataFrame:
+def search_block(vectors: DataFrame, queries: list, k: int, longest: float, least_id: int, most_id: int) -> DataFrame:
     """query_id, vec_id, score of the best of one block of queries (rows of vec_id and v)."""
+    bins = max(FEWEST, min(BINS, CELLS // len(queries)))
     base = {"ids": np.array([r["vec_id"] for r in queries], np.int64), "v": [r["v"] for r in queries], "dims": np.array([len(r["v"]) for r in queries])}
     norms = np.array([np.sqrt(np.square(np.array(v, float)).sum()) for v in base["v"]])
     top = np.minimum(np.ceil(norms * longest * (1 + 1e-9)) + 1, 2.0**61).astype(np.int64)

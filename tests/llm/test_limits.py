@@ -295,3 +295,18 @@ def test_long_tokens_are_words_like_others(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (5, sum(t in c for t in own), n)
         assert math.isclose(r.base_score, sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own), rel_tol=1e-9)
         assert r.score > r.base_score
+
+
+def test_large_blocks_of_queries_take_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    held = rng.normal(size=(300, 4)).round(1)
+    table = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(held)], "vec_id long, embedding array<float>")
+    whole = np.floor(held.astype(np.float32).astype(float) * 1024).astype(np.int64)
+    score = whole @ whole.T
+    want = {(q, n + 1, c, int(score[q, c])) for q in range(300) for n, c in enumerate(sorted((c for c in range(300) if c != q), key=lambda c, q=q: (-score[q, c], c))[:10])}
+    passes = []
+    counted = topk._count
+    monkeypatch.setattr(topk, "_count", lambda *a: passes.append(len(a[1]["ids"])) or counted(*a))
+    monkeypatch.setattr(topk, "CELLS", 300 * 80)
+    assert {tuple(r) for r in topk.top_k(table, every=1).collect()} == want
+    assert len(passes) <= 8 and set(passes) == {300}
