@@ -31,8 +31,8 @@ from ravelin.functions.vectors import squared_distance
 from ravelin.operators.nearest import matrix, squared
 from ravelin.scratch import Scratch
 
-#: Rows that the cells are fitted on at most, cells at most, dimensions of a code's byte, and rounds of k-means.
-SAMPLE, CELLS, WIDTH, ROUNDS = 65_536, 4096, 4, 8
+#: Rows that the cells and the codes are fitted on at most, cells at most, dimensions of a code's byte, and rounds of k-means.
+SAMPLE, CODED, CELLS, WIDTH, ROUNDS = 65_536, 16_384, 4096, 4, 8
 #: Codes and queries that meet in one group at most (about; they are dealt by hashes).
 PART, QUERIES = 50_000, 1000
 #: Sampled rows that stand for queries, nearest of each, and the share of these that cells and codes may miss by the sample.
@@ -108,8 +108,9 @@ def fit(vectors: DataFrame, dim: int, by: str = "id", sample: int = SAMPLE) -> M
     centres = kmeans(found, min(CELLS, len(found), max(1, round(2 * n**0.5))))
     stretches = -(-dim // WIDTH)
     bare = Model(centres, np.zeros((stretches, 1, WIDTH)))
-    rest = bare.padded(found - centres[closest(found, centres)])
-    books = np.stack([kmeans(rest[:, s], min(256, len(found)), s) for s in range(stretches)])
+    some = found[:CODED]
+    rest = bare.padded(some - centres[closest(some, centres)])
+    books = np.stack([kmeans(rest[:, s], min(256, len(some)), s) for s in range(stretches)])
     return tuned(Model(centres, books), found, n)
 
 
@@ -125,7 +126,7 @@ def tuned(model: Model, rows: np.ndarray, n: int) -> Model:
     # how many rows their codes put before each near row; a sample stands for n / len(rows) as many
     known = model.centres[cell] + model.books[np.arange(len(model.books)), code].reshape(len(rows), -1)[:, : model.dim]
     guess = squared(asked, known)
-    before = (guess[:, None, :] < np.take_along_axis(guess, near, 1)[:, :, None]).sum(2)
+    before = [(g < g[own][:, None]).sum(1) for g, own in zip(guess, near, strict=True)]
     refine = int(np.quantile(before, 1 - MISSED) * max(1, n / len(rows)) / NEAR) + 2
     return Model(model.centres, model.books, min(probes, len(model.centres)), refine)
 
