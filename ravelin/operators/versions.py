@@ -98,10 +98,17 @@ class Snapshots:
                 files.rename(fs.makeQualified(draft), fs.makeQualified(final), how)  # never onto a file that is there
             except Exception as error:
                 fs.delete(draft, False)
+                if self.made(version, state):
+                    return  # done, though it was reported otherwise
                 if fs.exists(final):
                     raise Conflict(f"version {version} was made by another writer") from error
                 raise
 
+    def made(self, version: int, state: dict) -> bool:
+        """Whether a version is the one that ``state`` was to be."""
+        path, fs = file_system(self.spark, f"{self.root}/log/{version:012d}")
+        return bool(state.get("change")) and fs.exists(path) and self.state(version).get("change") == state["change"]
+
     def begin(self) -> Change:
         return Change(self)
 
@@ -248,7 +255,7 @@ class Change:
 
     def __init__(self, store: Snapshots):
         self.store, self.base = store, store.version()
-        self.state = copy.deepcopy(store.state(self.base))
+        self.state = copy.deepcopy(store.state(self.base)) | {"change": uuid.uuid4().hex}
         self.touched: list[str] = []
         self._made: list[str] = []
 
@@ -339,7 +346,9 @@ class Change:
         self.store.take(self.base + 1, self.state)
 
     def discard(self) -> None:
-        """Delete what was written for a version that wasn't made."""
+        """Delete what was written for a version that wasn't made; one that was, in spite of an error, keeps it."""
+        if self.store.made(self.base + 1, self.state):
+            return
         for folder in self._made:
             path, fs = file_system(self.store.spark, folder)
             fs.delete(path, True)

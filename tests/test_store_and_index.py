@@ -65,7 +65,28 @@ def test_of_two_writers_none_loses_rows(spark):
     [t.start() for t in threads], [t.join() for t in threads]
     assert not failed and {r.id for r in store.read("t").collect()} == {1, 2, 10, 11, 12, 13}
     with pytest.raises(Conflict):
-        store.take(store.version(), store.state())
+        store.take(store.version(), store.begin().state)
+
+
+def test_a_version_that_was_made_in_spite_of_an_error_keeps_its_files(spark, monkeypatch):
+    store = Snapshots(spark, new())
+    take = store.take
+
+    def lost(version, state):
+        take(version, state)
+        raise OSError("the answer was lost")
+
+    monkeypatch.setattr(store, "take", lost)
+    rows = spark.createDataFrame([(1, "a")], "id long, v string")
+    with pytest.raises(OSError):
+        store.write("t", rows, ["id"])
+    assert [tuple(r) for r in Snapshots(spark, store.root).read("t").collect()] == [(1, "a")]
+    change = store.begin()
+    change.put("t", rows, rows, ["id"])
+    take(2, change.state)
+    take(2, change.state)  # the same again is no conflict
+    with pytest.raises(Conflict):
+        take(2, store.begin().state)
 
 
 def test_a_crash_between_tables_shows_nothing(spark, monkeypatch):
