@@ -79,7 +79,12 @@ class Snapshots:
         version = self.version() if version is None else version
         if not version:
             return {"tables": {}, "properties": {}}
-        return json.loads(self.spark.read.text(f"{self.root}/log/{version:012d}", wholetext=True).first()[0])
+        path, fs = file_system(self.spark, f"{self.root}/log/{version:012d}")
+        held = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8"))
+        finally:
+            held.close()
 
     def take(self, version: int, state: dict) -> None:
         """Make ``state`` the store's version of this number, if there is none yet."""
@@ -129,7 +134,7 @@ class Snapshots:
                 made.discard()
                 raise
             for name in made.touched:
-                self._maintain(name)
+                self._maintain(name, made.state["tables"].get(name))
             return out
         raise ValueError("tries must be positive")
 
@@ -188,8 +193,8 @@ class Snapshots:
 
     # --- upkeep ---
 
-    def _maintain(self, name: str) -> None:
-        table = self.state()["tables"].get(name)
+    def _maintain(self, name: str, table: dict | None) -> None:
+        """Fold a table that was just changed, if its changes have grown enough."""
         if table is None:
             return
         size = sum(c["bytes"] for c in table["changes"])

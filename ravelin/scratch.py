@@ -9,9 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _KEY = "spark.checkpoint.dir"
 _LOCAL: dict[str, str] = {}
 
@@ -35,6 +40,13 @@ def file_system(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def together(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
+    """The results of a few steps that don't need each other, whose jobs share the cluster; an error of one is raised when all have ended."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        made = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+    return [one.result() for one in made]
+
+
 class Scratch:
     """A folder of written tables that belong to one call of an operator."""
 

@@ -14,7 +14,8 @@ from ravelin.operators import vector_index, web
 from ravelin.operators.chunking import chunks
 from ravelin.operators.graph import about_edges, entity_counts, mentions
 from ravelin.operators.versions import Change, Snapshots
-from ravelin.scratch import Scratch
+from ravelin.scratch import Scratch, together
+from ravelin.sources.tables import spread
 
 DOC = ["doc_id"]
 #: Versions of a store that a stream leaves to readers.
@@ -44,14 +45,14 @@ def ingest(store: Snapshots, docs: DataFrame, seq: int, config: EngineConfig = E
     dimension of the embeddings aren't the store's, all its chunks are embedded
     anew in the same version.
     """
-    scratch, began = Scratch(docs.sparkSession), time.perf_counter()
+    spark, began = docs.sparkSession, time.perf_counter()
+    scratch = Scratch(spark)
     at = docs.select("doc_id", F.struct("title", "text").alias("row"), F.monotonically_increasing_id().alias("at"))
     last = scratch.table(at.groupBy("doc_id").agg(F.max_by("row", "at").alias("row")).select("doc_id", "row.title", "row.text"), "last")
-    made = scratch.table(chunks(last, config), "chunks")
-    found = scratch.table(mentions(last, config), "mentions")
-    about = scratch.table(about_edges(found, made), "about")
     given = embedding_of(config)
-    vectors = scratch.table(chunk_vectors(made, given), "vectors")
+    dealt = spread(last)
+    made, found = together(spark, lambda: scratch.table(chunks(dealt, config), "chunks"), lambda: scratch.table(mentions(dealt, config), "mentions"))
+    about, vectors = together(spark, lambda: scratch.table(about_edges(found, made), "about"), lambda: scratch.table(chunk_vectors(made, given), "vectors"))
 
     def change(to: Change) -> dict[str, int]:
         known = to.lookup("documents", last)
@@ -59,21 +60,24 @@ def ingest(store: Snapshots, docs: DataFrame, seq: int, config: EngineConfig = E
         late = scratch.table(late, f"late-{to.base}")
         keep = (lambda rows: rows.join(late, rows["doc_id"].eqNullSafe(late["doc_id"]), "left_anti")) if late.limit(1).count() else (lambda rows: rows)
         taken = keep(last.select("doc_id", "title"))
-        before = [to.lookup(n, taken) for n in ("mentions", "about")]
+        before = together(spark, *(lambda n=n: to.lookup(n, taken) for n in ("mentions", "about")))
         amounts = entity_counts(keep(found), keep(about))
         if before[0] is not None:
             gone = entity_counts(*before).select("entity", (-F.col("n_docs")).alias("n_docs"), (-F.col("degree")).alias("degree"))
             amounts = amounts.unionByName(gone).groupBy("entity").agg(F.sum("n_docs").alias("n_docs"), F.sum("degree").alias("degree")).where("n_docs <> 0 OR degree <> 0")
-        to.add("entities", amounts, ["entity"])
-        to.put("documents", taken.withColumn("seq", F.lit(seq).cast("bigint")), taken, DOC, DOC)
+        same = to.state["properties"].get("embedding") == given
+        # vectors of all chunks are made of the chunks with those of this batch
         to.put("chunks", keep(made), taken, DOC, ["chunk_id"])
-        to.put("mentions", keep(found), taken, DOC, ["doc_id", "entity"])
-        to.put("about", keep(about), taken, DOC, ["chunk_id", "entity"])
-        if to.state["properties"].get("embedding") == given:
-            put_vectors(to, keep(vectors), taken)
-        else:
-            embed_all(to, given)
-        return {"documents": taken.count(), "chunks": keep(made).count(), "mentions": keep(found).count(), "vectors": keep(vectors).count()}
+        together(
+            spark,
+            lambda: to.add("entities", amounts, ["entity"]),
+            lambda: to.put("documents", taken.withColumn("seq", F.lit(seq).cast("bigint")), taken, DOC, DOC),
+            lambda: to.put("mentions", keep(found), taken, DOC, ["doc_id", "entity"]),
+            lambda: to.put("about", keep(about), taken, DOC, ["chunk_id", "entity"]),
+            lambda: put_vectors(to, keep(vectors), taken) if same else embed_all(to, given),
+        )
+        rows = {"documents": taken, "chunks": keep(made), "mentions": keep(found), "vectors": keep(vectors)}
+        return dict(zip(rows, together(spark, *(rows[n].count for n in rows)), strict=True))
 
     counts = store.commit(change)
     scratch.clear()

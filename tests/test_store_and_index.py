@@ -14,7 +14,7 @@ from ravelin.operators import nearest, retrieval, vector_index
 from ravelin.operators.graph import degrees
 from ravelin.operators.versions import Conflict, Snapshots
 from ravelin.plans.ask import ask
-from ravelin.scratch import file_system
+from ravelin.scratch import file_system, together
 from ravelin.streaming import ingest
 
 DOCS = "doc_id long, title string, text string"
@@ -99,6 +99,26 @@ def test_a_crash_between_tables_shows_nothing(spark, monkeypatch):
     assert rows_of(store) == before and store.version() == version
 
 
+def test_steps_at_the_same_time_all_end_and_one_error_leaves_nothing(spark):
+    assert together(spark, lambda: spark.range(3).count(), lambda: spark.range(5).count()) == [3, 5]
+    store, ended = Snapshots(spark, new()), []
+    rows = spark.createDataFrame([(1, "a")], "id long, v string")
+
+    def fails():
+        raise RuntimeError("stop")
+
+    def slow():
+        time.sleep(0.5)
+        ended.append(1)
+
+    with pytest.raises(RuntimeError, match="stop"):
+        store.commit(lambda c: together(spark, lambda: c.put("t", rows, rows, ["id"]), fails, slow))
+    # the folder of the step that was done is gone, as no version names it
+    assert ended == [1] and store.version() == 0 and not store._named(f"{store.root}/data/t")
+    store.commit(lambda c: together(spark, *(lambda n=n: c.put(n, rows, rows, ["id"]) for n in ("t", "u", "w"))))
+    assert store.version() == 1 and all(store.read(n).collect() == rows.collect() for n in ("t", "u", "w"))
+
+
 def test_readers_keep_their_version_and_old_ones_expire(spark):
     store = Snapshots(spark, new())
     made = lambda rows: spark.createDataFrame(rows, "id long, v string")
