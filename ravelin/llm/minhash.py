@@ -13,12 +13,11 @@ Bands of the signature are bucketed.  A bucket's members are compared first
 with its hub, the one that has most in common with others.  Where that leaves
 more than one class in a bucket, its members are sorted by further coordinates
 of a fresh signature, in ``ORDERS`` orders, and each is compared with the next
-``REACH`` that aren't of its class; this is done in ``ROUNDS`` rounds.  A member
-so has a bounded number of comparisons in each of its ``BANDS`` buckets however
-large they are, and none is left out of them.  Links of the weakest pairs can be
-missed; ``every_pair`` also compares all members of a bucket that aren't known
-to be of one class, which finds every link of a bucket and takes time with the
-square of its size.  Comparisons are weighted Jaccard over the whole texts'
+``REACH`` that aren't of its class; this is done in ``ROUNDS`` rounds, which
+leave few outside the main class of a bucket.  Those are then compared with all
+members of other classes, so that every link of a bucket counts, however large
+the bucket is; only this last step takes time with the product of the two
+numbers.  ``every_pair=False`` leaves it out.  Comparisons are weighted Jaccard over the whole texts'
 shingles, held as 32-bit hashes.  Classes are the connected components of the
 links, found by passing on the least label.
 
@@ -51,6 +50,8 @@ LIKE = 0.8
 BANDS, WIDTH = 25, 5
 #: Rounds of comparing with neighbours, orders of each, neighbours in an order, and 16-bit coordinates that an order sorts by.
 ROUNDS, ORDERS, REACH, DEPTH = 2, 4, 8, 24
+#: Cells of a part of a bucket that is compared with another part at once.
+PART = 1 << 17
 #: Entries that a worker keeps of its map from words to hashes.
 CACHE = 200_000
 
@@ -267,16 +268,59 @@ def _linked(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:
     return sized.where(F.col("inside") >= like * (F.col("nx") + F.col("ny") - F.col("inside"))).select("a", "b")
 
 
-def _every_pair(scratch: Scratch, mingled: DataFrame, sets: DataFrame, like: float) -> DataFrame:
-    """Pairs a < b of a bucket's members outside its main class with all of its members, where they can be alike."""
-    bands = sets.select("id", "bands")
-    picked = mingled.where("label != main").join(bands, "id").select("bucket", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("label").alias("hl"), F.col("bands").alias("hbands"))
-    picked, banded = scratch.table(picked, "picked"), scratch.table(mingled.join(bands, "id"), "all-banded")
-    # a pair counts in the first bucket that it shares, and once
-    first = F.get("bands", (F.array_position(F.zip_with("bands", "hbands", lambda x, y: x == y), True) - 1).cast("int")) == banded["bucket"]
-    once = first & ~((F.col("label") != F.col("main")) & (F.col("id") > F.col("h")))
-    near = (F.col("label") != F.col("hl")) & _can_be_alike(F.col("n"), F.col("s"), F.col("hn"), F.col("hs"), like) & once
-    return banded.join(picked, (banded["bucket"] == picked["bucket"]) & near).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
+def _met_in_part(like: float):
+    """Links (a, b) of two labels between the rows of side 0 and of side 1, counted by the cells that they have in common."""
+
+    def run(part: pa.Table) -> pa.Table:
+        side, id_, n, label = (part[c].to_numpy() for c in ("side", "id", "n", "label"))
+        cells = part["cells"].combine_chunks()
+        cells = pa.concat_arrays(cells.chunks) if isinstance(cells, pa.ChunkedArray) else cells
+        owner = np.repeat(np.arange(len(id_)), np.diff(cells.offsets.to_numpy()))
+        value = cells.flatten().to_numpy()
+        order = np.lexsort((owner, value))
+        value, owner = value[order], owner[order]
+        once = np.r_[True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])] if len(value) else np.empty(0, bool)
+        value, owner = value[once], owner[once]
+        right = np.flatnonzero(side == 1)
+        place = np.cumsum(side == 1) - 1
+        held = side[owner] == 1
+        there, whose = value[held], place[owner[held]]
+        mine = np.flatnonzero(~held)
+        mine = mine[np.argsort(owner[mine], kind="stable")]
+        lefts, starts = np.unique(owner[mine], return_index=True)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for left, own in zip(lefts, np.split(value[mine], starts[1:]), strict=True):
+            low, many = np.searchsorted(there, own), np.searchsorted(there, own, "right")
+            many -= low
+            at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            inside = np.bincount(whose[at], minlength=len(right))
+            good = right[(inside >= like * (n[left] + n[right] - inside)) & (label[right] != label[left])]
+            found.append((np.minimum(id_[left], id_[good]), np.maximum(id_[left], id_[good])))
+        ends = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.empty(0, np.int64)] * 2
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+    return run
+
+
+def _every_link(scratch: Scratch, now: DataFrame, sets: DataFrame, like: float) -> DataFrame:
+    """All links a < b of two labels between members of a bucket (rows bucket, id, n, s, label).
+
+    Members outside the bucket's most common label are compared with all of it.
+    Both are dealt into parts of about ``PART`` cells, so that a task's group is
+    one part against another and a large bucket is many of them.  Buckets of at
+    most ``REACH + 1`` members have met whole in every order.
+    """
+    labels = now.groupBy("bucket", "label").agg(F.count("*").alias("many"), F.sum("n").alias("cells"))
+    sized = labels.groupBy("bucket").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.max(F.struct("many", "label", "cells"))["cells"].alias("own"), F.sum("many").alias("members"), F.sum("cells").alias("total"), F.count("*").alias("kinds"))
+    parts = [F.ceil(c / PART).cast("int") for c in (F.col("total") - F.col("own"), F.col("total"))]
+    large = scratch.table(sized.where((F.col("kinds") > 1) & (F.col("members") > REACH + 1)).select("bucket", "main", *(p.alias(c) for p, c in zip(parts, ("lefts", "rights"), strict=True))), "large")
+    rows = now.join(large, "bucket").select("bucket", "id", F.col("n").cast("bigint").alias("n"), "label", "main", "lefts", "rights").join(sets.select("id", "cells"), "id")
+    columns = ["bucket", "side", "left", "right", "id", "n", "label", "cells"]
+    dealt = [F.pmod(F.xxhash64("id"), F.col(c)).cast("int") for c in ("lefts", "rights")]
+    outside = rows.where("label != main").select("*", F.lit(0).alias("side"), dealt[0].alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"))
+    every = rows.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), dealt[1].alias("right"))
+    both = outside.select(*columns).unionByName(every.select(*columns))
+    return both.groupBy("bucket", "left", "right").applyInArrow(_met_in_part(like), "a bigint, b bigint").distinct()
 
 
 def classes(docs: DataFrame, like: float = LIKE, every_pair: bool = False) -> DataFrame:
@@ -299,7 +343,7 @@ def classes(docs: DataFrame, like: float = LIKE, every_pair: bool = False) -> Da
         scratch.drop(name)
     labels = scratch.table(shared.select("id").distinct().withColumn("label", F.col("id")), "labels")
     tested = None
-    for step in range(1 + ROUNDS + every_pair):
+    for step in range(1 + ROUNDS):
         now = scratch.table(shared.join(labels, "id"), f"{step}-now")
         # the hub has most in common with others
         most = F.struct(F.col("s") / F.col("n"), "id")
@@ -311,13 +355,11 @@ def classes(docs: DataFrame, like: float = LIKE, every_pair: bool = False) -> Da
             picked = scratch.table(picked, "hubs")
             near = (F.col("label") != F.col("hl")) & _can_be_alike(F.col("n"), F.col("s"), F.col("hn"), F.col("hs"), like)
             pairs = mingled.join(picked, (mingled["bucket"] == picked["bucket"]) & near).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
-        elif step <= ROUNDS:
+        else:
             far = _further(sets.join(mingled.select("id").distinct(), "id", "left_semi"), step)
             banded = scratch.table(mingled.select("bucket", "id", F.col("n").cast("bigint").alias("n"), "s", "label").join(scratch.table(far, f"{step}-far"), "id"), f"{step}-banded")
             found = [scratch.table(_neighbours(scratch, f"{step}-order-{order}", banded, order, like), f"{step}-order-{order}") for order in range(ORDERS)]
             pairs = reduce(DataFrame.unionByName, found).distinct()
-        else:
-            pairs = _every_pair(scratch, mingled, sets, like)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, f"{step}-pairs")
@@ -328,6 +370,10 @@ def classes(docs: DataFrame, like: float = LIKE, every_pair: bool = False) -> Da
         labels = components(scratch, f"{step}-components", labels, links)
         for name in ("now", "ends", "mingled", "far", "banded", *(f"order-{order}{end}" for order in range(ORDERS) for end in ("", "-sides"))):
             scratch.drop(f"{step}-{name}")
+    if every_pair:
+        links = scratch.table(_every_link(scratch, shared.join(labels, "id"), sets, like), "rest-links")
+        links = links.unionByName(labels.where("id != label").select(F.col("label").alias("a"), F.col("id").alias("b")))
+        labels = components(scratch, "rest-components", labels, links)
     known = scratch.table(copies.join(labels, "id", "left").select("k1", "k2", "id", F.coalesce("label", "id").alias("label")), "known")
     ids = ["rid", "doc_id", "t1", "t2"]
     named = worded.select(*ids, "k1", "k2").join(known, ["k1", "k2"]).select(*ids, "id", "label")
@@ -345,7 +391,7 @@ def _firsts(made: DataFrame) -> DataFrame:
     return made.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))
 
 
-def near_copies(docs: DataFrame, like: float = LIKE, every_pair: bool = False) -> DataFrame:
+def near_copies(docs: DataFrame, like: float = LIKE, every_pair: bool = True) -> DataFrame:
     """doc_id, class_id (the first doc_id of the class), class_size and kept (whether the row is the first) for each row."""
     made = classes(docs, like, every_pair)
     first = Scratch(docs.sparkSession).table(_firsts(made), "firsts")

@@ -310,3 +310,19 @@ def test_large_blocks_of_queries_take_few_passes(spark, monkeypatch):
     monkeypatch.setattr(topk, "CELLS", 300 * 80)
     assert {tuple(r) for r in topk.top_k(table, every=1).collect()} == want
     assert len(passes) <= 8 and set(passes) == {300}
+
+
+def test_every_link_of_a_large_group_counts(spark, monkeypatch):
+    rows = near_group(random.Random(21), 150)
+    sets = [weighted(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and likeness(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    # with so few neighbours most links are left to the last step, which deals every bucket into several parts
+    for name, value in (("ROUNDS", 1), ("ORDERS", 1), ("REACH", 1), ("PART", 6000)):
+        monkeypatch.setattr(minhash, name, value, raising=False)
+    docs = table_of(spark, rows)
+    assert [r.class_id for r in minhash.near_copies(docs).orderBy("doc_id").collect()] == label
