@@ -323,7 +323,7 @@ def _every_link(scratch: Scratch, now: DataFrame, sets: DataFrame, like: float)
     return both.groupBy("bucket", "left", "right").applyInArrow(_met_in_part(like), "a bigint, b bigint").distinct()
 
 
-def classes(docs: DataFrame, like: float = LIKE, every_pair: bool = False) -> DataFrame:
+def classes(docs: DataFrame, like: float = LIKE, every_pair: bool = True) -> DataFrame:
     """rid, doc_id, t1, t2, id (of the copies' first row), label (of the class) for each row of ``docs``."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(sketched(docs), "rows")

@@ -326,3 +326,4 @@ def test_every_link_of_a_large_group_counts(spark, monkeypatch):
         monkeypatch.setattr(minhash, name, value, raising=False)
     docs = table_of(spark, rows)
     assert [r.class_id for r in minhash.near_copies(docs).orderBy("doc_id").collect()] == label
+    assert {r.doc_id for r in minhash.drop_near_copies(docs).collect()} == set(label)
