@@ -47,6 +47,8 @@ from ravelin.sources.tables import table
 LENGTH, GRAM, GRID = 200, 32, 8
 #: Windows of a text that are worked on at once.
 STRETCH = 1 << 18
+#: Spark's setting by which a written table's shuffles are deleted with the end of its query, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
 _LOW = np.uint64((1 << 20) - 1)
@@ -164,20 +166,35 @@ def window_blocks(open_texts: DataFrame, windows: bool = False) -> DataFrame:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """k1, k2 (text) and windows: array of first and last start of stretches of windows that occur elsewhere too."""
+    conf = docs.sparkSession.conf
+    was = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return _repeated_windows(docs)
+    finally:
+        conf.unset(CLEANUP) if was is None else conf.set(CLEANUP, was)
+
+
+def _repeated_windows(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
+
+    def done(*names: str) -> None:
+        for name in names:
+            scratch.drop(name)
+
     texts = scratch.table(sampled_runs(docs), "runs")
     runs = texts.select("k1", "k2", F.inline(F.arrays_zip("g", "c", "a", "s", "e")))
     twice = runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     met = scratch.table(runs.join(scratch.table(twice, "twice"), "g"), "met")  # others are alone with their sample
-    scratch.drop("runs")
+    done("runs", "twice")
     named = met.groupBy("g", "c").agg(F.count("*").alias("m"), *(F.first(x).alias(x) for x in ("k1", "k2", "a", "s", "e")))
     named = scratch.table(named, "named")
     whole = met.select("g", "c", "k1", "k2", "s", "e").join(named.where("m > 1").select("g", "c"), ["g", "c"], "left_semi").select("k1", "k2", "s", "e").distinct()
     whole = scratch.table(whole, "whole")
-    scratch.drop("met")
+    done("met")
     mixed_up = named.groupBy("g").agg(F.count("*").alias("kinds"), F.min("m").alias("least")).where("kinds > 1 and least = 1").select("g")
     mixed_up = scratch.table(named.join(scratch.table(mixed_up, "mixed-names"), "g"), "open")
-    scratch.drop("named")
+    done("named", "mixed-names")
     item = F.struct("c", "a", "s", "e", (F.col("m") == 1).alias("single"), "low", "high")
 
     def opened(runs: DataFrame, name: str) -> DataFrame:
@@ -190,9 +207,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # blocks between the first and the last that meet are hashed too; those that meet nothing drop out below
     spots = blocks.join(scratch.table(cores, "cores"), "core").groupBy("c").agg(F.min("j").alias("low"), F.max("j").alias("high"))
     spots = scratch.table(spots, "spots")
-    scratch.drop("blocks")
+    done("blocks", "open-texts", "cores")
     close = window_blocks(opened(mixed_up.join(spots, "c"), "close-texts"), windows=True).select("core", "c", "single", "j", F.posexplode("wins").alias("x", "h")).where("h != 0")
     close = scratch.table(close.select("core", "h", "c", "single", (F.col("j") * GRID + F.col("x")).alias("o")), "close")
+    done("spots", "close-texts")
     equal = close.groupBy("core", "h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("single").alias("any")).where("low != high and any").select("core", "h")
     # a run has fewer windows than LENGTH: its hits become ranges before they meet its text
     hit = close.where("single").join(scratch.table(equal, "equal"), ["core", "h"]).groupBy("c").agg(F.sort_array(F.collect_set("o")).alias("os"))
@@ -203,7 +221,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     spans = hit.select("c", F.explode(F.arrays_zip(low.alias("low"), high.alias("high"))).alias("x")).join(single, "c")
     part = spans.select("k1", "k2", (F.col("a") - F.col("x.high")).alias("s"), (F.col("a") - F.col("x.low")).alias("e"))
     every = whole.unionByName(part).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("windows"))
-    return scratch.table(every, "windows")
+    made = scratch.table(every, "windows")
+    done("whole", "open", "close", "equal")
+    return made
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:

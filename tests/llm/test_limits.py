@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import time
 import zlib
@@ -328,3 +329,17 @@ def test_every_link_of_a_large_group_counts(spark, monkeypatch):
     docs = table_of(spark, rows)
     assert [r.class_id for r in minhash.near_copies(docs).orderBy("doc_id").collect()] == label
     assert {r.doc_id for r in minhash.drop_near_copies(docs).collect()} == set(label)
+
+
+def test_repeats_leave_neither_tables_nor_shuffles(spark):
+    folder = suffix_dedup.Scratch(spark).root.rsplit("/", 1)[0].removeprefix("file://")
+    was = set(os.listdir(folder))
+    rng = random.Random(15)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    docs = table_of(spark, [(1, body), (2, body[:500] + "!" + body[500:]), (3, body[100:]), (4, body)])
+    seen = []
+    found = suffix_dedup.repeated_windows(docs)
+    for name in set(os.listdir(folder)) - was:
+        seen += os.listdir(f"{folder}/{name}")
+    assert seen == ["windows"] and found.count() == 3
+    assert spark.conf.get(suffix_dedup.CLEANUP, None) is None
