@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables of so few rows (counted first) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
+#: Spark's setting of the bytes of a batch for Python; an executor and its workers hold a few copies of a batch for each task.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch where an operator writes tables; a longer text is a batch of its own.
+BATCH_BYTES = 1 << 22
+
 # The letters that are lower-cased, the characters that words are made of, and those between words once lower-cased.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -20,6 +29,31 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for what is run inside."""
+    was = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in was.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def small_batches(spark: SparkSession):
+    """Batches of ``BATCH_BYTES`` for what is run inside, unless the session sets another size."""
+    return settings(spark, {} if spark.conf.get(BATCH, None) else {BATCH: str(BATCH_BYTES)})
+
+
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that only so many texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     plain = F.octet_length(text) == F.char_length(text)

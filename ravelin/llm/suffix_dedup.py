@@ -36,10 +36,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import digest
+from ravelin.llm.common import digest, few_rows, settings, small_batches
 from ravelin.llm.minhash import mixed
 from ravelin.scratch import Scratch
 from ravelin.sources.tables import table
@@ -49,6 +50,8 @@ LENGTH, GRAM, GRID = 200, 32, 8
 STRETCH = 1 << 18
 #: Spark's setting by which a written table's shuffles are deleted with the end of its query, not when the driver collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Texts of a batch that are worked on at once.
+TEXTS = 256
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
 _LOW = np.uint64((1 << 20) - 1)
@@ -110,7 +113,7 @@ def sampled_runs(docs: DataFrame) -> DataFrame:
     """k1, k2 (text) and for each run: name g of the sample, hash c of all its bytes, sample a, first window s, last window e."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches, TEXTS):
             made: list[list[np.ndarray]] = []
             for text in batch.column(2).to_pylist():
                 parts = []
@@ -134,13 +137,15 @@ def window_blocks(open_texts: DataFrame, windows: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for batch in batches:
-            for key, text, runs in zip(zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for batch in few_rows(batches, TEXTS):
+            ends = np.cumsum([0, *pc.list_value_length(batch.column(3)).to_pylist()])
+            fields = [x.to_numpy(zero_copy_only=False) for x in pc.list_flatten(batch.column(3)).flatten()]
+            for key, text, low, high in zip(zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True), batch.column(2).to_pylist(), ends[:-1], ends[1:], strict=True):
                 if key == last:
                     continue  # a copy of the text before has the same windows
                 last = key
                 data = (text or "").encode("utf-8", "surrogatepass")
-                c, a, s, e, single, first, last_ = (np.array([r[k] for r in runs]) for k in ("c", "a", "s", "e", "single", "low", "high"))
+                c, a, s, e, single, first, last_ = (x[low:high] for x in fields)
                 for start, x in stretches(data):
                     mine = np.flatnonzero((s >= start) & (s < start + STRETCH))  # runs don't cross stretches
                     if not len(mine):
@@ -166,13 +171,9 @@ def window_blocks(open_texts: DataFrame, windows: bool = False) -> DataFrame:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """k1, k2 (text) and windows: array of first and last start of stretches of windows that occur elsewhere too."""
-    conf = docs.sparkSession.conf
-    was = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
-    try:
+    spark = docs.sparkSession
+    with settings(spark, {CLEANUP: "true"}), small_batches(spark):
         return _repeated_windows(docs)
-    finally:
-        conf.unset(CLEANUP) if was is None else conf.set(CLEANUP, was)
 
 
 def _repeated_windows(docs: DataFrame) -> DataFrame:
@@ -229,24 +230,15 @@ def _repeated_windows(docs: DataFrame) -> DataFrame:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, and spans (array of start and end in bytes, in order) that go, for each row."""
     found = repeated_windows(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", *digest(F.coalesce("text", F.lit(""))), "text").join(found, ["k1", "k2"], "left").select("doc_id", "text", "windows")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = []
-            for windows in batch.column(2).to_pylist():
-                own: list[list[int]] = []
-                for s, e in sorted((w["s"], w["e"] + LENGTH) for w in windows or ()):
-                    if own and s <= own[-1][1]:
-                        own[-1][1] = max(own[-1][1], e)
-                    else:
-                        own.append([s, e])
-                spans.append([{"start": s, "end": e} for s, e in own])
-            kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kinds)], names=["doc_id", "text", "spans"])
-
-    return rows.mapInArrow(run, f"doc_id {kind}, text string, spans array<struct<start: bigint, end: bigint>>")
+    # ranges of windows don't overlap, so that their ends are in order too
+    own = found.select("k1", "k2", F.sort_array("windows").alias("w"))
+    first = F.filter("w", lambda x, i: (i == 0) | (x["s"] > F.get("w", i - 1)["e"] + LENGTH))
+    last = F.filter("w", lambda x, i: F.coalesce(F.get("w", i + 1)["s"] > x["e"] + LENGTH, F.lit(True)))
+    spans = F.zip_with(first, last, lambda a, b: F.struct(a["s"].alias("start"), (b["e"] + LENGTH).alias("end")))
+    spanned = own.select("k1", "k2", spans.alias("spans"))
+    rows = docs.select("doc_id", *digest(F.coalesce("text", F.lit(""))), "text").join(spanned, ["k1", "k2"], "left")
+    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
+    return rows.select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
 
 
 def kept_digests(spanned: DataFrame) -> DataFrame:
@@ -254,7 +246,7 @@ def kept_digests(spanned: DataFrame) -> DataFrame:
     kind = spanned.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches, TEXTS):
             out: list[tuple] = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")

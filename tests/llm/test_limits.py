@@ -11,8 +11,9 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from ravelin.llm import chat, decontamination, html_text, language_model, line_dedup, minhash, packing, suffix_dedup, topk, toxicity
-from tests.llm.test_operators import likeness, order, restated_hits, restated_lines, weighted
+from ravelin.llm import chat, common, decontamination, html_text, language_model, line_dedup, minhash, packing, suffix_dedup, topk, toxicity
+from ravelin.scratch import Scratch
+from tests.llm.test_operators import likeness, order, restated_bytes, restated_hits, restated_lines, weighted
 
 
 def table_of(spark, rows):
@@ -343,3 +344,22 @@ def test_repeats_leave_neither_tables_nor_shuffles(spark):
         seen += os.listdir(f"{folder}/{name}")
     assert seen == ["windows"] and found.count() == 3
     assert spark.conf.get(suffix_dedup.CLEANUP, None) is None
+
+
+def batch_settings(spark, monkeypatch):
+    """The setting of a batch's bytes while each table is written."""
+    seen, write = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: (seen.append(spark.conf.get(common.BATCH, None)), write(self, df, name))[1])
+    return seen
+
+
+def test_repeats_are_found_in_small_batches_and_one_python_step_is_left(spark, monkeypatch):
+    seen = batch_settings(spark, monkeypatch)
+    monkeypatch.setattr(common, "BATCH_BYTES", 3000)
+    rng = random.Random(16)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    rows = [(i, body[20 * i : 20 * i + 400] + str(i) * 30) for i in range(20)] + [(30, body), (31, body), (32, None), (33, "x")]
+    out = suffix_dedup.kept_digests(suffix_dedup.removed_spans(table_of(spark, rows).coalesce(1)))
+    assert set(seen) == {"3000"} and spark.conf.get(common.BATCH, None) is None
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert order(out.collect()) == order(restated_bytes(rows))
