@@ -142,9 +142,9 @@ def _by_id(state: dict, rows: np.ndarray, ids: np.ndarray, score: np.ndarray):
     return np.broadcast_to(~ids, score.shape), score == state["tied"][rows][:, None]
 
 
-def search_block(vectors: DataFrame, queries: list, k: int, longest: float, least_id: int, most_id: int) -> DataFrame:
-    """query_id, vec_id, score of the best of one block of queries (rows of vec_id and v)."""
-    bins = max(FEWEST, min(BINS, CELLS // len(queries)))
+def search_block(vectors: DataFrame, queries: list, k: int, longest: float, least_id: int, most_id: int, bins: int | None = None) -> DataFrame:
+    """query_id, vec_id, score of the best of one block of queries (rows of vec_id and v), by ``bins`` bins in a pass (None: by the number of queries)."""
+    bins = bins or max(FEWEST, min(BINS, CELLS // len(queries)))
     base = {"ids": np.array([r["vec_id"] for r in queries], np.int64), "v": [r["v"] for r in queries], "dims": np.array([len(r["v"]) for r in queries])}
     norms = np.array([np.sqrt(np.square(np.array(v, float)).sum()) for v in base["v"]])
     top = np.minimum(np.ceil(norms * longest * (1 + 1e-9)) + 1, 2.0**61).astype(np.int64)
