@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import digest
+from ravelin.llm.common import digest, small_batches
 from ravelin.scratch import Scratch
 from ravelin.sources.tables import table
 
@@ -325,6 +325,11 @@ def _every_link(scratch: Scratch, now: DataFrame, sets: DataFrame, like: float)
 
 def classes(docs: DataFrame, like: float = LIKE, every_pair: bool = True) -> DataFrame:
     """rid, doc_id, t1, t2, id (of the copies' first row), label (of the class) for each row of ``docs``."""
+    with small_batches(docs.sparkSession):
+        return _classes(docs, like, every_pair)
+
+
+def _classes(docs: DataFrame, like: float, every_pair: bool) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(sketched(docs), "rows")
     worded = rows.where("bands is not null")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ravelin.llm.common import small_batches
 from ravelin.scratch import Scratch
 from ravelin.sources.tables import table
 
@@ -291,7 +292,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """Tokenize, cut and pack all documents; one row per piece."""
-    pieces = Scratch(docs.sparkSession).table(token_pieces(docs, tokenizer, capacity), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = Scratch(docs.sparkSession).table(token_pieces(docs, tokenizer, capacity), "pieces")
     return pack(pieces, capacity, rounds)
 
 

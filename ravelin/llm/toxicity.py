@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ravelin.llm.common import digest, small, small_batches
+from ravelin.scratch import Scratch
 from ravelin.sources.tables import table
 
 BITS = 18
@@ -159,19 +161,31 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not predicted toxic."""
-    weight, bias = train(docs, labels, folds)
-    shared = docs.sparkSession.sparkContext.broadcast((weight.astype(np.float32), float(bias)))
-    at = docs.columns.index("text")
+def toxic_texts(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """k1, k2 (text) of the distinct texts that are predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), float(model[1])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value
         for batch in batches:
-            keep = [bias + weight[features(t)].sum(dtype=np.float64) < 0 for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            gone = [not bias + weight[features(t)].sum(dtype=np.float64) < 0 for t in batch.column(2).to_pylist()]
+            yield batch.select([0, 1]).filter(pa.array(gone, pa.bool_()))
+
+    return docs.select(*digest(F.coalesce("text", F.lit(""))), "text").mapInArrow(run, "k1 bigint, k2 bigint").distinct()
 
-    return docs.mapInArrow(run, docs.schema)
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not predicted toxic.
+
+    Python sees each text, but only the keys of toxic ones come back: whole
+    rows sent there and back would be held several times by every task.
+    """
+    spark = docs.sparkSession
+    with small_batches(spark):
+        toxic = Scratch(spark).table(toxic_texts(docs, train(docs, labels, folds)), "toxic")
+    names = docs.columns
+    rows = docs.select(*(F.col(c).alias(f"_{x}") for x, c in enumerate(names)), *digest(F.coalesce("text", F.lit(""))))
+    return rows.join(small(toxic), ["k1", "k2"], "left_anti").select(*(F.col(f"_{x}").alias(c) for x, c in enumerate(names)))
 
 
 def op3_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

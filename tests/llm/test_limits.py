@@ -363,3 +363,37 @@ def test_repeats_are_found_in_small_batches_and_one_python_step_is_left(spark, m
     assert set(seen) == {"3000"} and spark.conf.get(common.BATCH, None) is None
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert order(out.collect()) == order(restated_bytes(rows))
+
+
+def test_toxic_rows_go_without_a_way_through_python(spark, monkeypatch):
+    seen = batch_settings(spark, monkeypatch)
+    bad, good = "vile nasty words here", "calm plain words there"
+    rows = [(i, f"{bad if i % 3 == 0 else good} {i % 5}") for i in range(60)] + [(None, f"{bad} 1"), (3, f"{bad} 3"), (70, None), (71, ""), (71, "")]
+    docs = table_of(spark, rows).select("doc_id", "text", F.lit(7).alias("k1"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 60)], "doc_id long, toxic int")
+    weight, bias = toxicity.train(docs, labels)
+    want = [(i, t, 7) for i, t in rows if bias + weight.astype(np.float32)[toxicity.features(t)].sum(dtype=np.float64) < 0]
+    out = toxicity.drop_toxic(docs, labels)
+    assert 0 < len(want) < len(rows) and out.columns == docs.columns
+    assert order(out.collect()) == order(want)
+    assert seen == [str(common.BATCH_BYTES)] and spark.conf.get(common.BATCH, None) is None
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_classes_are_the_same_in_small_batches(spark, monkeypatch):
+    seen = batch_settings(spark, monkeypatch)
+    rng = random.Random(17)
+    base = [[str(rng.randrange(500)) for _ in range(60)] for _ in range(4)]
+    rows = [(i, " ".join([*base[i % 4][:-1], f"w{i}"])) for i in range(80)]
+    found = []
+    for size in (1 << 26, 2000):
+        monkeypatch.setattr(common, "BATCH_BYTES", size)
+        found.append(order(minhash.near_copies(table_of(spark, rows).coalesce(1)).collect()))
+    assert found[0] == found[1] and {r[1] for r in found[0]} == {0, 1, 2, 3}
+    assert {str(1 << 26), "2000"} <= set(seen)
+
+
+def test_pieces_are_written_in_small_batches(spark, monkeypatch):
+    seen = batch_settings(spark, monkeypatch)
+    assert packing.pack_documents(table_of(spark, [(1, "a b c"), (2, None)])).count() == 2
+    assert seen == [str(common.BATCH_BYTES)]
