@@ -53,6 +53,7 @@ class EngineConfig:
     crawl_pages: int = 5
     crawl_chars: int = 20_000
     crawl_rate_sec: float = 1.0
+    bare_references: bool = True
     paste_bytes: int = 5 * 1024 * 1024
     ask_bytes: int = 1024 * 1024
     provider: str = "stub"
@@ -80,7 +81,7 @@ class EngineConfig:
             positive_int: ("top_k", "chunk_tokens", "embedding_dim", "crawl_chars", "paste_bytes", "ask_bytes", "graph_degree"),
             whole_int: ("chunk_overlap", "crawl_depth", "crawl_pages"),
             seconds: ("crawl_rate_sec", "model_timeout_sec"),
-            switch: ("allow_urls",),
+            switch: ("allow_urls", "bare_references"),
         }
         given = {name: read(told(name), getattr(base, name)) for read, names in kinds.items() for name in names}
         names = {name: (told(name) or getattr(base, name)).strip().lower() for name in ("provider", "embedding")}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import quote, unquote, urljoin, urlparse, urlunparse
 from urllib.robotparser import RobotFileParser
@@ -27,14 +29,22 @@ REMOVED = ("script", "style", "noscript", "template", "nav", "footer", "form", "
 LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 HOLDERS = ("article", "main", "body")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: An ampersand, with the reference that it begins where that has its semicolon.
+REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*;)?")
+LITERAL = "&#38;"
+
+
+def only_ended(html: str) -> str:
+    """``html`` in which ampersands stand for themselves where no reference with a semicolon begins."""
+    return REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else LITERAL + m[0][1:], html)
 
 
 class _Reader(HTMLParser):
     """Lines of the headings and paragraphs by the container they stand in, the title, the canonical reference and the references of links."""
 
-    def __init__(self, removed: tuple[str, ...]) -> None:
+    def __init__(self, removed: tuple[str, ...], bare: bool) -> None:
         super().__init__(convert_charrefs=True)
-        self.removed, self.gone = removed, 0
+        self.removed, self.bare, self.gone = removed, bare, 0
         self.open: list[tuple[str, list[str] | None]] = []
         self.counts: Counter[str] = Counter()
         self.lines: list[tuple[str, list[str]]] = []
@@ -86,20 +96,22 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data):
-        text = data.strip()
+        text = (data.replace(LITERAL, "&") if self.cdata_elem and not self.bare else data).strip()
         if text and not self.gone:
             for line in self.live:
                 line.append(text)
 
 
-def read_page(html: str | None, removed: tuple[str, ...] = REMOVED) -> tuple[str, str, str | None, list[str]]:
+def read_page(html: str | None, removed: tuple[str, ...] = REMOVED, bare: bool = True) -> tuple[str, str, str | None, list[str]]:
     """Text of a page (of its first article, else main, else body, else all of it), its title, canonical reference and the references of its links.
 
+    Character references without a semicolon (a text cut off within ``&amp;``)
+    are decoded as parsers do, or with ``bare=False`` left as they stand.
     A paragraph that is never ended holds all that follows, so n of them within
     each other have texts of a size that grows with the square of n.
     """
-    reader = _Reader(removed)
-    reader.feed(html or "")
+    reader = _Reader(removed, bare)
+    reader.feed((html or "") if bare else only_ended(html or ""))
     reader.close()
     holder = next((h for h in HOLDERS if h in reader.seen), None)
     lines = [" ".join(parts) for around, parts in reader.lines if parts and (holder is None or holder in around)]
@@ -114,10 +126,11 @@ def _joined(base: str | None, reference: str) -> str | None:
         return None
 
 
-def page_texts(pages: DataFrame, removed: tuple[str, ...] = REMOVED) -> DataFrame:
+def page_texts(pages: DataFrame, removed: tuple[str, ...] = REMOVED, bare: bool = True) -> DataFrame:
     """page_id, url, canonical_url, title, content and links (distinct normalised links to the page's own origin, sorted) of every page.
 
-    Elements of the names ``removed`` count for nothing, their links included.
+    Elements of the names ``removed`` count for nothing, their links included;
+    ``bare`` is ``read_page``'s.
     A page without a title has its canonical address as title.
     """
 
@@ -125,7 +138,7 @@ def page_texts(pages: DataFrame, removed: tuple[str, ...] = REMOVED) -> DataFram
         for batch in batches:
             out = []
             for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text, title, canonical, hrefs = read_page(html, removed)
+                text, title, canonical, hrefs = read_page(html, removed, bare)
                 base = (_joined(url, canonical) if canonical else None) or url
                 out.append((base, title, text, [x for x in dict.fromkeys(_joined(base, h) for h in hrefs) if x]))
             kinds = {"canonical": pa.string(), "title": pa.string(), "content": pa.string(), "links": pa.list_(pa.string())}
@@ -280,7 +293,7 @@ def crawl_outcomes(roots: DataFrame, pages: DataFrame, robots: DataFrame, config
     at = at.withColumn("kind", F.lower(given("content_type", F.lit("text/html")))).withColumn("status", given("status", F.lit(200)))
     first = at.join(at.groupBy("at").agg(F.min("page_id").alias("page_id")), ["at", "page_id"], "left_semi")
     first = scratch.table(first.select("at", "page_id", "kind", "status", "answered", "html").dropDuplicates(["at"]), "first")
-    read = page_texts(first.select(F.col("at").alias("page_id"), F.col("answered").alias("url"), "html")).drop("url").withColumnRenamed("page_id", "at")
+    read = page_texts(first.select(F.col("at").alias("page_id"), F.col("answered").alias("url"), "html"), bare=config.bare_references).drop("url").withColumnRenamed("page_id", "at")
     stored = first.drop("html").join(read, "at").withColumnRenamed("canonical_url", "canonical").withColumn("answered", U.normalised(F.col("answered")))
     stored = scratch.table(stored.withColumn("sha1", F.sha1("content")).withColumn("n_chars", F.char_length("content").cast("bigint")), "stored")
     rules = scratch.table(robot_rules(robots), "rules")

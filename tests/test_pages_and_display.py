@@ -1,6 +1,7 @@
 import random
 from urllib.robotparser import RobotFileParser
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ravelin.functions import urls as U
 from ravelin.operators import history, providers, web
 from ravelin.operators.ranks import running
 from ravelin.operators.versions import Snapshots
+from ravelin.plans import catalogue
 from ravelin.streaming import ingest
 
 
@@ -206,3 +208,25 @@ def test_server_replies(spark):
     wanted = spark.createDataFrame([(1, "tiny"), (2, "small"), (3, "big")], "priority int, model string")
     got = {(r.host, r.provider_override): (r.provider, r.provider_kind, r.model) for r in providers.chosen(asked, tags, wanted).collect()}
     assert got == {("h", "auto"): ("ollama", "local", "small"), ("h", "groq"): ("groq", "hosted", None), ("i", None): ("stub", "stub", None)}
+
+
+CUT_OFF = ["R &amp;&amp", "R &amp;&am", "&quo", "&quot;a&ampx; b c&#39 d&#39;e", "&copy &copy;&middot", "R & S &; T", "&notit; &amp;lt;"]
+
+
+@pytest.mark.parametrize("name", ["page_dedupe_sha1"])
+def test_cut_off_references_equal_the_sql(spark, tmp_path, name):
+    """Texts that end within a character reference, in titles, headings and paragraphs."""
+    rows = [(k, f"https://a.b/{k}", f"<html><head><title>{t}</title></head><body><article><h1>{t}</h1><p><b>{t}</b> end</p></article></body></html>") for k, t in enumerate(CUT_OFF)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.QUERIES[name](spark, str(tmp_path))
+    made = duckdb.connect()
+    made.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = made.sql(catalogue.ORACLE_SQL[name])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_references_without_a_semicolon(spark):
+    html = "<title>&amp&copy</title><link rel=canonical href='/c?a=1&copy=2'><script>a && b &amp; c</script><p>&ampx; &lt;</p>"
+    assert web.read_page(html)[:2] == ("&x; <", "&©") and web.read_page(html, bare=False) == ("&ampx; <", "&amp&copy", "/c?a=1&copy=2", [])
+    assert web.read_page("<p>t<script>a && b &amp; &copy</script>", (), bare=False)[0] == "t a && b &amp; &copy"
+    assert EngineConfig().bare_references and not EngineConfig.from_env({"RAVELIN_BARE_REFERENCES": "no"}).bare_references
