@@ -213,7 +213,7 @@ def test_server_replies(spark):
 CUT_OFF = ["R &amp;&amp", "R &amp;&am", "&quo", "&quot;a&ampx; b c&#39 d&#39;e", "&copy &copy;&middot", "R & S &; T", "&notit; &amp;lt;"]
 
 
-@pytest.mark.parametrize("name", ["page_dedupe_sha1", "page_main_text"])
+@pytest.mark.parametrize("name", ["page_dedupe_sha1", "page_main_text", "page_title"])
 def test_cut_off_references_equal_the_sql(spark, tmp_path, name):
     """Texts that end within a character reference, in titles, headings and paragraphs."""
     rows = [(k, f"https://a.b/{k}", f"<html><head><title>{t}</title></head><body><article><h1>{t}</h1><p><b>{t}</b> end</p></article></body></html>") for k, t in enumerate(CUT_OFF)]
