@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,6 +69,40 @@ def candidates(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(bare, lambda c: c != "")))
 
 
+# The same for one text in Python: what the expressions find, for steps that read whole texts row by row.
+_PHRASE = re.compile(r"[A-Z][a-z]+(?:[ \t-\r]+[A-Z][a-z]+)*")
+_LONG_WORD = re.compile(r"(?<!\w)[A-Za-z]{4,}+(?!\w)")
+#: Characters that Python splits at and Unicode doesn't call white space, and what Unicode does.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def token_list(text: str | None) -> list[str]:
+    """``tokens`` of one text."""
+    if _SEPARATORS.search(text := text or ""):
+        return [word for word in _WHITE.split(text) if word]
+    return text.split()
+
+
+def window_texts(words: list[str], size: int, overlap: int) -> list[str]:
+    """``windows`` of one list of tokens."""
+    step = size - overlap
+    return [" ".join(words[at : at + size]) for at in range(0, max(len(words) - overlap, min(len(words), 1)), step)]
+
+
+def candidate_list(text: str) -> list[str]:
+    """``candidates`` of one text, in the order in which they are found."""
+    out: dict[str, None] = {}
+    for phrase in _PHRASE.findall(text):
+        lowered = phrase.lower()
+        out[lowered] = None
+        parts = lowered.split()
+        for k in range(1, len(parts)):
+            out[" ".join(parts[k:])] = None
+    out.update(dict.fromkeys(map(str.lower, _LONG_WORD.findall(text))))
+    return list(out)
+
+
 def page_count(text: Column) -> Column:
     """Form feeds and one; 0 for null or empty text."""
     feeds = F.char_length(text) - F.char_length(F.replace(text, F.lit("\f"), F.lit("")))

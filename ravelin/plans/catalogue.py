@@ -87,7 +87,7 @@ def entity_degrees(c: Corpus) -> DataFrame:
 
 @query
 def entity_neighbours(c: Corpus) -> DataFrame:
-    near = graph.neighbourhood(c.about, 3).join(c.documents.select("doc_id", "title"), "doc_id", "left")
+    near = graph.neighbourhood(c.about.drop("chunk_id"), 3).withColumn("chunk_id", chunking.chunk_id()).join(c.documents.select("doc_id", "title"), "doc_id", "left")
     return near.select("entity", "place", "chunk_id", "doc_id", "title")
 
 

@@ -1,13 +1,15 @@
 import math
+import random
 import time
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ravelin.config import EngineConfig
 from ravelin.functions import vectors as V
-from ravelin.operators import answer, graph, planner, providers, retrieval, store
+from ravelin.operators import answer, chunking, graph, planner, providers, retrieval, store
 from ravelin.operators.versions import Snapshots
 from ravelin.plans.corpus import Corpus, placed
 from ravelin.scratch import Scratch
@@ -223,3 +225,34 @@ def test_first_titles_and_requests(spark):
     assert [(r.url, r.error) for r in got] == [("https://a.b", None), ("\u00a0", "empty_url"), (None, "blank_url"), ("HTTP://a", "not_http"), ("http://a", "max_depth_below_0"), ("http://a", "max_pages_below_1")]
     toggles = spark.createDataFrame([(1, " OLLAMA"), (2, "stub"), (3, None)], "i int, provider string")
     assert [(r.provider, r.error) for r in planner.validated_toggles(toggles).orderBy("i").collect()] == [("ollama", None), ("stub", "unknown_provider"), (None, "blank_provider")]
+
+
+def linked_texts():
+    rng = random.Random(3)
+    words = ["North", "of", "Southern Sea", "eastward", "thé", "wörd", "one_two", "McDonald", "St9", "Ends\x1cHere", "a\xa0b", "KelvinK", "İstanbul Road", "\n", "end-less", "ABCDe"]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 3, 8, 20, 21, 90, 400, 2000)]
+    return [(k, t) for k, t in enumerate([*texts, None, "", "In The North\nOf Southern Lands " * 9])]
+
+
+@pytest.mark.parametrize("rows", [linked_texts(), [*linked_texts(), (3, "Other Words here"), (7, "North again"), (None, "Lost Text"), (None, "Lost Text again")]])
+def test_links_hold_mentions_and_edges(spark, rows):
+    """What the joins of mentions and chunks give, worked out document by document; rows of one id (or none) meet as before."""
+    config = EngineConfig(chunk_tokens=8, chunk_overlap=2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    linked = Scratch(spark).table(graph.links(docs, config), "links")
+    found, made = graph.mentions(docs, config), chunking.chunks(docs, config)
+    sort = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert sort(graph.linked_mentions(linked)) == sort(found)
+    assert sort(graph.linked_edges(linked)) == sort(graph.about_edges(found, made).select("chunk_id", "doc_id", "ord", "entity"))
+
+
+def test_links_of_distinct_documents_are_not_shuffled(spark):
+    """Each document is read once where it lies, and batches of results are bounded by entities, not by documents."""
+    docs = spark.createDataFrame(linked_texts(), "doc_id long, text string").coalesce(1)
+    plan = graph.links(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32())])
+    made = graph._in_batches(((k, graph.ENTITIES // 4) for k in range(41)), schema, lambda row: row[1])
+    assert [batch.num_rows for batch in made] == [4] * 10 + [1]
+    few = graph._few(iter([pa.record_batch([list(range(1000))], names=["x"])]))
+    assert [x for x, in few] == list(range(1000))
