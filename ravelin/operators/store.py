@@ -22,9 +22,13 @@ def entity_nodes(names: DataFrame, keep: str = "last") -> DataFrame:
 
 
 def linked(edges: DataFrame, chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    """Edges whose two ends are there, each once."""
-    kept = edges.join(chunks.select("chunk_id"), "chunk_id", "left_semi").join(entities.select("entity_id"), "entity_id", "left_semi")
-    return kept.dropDuplicates(["chunk_id", "entity_id", "rel"])
+    """Edges whose two ends are there, each once.
+
+    Repeated ones go where the edges lie by chunk already, so they aren't dealt out anew for that, nor sent on to their
+    entities.
+    """
+    kept = edges.join(chunks.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["chunk_id", "entity_id", "rel"])
+    return kept.join(entities.select("entity_id"), "entity_id", "left_semi")
 
 
 def broken_keys(table: DataFrame, keys: list[str]) -> DataFrame:

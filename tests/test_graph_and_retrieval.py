@@ -11,8 +11,9 @@ from ravelin.config import EngineConfig
 from ravelin.functions import vectors as V
 from ravelin.operators import answer, chunking, graph, planner, providers, retrieval, store
 from ravelin.operators.versions import Snapshots
+from ravelin.plans import catalogue
 from ravelin.plans.corpus import Corpus, placed
-from ravelin.scratch import Scratch
+from ravelin.scratch import Scratch, file_system
 
 
 @pytest.fixture(scope="module")
@@ -256,3 +257,22 @@ def test_links_of_distinct_documents_are_not_shuffled(spark):
     assert [batch.num_rows for batch in made] == [4] * 10 + [1]
     few = graph._few(iter([pa.record_batch([list(range(1000))], names=["x"])]))
     assert [x for x, in few] == list(range(1000))
+
+
+def test_edges_are_linked_once_and_before_their_entities_are_met(spark):
+    edges = spark.createDataFrame([("c1", "a", "R"), ("c1", "a", "R"), ("c1", "a", "S"), ("c2", "a", "R"), ("c9", "a", "R"), ("c1", "z", "R")], "chunk_id string, entity_id string, rel string")
+    kept = store.linked(edges.unionByName(edges), spark.createDataFrame([("c1",), ("c2",)], "chunk_id string"), spark.createDataFrame([("a",)], "entity_id string"))
+    assert sorted(map(tuple, kept.select("chunk_id", "entity_id", "rel").collect())) == [("c1", "a", "R"), ("c1", "a", "S"), ("c2", "a", "R")]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("Aggregate")
+
+
+@pytest.mark.parametrize("name", ["graph_topk", "store_linked_edges"])
+def test_queries_of_the_graph_write_one_table_of_links(spark, sf001, name):
+    """Mentions and edges are read from it; neither is written, and none is made by joining names with chunks."""
+    df = catalogue.QUERIES[name](spark, sf001)
+    held = Corpus.of(spark, sf001)
+    path, fs = file_system(spark, held.scratch.root)
+    names = {s.getPath().getName() for s in fs.listStatus(path)}
+    assert "links" in names and not names & {"mentions", "about"}
+    assert df.count() > 0 and held.about.inputFiles() == held.mentions.inputFiles() == held.links.inputFiles()
