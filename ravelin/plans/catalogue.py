@@ -154,6 +154,7 @@ def ingest_entities(c: Corpus) -> DataFrame:
     last = docs.where("doc_id % 5 = 0").withColumn("text", F.lit("Late Arrivals"))
     for seq, batch in ((1, old.where("doc_id % 2 = 1 OR doc_id % 3 = 0")), (2, docs.where(odd)), (3, docs.where("doc_id % 2 = 0 AND doc_id % 3 <> 0")), (0, last)):
         ingest.ingest(tables, batch, seq, config)
+        tables.expire(1, grace=0)  # nothing else reads or writes this store
     return tables.read("entities").select("entity", "n_docs", "degree")
 
 

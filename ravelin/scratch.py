@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 T = TypeVar("T")
 _KEY = "spark.checkpoint.dir"
 _LOCAL: dict[str, str] = {}
+#: Spark's setting by which a query's shuffles are deleted with its end, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +50,17 @@ def together(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
     return [one.result() for one in made]
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of the queries that are run inside don't outlive them."""
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
+
+
 class Scratch:
     """A folder of written tables that belong to one call of an operator."""
 

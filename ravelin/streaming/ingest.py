@@ -12,9 +12,9 @@ from ravelin.config import EngineConfig
 from ravelin.functions.vectors import embedded, safe_embedder
 from ravelin.operators import vector_index, web
 from ravelin.operators.chunking import chunks
-from ravelin.operators.graph import about_edges, entity_counts, mentions
+from ravelin.operators.graph import entity_counts, linked_edges, linked_mentions, links
 from ravelin.operators.versions import Change, Snapshots
-from ravelin.scratch import Scratch, together
+from ravelin.scratch import Scratch, shuffles_dropped, together
 from ravelin.sources.tables import spread
 
 DOC = ["doc_id"]
@@ -45,14 +45,22 @@ def ingest(store: Snapshots, docs: DataFrame, seq: int, config: EngineConfig = E
     dimension of the embeddings aren't the store's, all its chunks are embedded
     anew in the same version.
     """
-    spark, began = docs.sparkSession, time.perf_counter()
+    began = time.perf_counter()
+    with shuffles_dropped(docs.sparkSession):
+        counts = _ingested(store, docs, seq, config)
+    return counts | {"latency_ms": int(1000 * (time.perf_counter() - began))}
+
+
+def _ingested(store: Snapshots, docs: DataFrame, seq: int, config: EngineConfig) -> dict[str, int]:
+    spark = docs.sparkSession
     scratch = Scratch(spark)
     at = docs.select("doc_id", F.struct("title", "text").alias("row"), F.monotonically_increasing_id().alias("at"))
     last = scratch.table(at.groupBy("doc_id").agg(F.max_by("row", "at").alias("row")).select("doc_id", "row.title", "row.text"), "last")
     given = embedding_of(config)
     dealt = spread(last)
-    made, found = together(spark, lambda: scratch.table(chunks(dealt, config), "chunks"), lambda: scratch.table(mentions(dealt, config), "mentions"))
-    about, vectors = together(spark, lambda: scratch.table(about_edges(found, made), "about"), lambda: scratch.table(chunk_vectors(made, given), "vectors"))
+    made, linked = together(spark, lambda: scratch.table(chunks(dealt, config), "chunks"), lambda: scratch.table(links(dealt, config), "links"))
+    found, about = linked_mentions(linked), linked_edges(linked)
+    vectors = scratch.table(chunk_vectors(made, given), "vectors")
 
     def change(to: Change) -> dict[str, int]:
         known = to.lookup("documents", last)
@@ -81,7 +89,7 @@ def ingest(store: Snapshots, docs: DataFrame, seq: int, config: EngineConfig = E
 
     counts = store.commit(change)
     scratch.clear()
-    return counts | {"latency_ms": int(1000 * (time.perf_counter() - began))}
+    return counts
 
 
 def ingest_crawl(store: Snapshots, outcomes: DataFrame, seq: int, config: EngineConfig = EngineConfig()) -> dict[str, int]:

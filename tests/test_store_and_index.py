@@ -13,6 +13,7 @@ from ravelin.functions import vectors as V
 from ravelin.operators import nearest, retrieval, vector_index
 from ravelin.operators.graph import degrees
 from ravelin.operators.versions import Conflict, Snapshots
+from ravelin.plans import catalogue
 from ravelin.plans.ask import ask
 from ravelin.scratch import file_system, together
 from ravelin.streaming import ingest
@@ -369,3 +370,16 @@ def test_time_of_search_over_all_cores(spark):
     queries = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(rng.normal(size=(500, 64)))], "q_id long, qv array<double>")
     began = time.time()
     assert retrieval.nearest(queries, vectors, 10).count() == 5000 and time.time() - began < 30
+
+
+def test_ingest_entities_keeps_no_folders_that_its_store_no_longer_names(spark, sf001, monkeypatch):
+    made, key = [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    monkeypatch.setattr(catalogue, "Snapshots", lambda s: made.append(Snapshots(s)) or made[-1])
+    seen, commit = [], Snapshots.commit
+    monkeypatch.setattr(Snapshots, "commit", lambda self, change: seen.append(spark.conf.get(key)) or commit(self, change))
+    was = spark.conf.get(key, None)
+    assert catalogue.QUERIES["ingest_entities"](spark, sf001).count() > 0
+    store = made[0]
+    named = {(n, p) for n, t in store.state()["tables"].items() for p in [*t["base"], *(c["part"] for c in t["changes"])]}
+    assert {(n, p.removeprefix("_part=")) for n in store._named(f"{store.root}/data") for p in store._named(f"{store.root}/data/{n}")} == named
+    assert store.versions() == [store.version()] and seen == ["true"] * 4 and spark.conf.get(key, None) == was
