@@ -267,7 +267,7 @@ def test_edges_are_linked_once_and_before_their_entities_are_met(spark):
     assert plan.index("LeftSemi") < plan.index("Aggregate")
 
 
-@pytest.mark.parametrize("name", ["graph_topk", "store_linked_edges", "key_constraints", "citations", "context_lines", "prompt_shortened"])
+@pytest.mark.parametrize("name", ["graph_topk", "store_linked_edges", "key_constraints", "citations", "context_lines", "prompt_shortened", "stub_answers"])
 def test_queries_of_the_graph_write_one_table_of_links(spark, sf001, name):
     """Mentions and edges are read from it; neither is written, and none is made by joining names with chunks."""
     df = catalogue.QUERIES[name](spark, sf001)
